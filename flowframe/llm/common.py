@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def crc_of_id(doc_id: Column) -> Column:
 
 def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose strings in ``column`` hold about BATCH_BYTES; one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     step = np.cumsum(sizes.astype(np.int64)) // BATCH_BYTES
     start = 0
     for end in [*(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]:

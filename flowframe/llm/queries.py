@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from flowframe.llm.byte_bpe import ByteBpe, code_documents
+from flowframe.llm.common import crc_of_id
 from flowframe.llm.digest_index import DigestIndex
+from flowframe.llm.language_id import fit_languages, label_documents
+from flowframe.llm.quality import QualityModel, fit_quality, score_documents
 from flowframe.llm.rendezvous import shard_documents
+from flowframe.llm.token_counts import count_tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex(spark).add(_docs(spark, sf_dir))
 
@@ -33,6 +45,37 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
 
+def _fold(doc_id: Column, folds: int) -> Column:
+    return F.coalesce(crc_of_id(doc_id), F.lit(0)) % folds
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = _fold(F.col("doc_id"), 4) == 2
+    model = fit_languages(docs.where(~held_out), "lang")
+    found = label_documents(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = ByteBpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = code_documents(_docs(spark, sf_dir), codec, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:
+    """Learned from the labelled rows of ``docs`` outside the fold that is held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
+    rows = docs.where(_fold(docs["doc_id"], 3) != 1).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled"))
+    return fit_quality(rows, "label")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    scored = score_documents(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=8)
 
@@ -64,8 +107,12 @@ FROM placed
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_rendezvous_sharding": _op9_sql()}
