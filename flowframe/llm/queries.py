@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from flowframe.llm.bin_packing import pack_documents
 from flowframe.llm.byte_bpe import ByteBpe, code_documents
 from flowframe.llm.common import crc_of_id
 from flowframe.llm.digest_index import DigestIndex
@@ -45,6 +46,10 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
 
+def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(crc_of_id(doc_id), F.lit(0)) % folds
 
@@ -109,6 +114,7 @@ FROM placed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_bin_completion": op6_bin_completion,
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_rendezvous_sharding": op9_rendezvous_sharding,
