@@ -14,6 +14,7 @@ from flowframe.llm.byte_bpe import ByteBpe, code_documents
 from flowframe.llm.common import crc_of_id
 from flowframe.llm.digest_index import DigestIndex
 from flowframe.llm.language_id import fit_languages, label_documents
+from flowframe.llm.ngram_join import join_documents
 from flowframe.llm.quality import QualityModel, fit_quality, score_documents
 from flowframe.llm.rendezvous import shard_documents
 from flowframe.llm.token_counts import count_tokens
@@ -28,6 +29,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(_docs(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex(spark).add(_docs(spark, sf_dir))
 
@@ -113,6 +118,7 @@ FROM placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_ngram_join": op3_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bin_completion": op6_bin_completion,
     "op7_language_id": op7_language_id,
