@@ -15,6 +15,7 @@ from flowframe.llm.common import crc_of_id
 from flowframe.llm.digest_index import DigestIndex
 from flowframe.llm.language_id import fit_languages, label_documents
 from flowframe.llm.ngram_join import join_documents
+from flowframe.llm.prefix_free import remove_repeats
 from flowframe.llm.quality import QualityModel, fit_quality, score_documents
 from flowframe.llm.rendezvous import shard_documents
 from flowframe.llm.token_counts import count_tokens
@@ -33,6 +34,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(_docs(spark, sf_dir))
 
 
+def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex(spark).add(_docs(spark, sf_dir))
 
@@ -119,6 +125,7 @@ FROM placed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_ngram_join": op3_ngram_join,
+    "op4_prefix_free_dedup": op4_prefix_free_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bin_completion": op6_bin_completion,
     "op7_language_id": op7_language_id,
