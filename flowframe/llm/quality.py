@@ -14,8 +14,8 @@ from flowframe.llm.common import WordHashes, append_columns, documents, fresh_na
 
 #: Hash buckets of n-grams; weights are doubles, so a model takes 8 x BUCKETS bytes wherever it is sent.
 BUCKETS = 1 << 18
-#: Bound of the labelled sample, and passes over it.
-SAMPLE_ROWS, PASSES = 12_000, 4
+#: Labelled documents learned from (the bound of what reaches the driver), and passes over them.
+SAMPLE_ROWS, PASSES = 4_000, 4
 #: Per-coordinate rate and regularisation of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.1
 #: Factor of an n-gram's share in its text.
@@ -86,15 +86,27 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int =
     return QualityModel(used, w[used], float(w[-1]))
 
 
-def fit_quality(docs: DataFrame, label_col: str, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learns from the ``sample_rows`` labelled rows with the smallest hash of text and label.
+def sample_labels(labels: DataFrame, id_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``labelled, label``: one row for each of about ``rows`` ids, those with a hash below a share of all.
 
-    Labels are 0 and 1; rows with another label or none are left out, null texts are empty texts. Only hashed
-    n-grams of the bounded sample reach the driver. No rows, or one label only, give a model that says so.
+    Labels other than 0 and 1 and null ids are left out; an id with both labels gets the smaller.
     """
-    rows = docs.select(docs[label_col].cast("int").alias("label"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = rows.where("label in (0, 1)").withColumn("hash", F.xxhash64("text", "label"))
-    sample = rows.orderBy("hash", "label").limit(sample_rows)
+    one = labels.select(labels[id_col].alias("labelled"), labels[label_col].cast("int").alias("label"))
+    one = one.where("labelled is not null and label in (0, 1)").groupBy("labelled").agg(F.min("label").alias("label"))
+    share = min(1.0, rows / max(1, one.count()))
+    return one.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """Learns from about ``sample_rows`` documents that ``labels`` (id, label) marks, in the order of their ids' hashes.
+
+    The sampled labels are broadcast (their number is bounded by the parameter), so the documents are not shuffled;
+    only hashed n-grams of the sample reach the driver. Of several rows with one id the smallest text counts. Null
+    texts are empty texts. No rows, or one label only, give a model that says so.
+    """
+    sample = F.broadcast(sample_labels(labels, id_col, label_col, sample_rows))
+    rows = documents(docs, id_col, text_col).join(sample, F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy("labelled", "label").agg(F.min("text").alias("text")).withColumn("hash", F.xxhash64("labelled"))
 
     def make():
         hashes = WordHashes()
@@ -106,7 +118,7 @@ def fit_quality(docs: DataFrame, label_col: str, text_col: str = "text", sample_
         return run
 
     kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]
-    table = append_columns(sample, "text", kinds, make).drop("text").toPandas().sort_values(["hash", "label"], kind="stable")
+    table = append_columns(rows, "text", kinds, make).drop("text").toPandas().sort_values(["hash", "labelled"], kind="stable")
     return follow_leader([(np.asarray(b, np.int64), np.asarray(v, float), int(y)) for y, b, v in zip(table.label, table.buckets, table.shares, strict=True)])
 
 

@@ -81,9 +81,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:
     """Learned from the labelled rows of ``docs`` outside the fold that is held out."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
-    rows = docs.where(_fold(docs["doc_id"], 3) != 1).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled"))
-    return fit_quality(rows, "label")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(F.col("doc_id"), 3) != 1)
+    return fit_quality(docs, labels, "quality")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
