@@ -69,11 +69,16 @@ def fit_languages(docs: DataFrame, lang: Column | str, text_col: str = "text", s
     lang = docs[lang] if isinstance(lang, str) else lang
     rows = docs.select(lang.alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null and length(text) > 0")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(dictionary_bytes // 8)
-    rows = rows.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", F.lit(1), share).alias("text"))
+    rows = rows.select("lang", F.xxhash64("text").alias("hash"), "text")
+    # Of each language about four times the sample is shuffled, whatever the table's size; the rank picks from that.
+    slots = 1 << 30
+    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(slots, slots * 4 * sample_documents // n + 1))]) if counts else None
+    if share is None:
+        return LanguageModel(())
+    few = rows.where(F.pmod("hash", F.lit(slots)) < share[F.col("lang")])
+    few = few.select("lang", "hash", F.substring("text", F.lit(1), F.lit(dictionary_bytes // 8)).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
-    # The rank filter is applied in every partition before the shuffle, so a hot language costs no more than another.
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= sample_documents).collect()
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= sample_documents).collect()
     parts: dict[str, list[tuple[int, str]]] = {}
     for row in chosen:
         parts.setdefault(row["lang"], []).append((row["rank"], row["text"]))
