@@ -14,6 +14,7 @@ from flowframe.llm.byte_bpe import ByteBpe, code_documents
 from flowframe.llm.common import crc_of_id
 from flowframe.llm.digest_index import DigestIndex
 from flowframe.llm.language_id import fit_languages, label_documents
+from flowframe.llm.multi_index import nearest
 from flowframe.llm.ngram_join import join_documents
 from flowframe.llm.prefix_free import remove_repeats
 from flowframe.llm.quality import QualityModel, fit_quality, score_documents
@@ -30,6 +31,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(_docs(spark, sf_dir))
 
@@ -123,6 +129,7 @@ FROM placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_multi_index": op2_multi_index,
     "op3_ngram_join": op3_ngram_join,
     "op4_prefix_free_dedup": op4_prefix_free_dedup,
     "op5_exact_dedup": op5_exact_dedup,
