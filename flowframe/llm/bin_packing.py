@@ -27,8 +27,8 @@ SEQUENCE_TOKENS, END_ID = 4096, 1
 BLOCK_PIECES, NODES = 4096, 4000
 #: Alternatives tried for a bin.
 BRANCHES = 6
-#: Words of each of the two generations that a worker keeps with their ids, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 250_000, 32
+#: Words that a worker has at hand with their ids before it sets them aside; it keeps those set aside last.
+CACHE_WORDS = 250_000
 
 #: White space for str.split that is none for the tokenizer: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -38,14 +38,6 @@ _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
-def _plain(word: str) -> tuple[str, str] | None:
-    """The letters, lowered, and the marks after them, if the word is nothing else."""
-    core = word.rstrip(_MARKS)
-    if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
-        return core.lower(), word[len(core) :]
-    return None
-
-
 class WordwiseEncoder:
     """Packed ids of whole texts by a tokenizer that never looks across white space.
 
@@ -62,7 +54,10 @@ class WordwiseEncoder:
         d = json.loads(definition)
         self.tokenizer, self.bare = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
         self.bare.normalizer = None  # for lowered letters, which are one match of the pre-tokenizer
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), d.get("model", {}).get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         before = d.get("pre_tokenizer") or {}
         first = (before.get("pretokenizers") or [before])[0]
         kinds = [n["type"] for n in (d.get("normalizer") or {}).get("normalizers", [])]
@@ -76,37 +71,47 @@ class WordwiseEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        made = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in made]
-
-    def _kept(self, words: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """The ids of the words that are kept, and the other words. Words that are used again outlive a generation."""
-        found, missing = {}, []
-        for w in words:
-            ids = self.young.get(w)
-            if ids is None:
-                ids = self.old.get(w)
-                if ids is None:
-                    missing.append(w)
-                    continue
-                self.young[w] = ids
-            found[w] = ids
-        return found, missing
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of lowered letters: many at once, told apart by the tokens that end a word."""
+        out: list[bytes] = []
+        groups = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for group, made in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(group) else self.whole(group)
+        return out
 
     def _words(self, words: set[str]) -> dict[str, bytes]:
-        table, missing = self._kept(words)
-        parts = {w: both for w in missing if (both := _plain(w))}
-        pieces, cores = self._kept({core for core, _ in parts.values()})
-        marks, unknown = self._kept({rest for _, rest in parts.values() if rest})
-        unknown += [w for w in missing if w not in parts]
-        fresh = dict(zip(unknown, self.whole(unknown), strict=True)) | dict(zip(cores, self.whole(cores, self.bare), strict=True))
-        pieces |= marks | fresh
-        made = {w: pieces[core] + (pieces[rest] if rest else b"") for w, (core, rest) in parts.items()}
-        self.young |= {w: ids for w, ids in (fresh | made).items() if len(w) <= CACHE_CHARS}
+        """The ids of these words, and of others. Of the words that are kept, those used again outlive a generation."""
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        return table | pieces | made
+        young, old = self.young, self.old
+        split, odd, letters = [], set(), set()
+        for word in words.difference(young):
+            ids = old.get(word)
+            if ids is not None:
+                young[word] = ids
+                continue
+            core = word.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
+                low, rest = core.lower(), word[len(core) :]
+                letters.add(low)
+                if low != word:
+                    split.append((word, low, rest))
+                    odd.add(rest)
+            else:
+                odd.add(word)
+        for some, encoded in ((letters, self._letters), (odd, self.whole)):
+            some = some.difference(young)
+            young.update((w, ids) for w in some if (ids := old.get(w)) is not None)
+            fresh = list(some.difference(young))
+            young.update(zip(fresh, encoded(fresh), strict=True))
+        young.update([(word, young[low] + young[rest]) for word, low, rest in split])
+        return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if not self.separable or _ODD_SPACE.search(t)]
