@@ -41,9 +41,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``text`` (null: empty) only, whatever other columns ``docs`` has."""
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """``doc_id`` and ``text`` (null: empty), and ``carry`` as ``carried`` if named, whatever other columns ``docs`` has."""
+    more = [docs[carry].alias("carried")] if carry else []
+    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

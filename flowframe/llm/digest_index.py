@@ -37,19 +37,20 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.read.table(self.table)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
         """Adds a batch and says for each of its rows whether it stays.
 
-        Returns ``doc_id, keep_id, group_size, kept, text_sha256``. ``group_size`` counts this batch's rows with
+        Returns ``doc_id, keep_id, group_size, kept, text_sha256``, and the column ``carry`` of the batch if named. ``group_size`` counts this batch's rows with
         that text. Of equal texts the one with most code points, then the smallest doc_id (nulls last) stays; of
         rows alike in both, exactly one. A text that an earlier batch brought is dropped in favour of that
         document. Null texts are empty texts and equal to each other; an empty table gives an empty result; other
         columns are ignored. Batches are added one after another.
         """
-        text = documents(docs, id_col, text_col)
+        carried = [F.col("carried")] if carry else []
+        text = documents(docs, id_col, text_col, carry)
         rows = staged(
             text.select(
-                F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length("text").alias("chars"),
+                F.monotonically_increasing_id().alias("row"), "doc_id", *carried, F.char_length("text").alias("chars"),
                 F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
             ),
             "digests",
@@ -79,5 +80,5 @@ class DigestIndex:
         return rows.join(verdict, "digest").select(
             "doc_id", "keep_id", "group_size",
             F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
+            F.lower(F.hex("digest")).alias("text_sha256"), *[c.alias(carry) for c in carried],
         )

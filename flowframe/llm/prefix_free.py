@@ -247,12 +247,12 @@ def without(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tup
     return b"".join([*kept, data[at:]]), [(a, b) for a, b in joined]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, spans, kept`` for every row.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, spans, kept`` for every row; the id may be a struct of columns.
 
     ``spans`` (array of low, high) are the maximal runs of UTF-8 bytes covered by a string of ``length`` bytes that
-    also starts anywhere else in the table, the same text included; ``kept`` is the other bytes, joined. Every copy
-    goes, the first too, and strings are judged on the input. Equal rows are copies of each other. Null texts are
+    also starts anywhere else in the table, the same text included; ``kept`` is the other bytes, joined (with
+    ``as_text`` a string, without the characters that lost a part of their bytes). Every copy goes, the first too, and strings are judged on the input. Equal rows are copies of each other. Null texts are
     empty; texts shorter than ``length`` are kept whole. ``docs`` must give the same rows in the same partitions
     each time it is read, as files do. Other columns are ignored.
     """
@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     span = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
     schema = T.StructType([
         T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("spans", span), T.StructField("kept", T.BinaryType()),
+        T.StructField("spans", span), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
 
     def run(batches):
@@ -278,7 +278,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
                 for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     data = text.encode("utf-8")
                     rest, joined = without(data, [(x["low"], x["high"]) for x in ranges or ()])
-                    sizes.append(len(data)), removed.append(len(data) - len(rest)), kept.append(rest)
+                    sizes.append(len(data)), removed.append(len(data) - len(rest))
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                     found.append([{"low": a, "high": b} for a, b in joined])
                 new = [pa.array(c, f.type) for c, f in zip((sizes, removed, found, kept), list(kinds)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), *new], schema=kinds)

@@ -136,4 +136,4 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score of ``least`` or more, with their own columns only."""
     name = fresh_name(docs, "score")
-    return add_score(docs, model, text_col, name).where(F.col(name) >= least).select(*[docs[c] for c in docs.columns])
+    return add_score(docs, model, text_col, name).where(F.col(name) >= least).drop(name)
