@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.llm.bin_packing import pack_documents
-from flowframe.llm.common import fresh_name, staged
+from flowframe.llm.common import fresh_name
 from flowframe.llm.digest_index import DigestIndex
 from flowframe.llm.ngram_join import keep_one_of_each
 from flowframe.llm.prefix_free import remove_repeats
 from flowframe.llm.quality import keep_good
 from flowframe.llm.queries import quality_model
+from flowframe.sources.staging import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

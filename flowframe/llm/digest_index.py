@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowframe.llm.common import documents, staged
+from flowframe.llm.common import documents
+from flowframe.sources.staging import staged
 
 #: The characters that do not count when texts are compared.
 IGNORED = r"[\x20\x09-\x0D]+"

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import WordHashes, append_columns, documents, fresh_name, mixed, run_hashes, staged
+from flowframe.llm.common import WordHashes, append_columns, documents, fresh_name, mixed, run_hashes
 from flowframe.llm.components import components
+from flowframe.sources.staging import staged
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 #: Bounds of a block of a candidate group: classes, and n-grams of them all.

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import by_bytes, documents, mixed, staged
+from flowframe.llm.common import by_bytes, documents, mixed
+from flowframe.sources.staging import staged
 
 LENGTH, TRIGGER = 200, 48
 #: Strings of a text parsed at once. Cuts fall inside phrases, which are then compared like any others.
