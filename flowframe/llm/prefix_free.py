@@ -214,7 +214,9 @@ def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
     """``row, low, high``: byte ranges of the texts of ``base`` (row, doc_id, text) whose strings occur elsewhere."""
     phrases = _phrases(base, length, trigger)
     counts = phrases.groupBy("trigger").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
-    shared = phrases.join(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "trigger")
+    # Staged, so that the join's inputs are plain exchanges and a hot trigger's phrases can be split over tasks.
+    known = staged(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "triggers")
+    shared = phrases.join(known, "trigger")
     shared = staged(shared.select("row", "place", "trigger", "content", "alike"), "shared")
     mixed_ = shared.where("not alike")
     kinds = mixed_.groupBy("trigger", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "place")).alias("one"))
