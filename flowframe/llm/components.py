@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step groups by node and joins the smallest neighbour back, so a node with many neighbours costs partial
-aggregates and a join that adaptive execution may split, never a collected group. Steps are staged in the shared
-folder, and the edges shrink to one row a node within a few of them.
+aggregates and a join that adaptive execution may split (the staged side is a plain exchange), never a collected
+group. Steps are staged in the shared folder, and the edges shrink to one row a node within a few of them.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _smallest(both).select("a", F.least("a", "m").alias("m"))
+    least = staged(_smallest(both).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     down = edges.where("a > b")
-    least = _smallest(down)
+    least = staged(_smallest(down), "least")
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -186,13 +186,14 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
         "classes",
     )
     band = classes.select("node", F.explode("bands").alias("band"))
+    # Aggregates that are joined back are staged first: then a hot key's rows can be split over tasks.
     shared = band.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    near = band.join(shared.select("band", "first"), "band").where("node <> first").select("node", "first").distinct()
+    near = band.join(staged(shared.select("band", "first"), "shared"), "band").where("node <> first").select("node", "first").distinct()
     groups = components(staged(near, "near"), "node", "first")
     members = staged(classes.drop("bands").join(groups.withColumnRenamed("root", "group"), "node"), "members")
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("ngrams").alias("grams"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("grams") / BLOCK_NGRAMS)).cast("int").alias("parts")
-    placed = members.join(sizes.select("group", parts), "group").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int"))
+    placed = members.join(staged(sizes.select("group", parts), "sizes"), "group").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int"))
     placed = staged(placed.select("digest", "copies", "one", "ngrams", "group", "parts", "part"), "placed")
     # One row stands for a class, whichever copy; equal rows are told apart from nothing and dropped when verified.
     wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), "digest", "copies", "group", "parts", "part")
@@ -218,8 +219,8 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     linked = links.groupBy("digest").agg(F.sum("links").alias("links"))
     whole = classes.select("digest", "copies", "copies_of").join(linked, "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     whole = staged(whole.withColumn("root", F.coalesce("root", "digest")), "whole")
-    ids = whole.groupBy("root").agg(F.min("copies_of").alias("class_id"))
-    result = whole.join(ids, "root").select("digest", "class_id", "copies_of", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    ids = staged(whole.groupBy("root").agg(F.min("copies_of").alias("class_id")), "ids")
+    result = staged(whole.join(ids, "root"), "result").select("digest", "class_id", "copies_of", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "digest").join(result, "digest", "left").select(
         "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
