@@ -74,11 +74,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases of a text: (place, trigger hash, content hash) arrays.
+def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of a text: (place, through, trigger hash, content hash) arrays.
 
     ``place`` packs the first string's start, the number of strings less one, and the trigger's distance from the
     first start, in 48, 8 and 8 bits. The strings of all phrases are all strings of ``length`` bytes, each once.
+    Equal phrases that follow each other, as in text that repeats a word, are one; ``through`` is the start of the
+    last string of the last of them.
     """
     places, triggers, contents = [], [], []
     bytes_ = np.frombuffer(data, np.uint8)
@@ -97,12 +99,15 @@ def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np
         triggers.append(grams[p].view(np.int64))
         contents.append(content.view(np.int64))
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(places), np.concatenate(triggers), np.concatenate(contents)
+        return (np.zeros(0, np.int64),) * 4
+    place, what, content = np.concatenate(places), np.concatenate(triggers), np.concatenate(contents)
+    first = np.flatnonzero(np.concatenate([[True], (what[1:] != what[:-1]) | (content[1:] != content[:-1])]))
+    through = np.append(place[first[1:]] >> 16, len(data) - length + 1) - 1
+    return place[first], through, what[first], content[first]
 
 
 def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
-    schema = "row long, place long, trigger long, content long"
+    schema = "row long, place long, through long, trigger long, content long"
 
     def run(batches):
         import pyarrow as pa
@@ -111,8 +116,8 @@ def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
             for batch in by_bytes(whole, 2):
                 rows, parts = batch.column(0).to_pylist(), [parse(t.encode("utf-8"), length, trigger) for t in batch.column(2).to_pylist()]
                 row = np.repeat(np.array(rows, np.int64), [len(p[0]) for p in parts])
-                columns = [row, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "place", "trigger", "content"])
+                columns = [row, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "place", "through", "trigger", "content"])
 
     return base.mapInArrow(run, schema)
 
@@ -213,18 +218,18 @@ def _counted(phrases: DataFrame, length: int) -> DataFrame:
 def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
     """``row, low, high``: byte ranges of the texts of ``base`` (row, doc_id, text) whose strings occur elsewhere."""
     phrases = _phrases(base, length, trigger)
-    counts = phrases.groupBy("trigger").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
+    last = F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255)
+    copies = F.sum(F.when(F.col("through") > last, 2).otherwise(1))  # one, or more than one
+    counts = phrases.groupBy("trigger").agg(copies.alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
     # Staged, so that the join's inputs are plain exchanges and a hot trigger's phrases can be split over tasks.
     known = staged(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "triggers")
-    shared = phrases.join(known, "trigger")
-    shared = staged(shared.select("row", "place", "trigger", "content", "alike"), "shared")
+    shared = staged(phrases.join(known, "trigger"), "shared")
     mixed_ = shared.where("not alike")
-    kinds = mixed_.groupBy("trigger", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "place")).alias("one"))
+    kinds = mixed_.groupBy("trigger", "content").agg(copies.alias("copies"), F.min(F.struct("row", "place")).alias("one"))
     kinds = staged(kinds.select("trigger", "content", "copies", "one.row", "one.place"), "kinds")
     often = kinds.where("copies > 1").select("trigger", "content")
-    full = shared.where("alike").select("row", "place").unionByName(mixed_.join(often, ["trigger", "content"]).select("row", "place"))
-    start = F.shiftright("place", 16)
-    spans = full.select("row", start.alias("low"), (start + F.shiftright("place", 8).bitwiseAND(255) + length).alias("high"))
+    full = shared.where("alike").select("row", "place", "through").unionByName(mixed_.join(often, ["trigger", "content"]).select("row", "place", "through"))
+    spans = full.select("row", F.shiftright("place", 16).alias("low"), (F.col("through") + length).alias("high"))
     hot = kinds.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PHRASES).select("trigger")
     number, hot_number = kinds.count(), hot.count()
     if number:
