@@ -15,7 +15,7 @@ from flowframe.llm.common import WordHashes, append_columns, documents, fresh_na
 #: Hash buckets of n-grams; weights are doubles, so a model takes 8 x BUCKETS bytes wherever it is sent.
 BUCKETS = 1 << 18
 #: Labelled documents learned from (the bound of what reaches the driver), and passes over them.
-SAMPLE_ROWS, PASSES = 4_000, 4
+SAMPLE_ROWS, PASSES = 3_000, 4
 #: Per-coordinate rate and regularisation of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.1
 #: Factor of an n-gram's share in its text.
@@ -119,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str
 
     kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]
     table = append_columns(rows, "text", kinds, make).drop("text").toPandas().sort_values(["hash", "labelled"], kind="stable")
-    return follow_leader([(np.asarray(b, np.int64), np.asarray(v, float), int(y)) for y, b, v in zip(table.label, table.buckets, table.shares, strict=True)])
+    return follow_leader(list(zip(table.buckets, table.shares, table.label, strict=True)))
 
 
 def add_score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
