@@ -39,6 +39,14 @@ _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case where that is all that normalisation does to its letters, else as it is."""
+    try:
+        return text.lower() if text.isascii() or text.encode("latin-1") else text
+    except UnicodeEncodeError:
+        return text
+
+
 class WordwiseEncoder:
     """Packed ids of whole texts by a tokenizer that never looks across white space.
 
@@ -66,7 +74,7 @@ class WordwiseEncoder:
             first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed"
             and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
             and len(before.get("pretokenizers") or []) == 2 and before["pretokenizers"][1].get("type") == "ByteLevel"
-            and set(kinds) <= {"NFC", "Replace", "Lowercase"} and d.get("post_processor") is None
+            and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"} and d.get("post_processor") is None
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in d.get("added_tokens") or [])
         )
         self.young: dict[str, bytes] = {}
@@ -117,7 +125,7 @@ class WordwiseEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if not self.separable or _ODD_SPACE.search(t)]
         out = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        split = {i: t.split() for i, t in enumerate(texts) if i not in out}
+        split = {i: _lowered(t).split() for i, t in enumerate(texts) if i not in out}
         table = self._words(set().union(*split.values()))
         for i, words in split.items():
             out[i] = b"".join(map(table.__getitem__, words))
