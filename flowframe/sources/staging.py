@@ -25,8 +25,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowframe/{uuid.uuid4().hex}/{name}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again: lineage ends there, lost executors cost nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting for the rows of an Arrow batch; long rows need fewer to keep workers small.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it again: lineage ends there, lost executors cost nothing.
+
+    ``arrow_rows`` bounds the rows that Python functions of ``df`` get at once.
+    """
+    spark = df.sparkSession
+    path, before = new_folder(spark, name), spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows or before))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
