@@ -75,7 +75,7 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int =
 
     for _ in range(passes):
         for found, values, label in rows:
-            at, x = np.append(found, BUCKETS), np.append(values, 1.0)
+            at, x = np.append(found, BUCKETS).astype(np.int64), np.append(values, 1.0)
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
