@@ -26,6 +26,8 @@ from flowframe.sources.staging import staged
 SEQUENCE_TOKENS, END_ID = 4096, 1
 #: Pieces of a block on average, and search nodes spent on a block before the incumbent is taken.
 BLOCK_PIECES, NODES = 4096, 4000
+#: Rows that the encoder gets at once.
+ARROW_ROWS = 1200
 #: Alternatives tried for a bin.
 BRANCHES = 6
 #: Words that a worker has at hand with their ids before it sets them aside; it keeps those set aside last.
@@ -61,8 +63,8 @@ class WordwiseEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         d = json.loads(definition)
-        self.tokenizer, self.bare = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
-        self.bare.normalizer = None  # for lowered letters, which are one match of the pre-tokenizer
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.bare = Tokenizer(self.tokenizer.model)  # the same model, for lowered letters, which are one match of the pre-tokenizer
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary, suffix = self.tokenizer.get_vocab(), d.get("model", {}).get("end_of_word_suffix")
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -303,7 +305,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, block_pieces
 
     Every row is placed once, repeated rows too. An empty table gives an empty result.
     """
-    rows = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", ARROW_ROWS)
     blocks = max(1, -(-rows.count() // block_pieces))
     once = staged(_packed(rows, blocks, capacity, 0), "packed")
     poor = F.col("filled") < capacity - capacity // 64
