@@ -242,6 +242,12 @@ ORACLES: dict[str, str] = {
     "roc_points": f"WITH {_SCORED} SELECT label, score, tpr, fpr FROM curve",
     "pr_points": f"WITH {_SCORED} SELECT label, score, tpr, precision_at FROM curve",
     "average_precision": f"WITH {_SCORED}, gains AS (SELECT label, (tpr - lag(tpr, 1, 0) OVER (PARTITION BY label ORDER BY score DESC)) * precision_at AS g FROM curve) SELECT label, round(sum(g), 6) AS average_precision FROM gains GROUP BY 1",
+    "winning_class": f"""WITH {_JUDGED}, three AS (SELECT actual, [l_discount * 10, l_tax * 12, l_quantity / 50] AS x FROM judged),
+        raised AS (SELECT actual, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM three), shares AS (SELECT actual, list_transform(e, lambda v: v / list_sum(e)) AS s FROM raised)
+        SELECT actual, ['A', 'N', 'R'][list_position(s, list_max(s))] AS predicted, count(*) AS n, round(sum(list_max(s)::DECIMAL(28, 9))::DOUBLE / count(*), 6) AS mean_share FROM shares GROUP BY 1, 2""",
+    "concatenated_pointers": f"""WITH {_WINDOWS}, doubled AS (SELECT group_id, first_row, nodes FROM graphs UNION ALL SELECT '~' || group_id, first_row, nodes FROM graphs),
+        summed AS (SELECT group_id, first_row, len(nodes) AS n, sum(len(nodes)) OVER o AS upto, row_number() OVER o AS nth FROM doubled WINDOW o AS (ORDER BY group_id, first_row ROWS UNBOUNDED PRECEDING))
+        SELECT group_id, first_row, (upto - n)::BIGINT AS node_start, upto::BIGINT AS node_stop, ((nth - 1) * 16)::BIGINT AS edge_start, (nth * 16)::BIGINT AS edge_stop FROM summed""",
     "class_weights": f"WITH {_BURST}, c AS (SELECT label, count(*) AS n FROM burst GROUP BY 1) SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c",
     "class_distribution": f"""WITH {_BURST} SELECT s.split, l.label, (SELECT count(*) FROM burst b WHERE b.split = s.split AND b.label = l.label) AS n
         FROM (VALUES ('train'), ('validation'), ('test')) s(split), (SELECT DISTINCT label FROM burst) l""",

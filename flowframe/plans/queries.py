@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowframe.functions import cleaning, hashing
+from flowframe.functions import cleaning, hashing, scores
 from flowframe.operators import audit, groups, metrics, preprocess, profile, sampling, splits, windows
 from flowframe.operators.outlier import IsolationForest
 from flowframe.sources.flows import event_flows
@@ -409,6 +409,23 @@ def average_precision(spark, sf_dir):
     return metrics.average_precision(metrics.curves(_by_class(spark, sf_dir), ["label"], "score", F.col("actual") == F.col("label")), ["label"])
 
 
+@query
+def winning_class(spark, sf_dir):
+    """Softmax shares of three scores, the winner, and how often it is right."""
+    rows = _judged(spark, sf_dir)
+    three = F.array(F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_quantity") / 50)
+    won = rows.select("actual", scores.softmax(three).alias("shares")).withColumn("predicted", F.element_at(F.array(*[F.lit(c) for c in "ANR"]), scores.winner(F.col("shares")) + 1))
+    return won.groupBy("actual", "predicted").agg(F.count("*").alias("n"), F.round(F.sum(F.array_max("shares").cast("decimal(28,9)")).cast("double") / F.count("*"), 6).alias("mean_share"))
+
+
+@query
+def concatenated_pointers(spark, sf_dir):
+    """Windows of two tables put one after the other, with pointers counted anew."""
+    graphs = _graphs(spark, sf_dir)
+    again = graphs.withColumn("group_id", F.concat(F.lit("~"), "group_id"))
+    return windows.pointers(graphs.unionByName(again))
+
+
 @query
 def class_weights(spark, sf_dir):
     return metrics.class_weights(_burst(event_flows(spark, sf_dir)), "label")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flowframe.functions.hashing import stream_split
 from flowframe.operators.groups import with_groups
+from flowframe.operators.preprocess import Fitted, transform
+from flowframe.operators.windows import windows, with_runs
 from flowframe.sources.flows import config_hash
 from flowframe.sources.staging import new_folder
 
@@ -25,6 +27,25 @@ def ingest(flows: DataFrame, target: str, checkpoint: str, seed: int, outer: flo
     query.awaitTermination()
 
 
+def ingest_windows(flows: DataFrame, fitted: Fitted, target: str, checkpoint: str, seed: int, outer: float, length: int, stride: int) -> None:
+    """The stream as scaled, encoded windows by split: every batch is transformed with what the fit learned, nothing else.
+
+    Flows need group_id's parts, label, and the fitted features. A label outside the fitted vocabulary stops the run.
+    Batches hold whole files, so windows need no state. A batch that is tried again replaces its own folder.
+    """
+    names = F.array(*[F.lit(x) for x in fitted.labels])
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_groups(batch).withColumn("split", stream_split(F.col("group_id"), outer, seed))
+        code = F.array_position(names, F.col("label")) - 1
+        coded = transform(rows, fitted).withColumn("code", F.when(code >= 0, code).otherwise(F.raise_error(F.lit("label outside the vocabulary")).cast("long")))
+        columns = {c: F.col(c) for c in ("sample_id", "split", "code", *fitted.features)}
+        made = windows(with_runs(coded), columns, length, stride)
+        made.withColumn("split", F.col("steps")[0]["split"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    flows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def guard_contract(spark: SparkSession, folder: str, contract: dict) -> None:
     """Refuses to go on with a run whose settings differ from those it began with."""
     now = config_hash(contract)
@@ -50,7 +71,7 @@ def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(table).schema
     e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(os.path.join(sf_dir, "events.parquet*"))
-    return e.select(F.concat(F.lit("day="), F.date_format("ts", "yyyy-MM-dd")).alias("file_id"), F.col("event_id").alias("row_id"), F.col("event_type").alias("label"))
+    return e.select(F.concat(F.lit("day="), F.date_format("ts", "yyyy-MM-dd")).alias("file_id"), F.col("event_id").alias("row_id"), F.col("event_type").alias("label"), "value", "user_id")
 
 
 def stream_split_counts(spark: SparkSession, sf_dir: str, seed: int, outer: float) -> DataFrame:
