@@ -38,6 +38,33 @@ def overall(classes: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges of the ordering value that running sums are counted in, for each key.
+RANGES = 64
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """``df`` with the sums (new name: column) of all rows of the key up to and with the row's ``order`` value, which is distinct in a key.
+
+    Rows are dealt into ranges between approximate quantiles of the key; sums run within a range and over the ranges'
+    totals, so no task orders all rows of a key.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    dealt = df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter("cuts", lambda c: c < F.col(f"d.{order}"))).alias("range"))
+    inside = Window.partitionBy(*keys, "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
+    totals = dealt.groupBy(*keys, "range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    starts = totals.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("range").alias("k_range"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"start_{n}") for n in sums])
+    summed = dealt.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    on = summed["range"] == starts["k_range"]
+    for k in keys:
+        on = on & summed[k].eqNullSafe(starts[f"k_{k}"])
+    return summed.join(starts, on).select(*df.columns, *[(F.col(n) + F.col(f"start_{n}")).alias(n) for n in sums])
+
+
 def _by_score(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
 
@@ -45,26 +72,28 @@ def _by_score(df: DataFrame, keys: list[str], score: str, positive: Column) -> D
 def auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve by ``keys``: pairs ranked right, ties half; null where a side is empty.
 
-    Rows are first counted by score. Scores are summed up in order within a key; keys run side by side.
+    Rows are first counted by score.
     """
-    order = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(df, keys, score, positive).withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    ranked = running_sums(_by_score(df, keys, score, positive), keys, "score", {"upto": "neg"})
+    won = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2.0))
     return ranked.groupBy(*keys).agg(F.round(won / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0)), 9).alias("auc"))
 
 
 def curves(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    """Points by descending score: ``score, tp, fp, tpr, fpr, precision_at``. Keys whose rows are all alike give none."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    points = _by_score(df, keys, score, positive).select(*keys, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
-    points = points.where("p > 0 and n > 0")
-    return points.select(*keys, "score", "tp", "fp", F.round(F.col("tp") / F.col("p"), 9).alias("tpr"), F.round(F.col("fp") / F.col("n"), 9).alias("fpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("precision_at"))
+    """Points by descending score: ``score, tp, fp, tpr, fpr, precision_at``, and ``gain``, the step of tpr. Keys whose rows are all alike give none."""
+    counts = _by_score(df, keys, score, positive)
+    totals = counts.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0 and n > 0")
+    ranked = running_sums(counts, keys, "score", {"below_pos": "pos", "below_neg": "neg"})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    tp, fp = F.col("p") - F.col("below_pos") + F.col("pos"), F.col("n") - F.col("below_neg") + F.col("neg")
+    points = ranked.join(F.broadcast(totals), on).select(*keys, "score", tp.alias("tp"), fp.alias("fp"), "p", "n", (F.col("pos") / F.col("p")).alias("gain"))  # one row a key
+    return points.select(*keys, "score", "tp", "fp", F.round(F.col("tp") / F.col("p"), 9).alias("tpr"), F.round(F.col("fp") / F.col("n"), 9).alias("fpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("precision_at"), "gain")
 
 
 def average_precision(points: DataFrame, keys: list[str]) -> DataFrame:
-    before = F.lag("tpr", 1, 0.0).over(Window.partitionBy(*keys).orderBy(F.desc("score")))
-    return points.withColumn("gain", (F.col("tpr") - before) * F.col("precision_at")).groupBy(*keys).agg(F.round(F.sum("gain"), 6).alias("average_precision"))
+    return points.groupBy(*keys).agg(F.round(F.sum(F.col("gain") * F.col("precision_at")), 6).alias("average_precision"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -84,11 +113,14 @@ def class_distribution(rows: DataFrame, label: str, splits: tuple[str, ...]) ->
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Percentiles that are values of the table: the one at half-even round(share x (n - 1)); and the mean.
 
-    Values are counted first, so a task holds a key's distinct values.
+    Values are counted first.
     """
     counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    totals = counts.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.sum("c").alias("n"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    placed = running_sums(counts, keys, "v", {"upto": "c"}).join(F.broadcast(totals), on)  # one row a key
     at = {s: F.bround(F.lit(s) * (F.col("n") - 1), 0) for s in shares}
     name = lambda s: f"p{round(s * 100)}"
     picked = [F.max(F.when((F.col("upto") > at[s]) & (F.col("upto") - F.col("c") <= at[s]), F.col("v"))).alias(name(s)) for s in shares]
