@@ -65,13 +65,12 @@ class Signer:
         self.salts = rng.integers(0, 2**63, bands, np.uint64)
 
     def bands_of(self, found: np.ndarray) -> np.ndarray:
-        least = np.array([mixed_low(found * f) for f in self.factors], np.uint64).reshape(self.bands, self.rows)
-        return mixed((least * self.weights).sum(axis=1, dtype=np.uint64) ^ self.salts).view(np.int64)
-
-
-def mixed_low(x: np.ndarray) -> np.uint64:
-    """The smallest of the products after their high bits are folded down."""
-    return (x ^ (x >> np.uint64(32))).min()
+        least = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, np.uint64)
+        for start in range(0, len(found), 256):
+            products = found[start : start + 256, None] * self.factors
+            products ^= products >> np.uint64(32)  # the high bits, which depend on all others, are folded down
+            np.minimum(least, products.min(axis=0), out=least)
+        return mixed((least.reshape(self.bands, self.rows) * self.weights).sum(axis=1, dtype=np.uint64) ^ self.salts).view(np.int64)
 
 
 def signed_texts(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
