@@ -20,14 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import append_columns, documents
+from flowframe.llm.common import TEXT_ROWS, append_columns, documents
 from flowframe.sources.staging import staged
 
 SEQUENCE_TOKENS, END_ID = 4096, 1
 #: Pieces of a block on average, and search nodes spent on a block before the incumbent is taken.
 BLOCK_PIECES, NODES = 4096, 4000
-#: Rows that the encoder gets at once.
-ARROW_ROWS = 1200
 #: Alternatives tried for a bin.
 BRANCHES = 6
 #: Words that a worker has at hand with their ids before it sets them aside; it keeps those set aside last.
@@ -305,7 +303,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, block_pieces
 
     Every row is placed once, repeated rows too. An empty table gives an empty result.
     """
-    rows = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", ARROW_ROWS)
+    rows = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", TEXT_ROWS)
     blocks = max(1, -(-rows.count() // block_pieces))
     once = staged(_packed(rows, blocks, capacity, 0), "packed")
     poor = F.col("filled") < capacity - capacity // 64

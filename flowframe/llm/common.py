@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text handed to a Python function at once.
 BATCH_BYTES = 4 << 20
+#: Rows with texts that a Python function gets at once where its table is staged.
+TEXT_ROWS = 1200
 #: Entries that a worker's cache of words holds at most; beyond it words are computed again.
 CACHE_WORDS = 200_000
 

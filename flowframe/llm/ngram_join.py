@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import WordHashes, append_columns, documents, fresh_name, mixed, run_hashes
+from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, mixed, run_hashes
 from flowframe.llm.components import components
 from flowframe.sources.staging import staged
 
@@ -176,7 +176,7 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     """
     texts = documents(docs, id_col, text_col)
     bands, rows = bands_for(similarity, recall)
-    signed = staged(signed_texts(texts, bands, rows, words), "signed")
+    signed = staged(signed_texts(texts, bands, rows, words), "signed", TEXT_ROWS)
     classes = staged(
         signed.where("digest is not null").groupBy("digest").agg(
             F.count("*").alias("copies"), F.min("doc_id").alias("copies_of"), F.min(F.struct("copy", "doc_id")).alias("one"),
@@ -213,7 +213,7 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
         made = [verified(g, similarity, key[2], key[3]) for _, g in rows.groupby("group", sort=False)]
         return pd.concat(made, ignore_index=True)
 
-    links = staged(dealt.groupBy("many", "bin", "low", "high").applyInPandas(verify, "digest binary, root binary, links long"), "links")
+    links = staged(dealt.groupBy("many", "bin", "low", "high").applyInPandas(verify, "digest binary, root binary, links long"), "links", TEXT_ROWS)
     roots = components(links.where("digest <> root"), "digest", "root")
     linked = links.groupBy("digest").agg(F.sum("links").alias("links"))
     whole = classes.select("digest", "copies", "copies_of").join(linked, "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import by_bytes, documents, mixed
+from flowframe.llm.common import TEXT_ROWS, by_bytes, documents, mixed
 from flowframe.sources.staging import staged
 
 LENGTH, TRIGGER = 200, 48
@@ -222,8 +222,8 @@ def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
     copies = F.sum(F.when(F.col("through") > last, 2).otherwise(1))  # one, or more than one
     counts = phrases.groupBy("trigger").agg(copies.alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
     # Staged, so that the join's inputs are plain exchanges and a hot trigger's phrases can be split over tasks.
-    known = staged(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "triggers")
-    shared = staged(phrases.join(known, "trigger"), "shared")
+    known = staged(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "triggers", TEXT_ROWS)
+    shared = staged(phrases.join(known, "trigger"), "shared", TEXT_ROWS)
     mixed_ = shared.where("not alike")
     kinds = mixed_.groupBy("trigger", "content").agg(copies.alias("copies"), F.min(F.struct("row", "place")).alias("one"))
     kinds = staged(kinds.select("trigger", "content", "copies", "one.row", "one.place"), "kinds")
