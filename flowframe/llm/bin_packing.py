@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -132,6 +133,12 @@ class WordwiseEncoder:
         return [out[i] for i in range(len(texts))]
 
 
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> WordwiseEncoder:
+    """One encoder for all tasks of a worker process, which so keeps its words from task to task."""
+    return WordwiseEncoder(definition)
+
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: the documents' ids and the end id, cut where longer than ``capacity``.
 
@@ -142,7 +149,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encoder = WordwiseEncoder(definition)
+        encoder = _encoder(definition)
 
         def run(texts: list[str]) -> tuple[list]:
             out = []
