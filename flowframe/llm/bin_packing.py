@@ -78,9 +78,15 @@ class WordwiseEncoder:
             and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"} and d.get("post_processor") is None
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in d.get("added_tokens") or [])
         )
+        self.added = [t["content"].lower() for t in d.get("added_tokens") or []]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _read(self, text: str) -> str:
+        """The text lowered, unless that may make or break an added token: these are looked for before normalisation."""
+        low = _lowered(text)
+        return text if any(t in low for t in self.added) else low
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -126,7 +132,7 @@ class WordwiseEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if not self.separable or _ODD_SPACE.search(t)]
         out = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        split = {i: _lowered(t).split() for i, t in enumerate(texts) if i not in out}
+        split = {i: self._read(t).split() for i, t in enumerate(texts) if i not in out}
         table = self._words(set().union(*split.values()))
         for i, words in split.items():
             out[i] = b"".join(map(table.__getitem__, words))

@@ -93,6 +93,15 @@ def test_words_encode_like_whole_texts():
     B.CACHE_WORDS = kept
 
 
+def test_added_tokens_in_other_cases_are_plain_words():
+    encoder = B.WordwiseEncoder(open(P.path("word_bpe_49k.json")).read())
+    marks = [m for t in ("<|startoftext|>", "<|endoftext|>") for m in (t, t.upper(), t.title(), t[:3] + t[3].upper() + t[4:])]
+    rng = random.Random(2)
+    texts = [*marks, "<|ENDOFTEXT|> 漢", "a<|EndOfText|>b É", "<|ENDOFTEXT|><|endoftext|>Ab"]
+    texts += ["".join(rng.choices([*marks, "Ab", " ", "É", "x", "!", "漢", "<|", "|>"], k=rng.randint(1, 12))) for _ in range(500)]
+    assert encoder.separable and encoder.encode(texts) == encoder.whole(texts)
+
+
 def fewest(sizes, capacity):
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
 
