@@ -1,9 +1,9 @@
 """Packing tokenised documents into sequences by bin completion.
 
 Documents become pieces of at most one sequence. Pieces are dealt into blocks of bounded size; in each block a
-branch-and-bound search completes bins around the largest piece left: it enumerates fillings that no other filling
-dominates, least waste first, prunes branches whose waste leaves no room for an improvement, and starts from the
-best-fit-decreasing packing as its incumbent. Bins that stay poorly filled are dealt anew and packed again, so that
+branch-and-bound search completes bins around the largest piece left: it prunes branches whose waste leaves no room for
+an improvement and starts from the best-fit-decreasing packing as its incumbent. It first tries a few good fillings of
+each bin, least waste first, then all that no other filling dominates, until a number of nodes is used up. Bins that stay poorly filled are dealt anew and packed again, so that
 blocks do not each leave a partly filled bin.
 """
 
@@ -12,7 +12,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from flowframe.sources.staging import staged
 SEQUENCE_TOKENS, END_ID = 4096, 1
 #: Pieces of a block on average, and search nodes spent on a block before the incumbent is taken.
 BLOCK_PIECES, NODES = 4096, 4000
-#: Alternatives tried for a bin.
+#: Pairs of pieces that alternatives for a bin start from in the first search; the second tries all.
 BRANCHES = 6
 #: Words that a worker has at hand with their ids before it sets them aside; it keeps those set aside last.
 CACHE_WORDS = 250_000
@@ -188,7 +189,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def fillings(sizes: np.ndarray, counts: np.ndarray, room: int, branches: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, as indexes into ``sizes`` (ascending, distinct).
+    """A few undominated fillings of ``room``, least waste first, as indexes into ``sizes`` (ascending, distinct).
 
     A single piece that fits exactly dominates everything; a filling whose pieces fit into the pieces of another,
     one each or together into one, is dominated by it.
@@ -233,56 +234,103 @@ def fillings(sizes: np.ndarray, counts: np.ndarray, room: int, branches: int = B
     return [c for _, c in kept]
 
 
+def completions(sizes: np.ndarray, counts: np.ndarray, capacity: int, top: int, every: bool) -> Iterator[tuple[int, ...] | None]:
+    """The bins to try around a piece of ``sizes[top]``: those of ``fillings``, and with ``every`` all others after them.
+
+    The others are made one at a time, None standing for each step, so that the caller can bound them. Fillings that
+    another piece fits into, or in which a larger piece could stand in for one, are dominated and left out. ``counts``
+    is read when an item is asked for, and has to be then as it was first.
+    """
+    room = capacity - int(sizes[top])
+    counts[top] -= 1
+    first = fillings(sizes, counts, room)
+    counts[top] += 1
+    yield from [(top, *f) for f in first]
+    if not every or first == [()] or (len(first[0]) == 1 and sizes[first[0][0]] == room):
+        return
+    own = counts.copy()
+    own[top] -= 1
+    have = [int(i) for i in np.flatnonzero((own > 0) & (sizes <= room))]
+    s, free, seen = [int(sizes[i]) for i in have], [int(own[i]) for i in have], set(first)
+    taken: list[int] = []  # places in ``have``, not ascending
+    left, last = room, len(s) - 1
+    while True:
+        at = min(last, bisect_right(s, left) - 1)
+        if at >= 0 and not free[at]:
+            at -= 1  # only the piece taken last can be used up
+        if at >= 0:
+            taken.append(at)
+            free[at] -= 1
+            left, last = left - s[at], at
+            continue
+        yield None
+        fits = any(free[j] for j in range(bisect_right(s, left)))
+        if not fits and not any(free[j] for i in set(taken) for j in range(i + 1, bisect_right(s, s[i] + left))):
+            made = tuple(have[i] for i in taken)
+            if made not in seen:
+                yield (top, *made)
+        last = -1
+        while taken and last < 0:
+            at = taken.pop()
+            free[at] += 1
+            left, last = left + s[at], at - 1
+        if last < 0:
+            return
+
+
 def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of positions in ``lengths``, as few as the search finds; never more than best fit needs."""
+    """Bins of positions in ``lengths``, as few as the search finds; never more than best fit needs.
+
+    The bins that look best are searched first, then, where that leaves nodes, all. The result is the least possible
+    if the search ends, or meets the lower bound, before its nodes are used up.
+    """
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     incumbent = [[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)]
     total = sum(lengths)
     least = max(-(-total // capacity), sum(1 for x in lengths if 2 * x > capacity))
     if len(incumbent) <= least:
         return incumbent
-    sizes, counts = np.unique(np.array(lengths, np.int64), return_counts=True)
-    counts = counts.astype(np.int64)
+    sizes, all_counts = np.unique(np.array(lengths, np.int64), return_counts=True)
     best: list[tuple[int, ...]] | None = None
-    limit, spare = len(incumbent), (len(incumbent) - 1) * capacity - total
-    chosen: list[tuple[int, ...]] = []
-    wasted, spent = 0, 0
-    stack: list[list[tuple[int, ...]]] = []
-    forward = True
-    while spent < nodes + len(lengths):
-        if forward:
-            left = np.flatnonzero(counts)
-            if not len(left):
-                best, limit = list(chosen), len(chosen)
-                spare = (limit - 1) * capacity - total
-                if limit <= least:
-                    break
-                forward = False
-                continue
-            top = int(left[-1])
-            counts[top] -= 1
-            options = [(top, *f) for f in fillings(sizes, counts, capacity - int(sizes[top]))]
-            counts[top] += 1
-            stack.append(options[::-1])
-            spent += 1
-        elif not stack:
-            break
-        elif chosen and len(chosen) == len(stack):
-            undone = chosen.pop()
-            np.add.at(counts, list(undone), 1)
-            wasted -= capacity - int(sizes[list(undone)].sum())
-        forward = False
-        while stack[-1]:
-            option = stack[-1].pop()
-            waste = capacity - int(sizes[list(option)].sum())
-            if wasted + waste <= spare and len(chosen) + 1 < limit:
-                np.subtract.at(counts, list(option), 1)
-                chosen.append(option)
-                wasted += waste
-                forward = True
+    limit, spare, spent = len(incumbent), (len(incumbent) - 1) * capacity - total, 0
+    for every in (False, True):
+        counts = all_counts.astype(np.int64)
+        chosen: list[tuple[int, ...]] = []
+        wasted = 0
+        stack: list[Iterator[tuple[int, ...] | None]] = []
+        forward = True
+        while limit > least and spent < nodes + len(lengths):
+            if forward:
+                left = np.flatnonzero(counts)
+                if not len(left):
+                    best, limit = list(chosen), len(chosen)
+                    spare = (limit - 1) * capacity - total
+                    forward = False
+                    continue
+                stack.append(completions(sizes, counts, capacity, int(left[-1]), every))
+                spent += 1
+            elif not stack:
                 break
-        else:
-            stack.pop()
+            elif chosen and len(chosen) == len(stack):
+                undone = chosen.pop()
+                np.add.at(counts, list(undone), 1)
+                wasted -= capacity - int(sizes[list(undone)].sum())
+            forward = False
+            for option in stack[-1]:
+                if option is None:
+                    spent += 1
+                    if spent >= nodes + len(lengths):
+                        break
+                    continue
+                waste = capacity - int(sizes[list(option)].sum())
+                if wasted + waste <= spare and len(chosen) + 1 < limit:
+                    np.subtract.at(counts, list(option), 1)
+                    chosen.append(option)
+                    wasted += waste
+                    forward = True
+                    break
+            else:
+                stack.pop()
     if best is None:
         return incumbent
     places: dict[int, list[int]] = {}

@@ -133,6 +133,18 @@ def test_bins_are_as_few_as_possible():
     assert better, "the search improves on best fit somewhere"
 
 
+def test_bins_that_need_other_fillings_than_the_first_ones():
+    for capacity, least, sizes in [
+        (200, 3, [1, 17, 19, 21, 28, 56, 66, 70, 94, 99, 129]),
+        (200, 3, [3, 9, 12, 19, 21, 21, 24, 29, 43, 54, 118, 121, 126]),
+        (100, 3, [2, 5, 6, 7, 8, 11, 12, 19, 34, 45, 63, 88]),
+        (100, 3, [4, 6, 21, 22, 22, 30, 31, 48, 51, 65]),
+    ]:
+        bins = B.complete_bins(sizes, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= capacity for b in bins)
+        assert len(bins) == least
+
+
 def test_fillings_are_undominated():
     sizes, counts = np.array([2, 3, 5, 8]), np.array([2, 1, 1, 1])
     assert B.fillings(sizes, counts, 8) == [(3,)] and B.fillings(sizes, counts, 1) == [()]
