@@ -7,9 +7,10 @@ be compared, and the corpus is never sorted as a whole:
 
 * the dictionary of phrases is counted by (trigger, content); a phrase that occurs twice is repeated in full, and
   one whose trigger occurs nowhere else is not repeated at all, neither needs its text looked at;
-* the phrases that are left, distinct phrases with a common trigger, are put into corpus order on both sides of it: a
-  suffix array of what follows the trigger, and one of what precedes it, read backwards. Two strings are equal if
-  they fall into the same run of both arrays, by their longest common prefixes.
+* the phrases that are left, distinct phrases with a common trigger, are sorted on both sides of it: by what follows
+  the trigger, and by what precedes it, read backwards. Two strings are equal if they fall into the same run of both
+  orders, by their longest common prefixes. These orders, one pair a trigger, stand in for the suffix arrays of
+  dictionary and parse.
 
 Phrases hold at most ``length`` strings, parses are rows of a table, and triggers with very many distinct phrases
 are decided string by string with a grouped count, so that no task holds more than a bounded number of phrases.
