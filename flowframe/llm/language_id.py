@@ -60,32 +60,45 @@ class LanguageModel:
         return classify
 
 
+def _equal_share(sizes: list[int], room: int) -> int:
+    """The most that each of ``sizes`` may count for so that their sum stays within ``room``."""
+    for done, size in enumerate(sorted(sizes)):
+        share = room // (len(sizes) - done)
+        if size > share:
+            return share
+        room -= size
+    return max(sizes, default=0)
+
+
 def fit_languages(docs: DataFrame, lang: Column | str, text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
-    """Dictionaries from a bounded sample: for each language the ``sample_documents`` texts with the smallest hash,
-    no more than an eighth of ``dictionary_bytes`` characters of each, joined and cut at ``dictionary_bytes``.
+    """Dictionaries from a bounded sample: for each language the ``sample_documents`` texts with the smallest hash, equal
+    texts once. Their beginnings are joined to ``dictionary_bytes``: the same number of bytes of each, or all of shorter
+    texts, but no more than an eighth of ``dictionary_bytes`` characters.
 
     Rows without a language or without text are not learned from. No rows give a model that answers ``und``.
     """
     lang = docs[lang] if isinstance(lang, str) else lang
     rows = docs.select(lang.alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = rows.select("lang", F.xxhash64("text").alias("hash"), "text")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
+    if not counts:
+        return LanguageModel(())
     # Of each language about four times the sample is shuffled, whatever the table's size; the rank picks from that.
     slots = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(slots, slots * 4 * sample_documents // n + 1))]) if counts else None
-    if share is None:
-        return LanguageModel(())
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(slots, slots * 4 * sample_documents // r["texts"] + 1))])
     few = rows.where(F.pmod("hash", F.lit(slots)) < share[F.col("lang")])
-    few = few.select("lang", "hash", F.substring("text", F.lit(1), F.lit(dictionary_bytes // 8)).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    few = few.groupBy("lang", "hash").agg(F.min(F.substring("text", F.lit(1), F.lit(dictionary_bytes // 8))).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= sample_documents).collect()
-    parts: dict[str, list[tuple[int, str]]] = {}
+    parts: dict[str, list[tuple[int, bytes]]] = {}
     for row in chosen:
-        parts.setdefault(row["lang"], []).append((row["rank"], row["text"]))
+        parts.setdefault(row["lang"], []).append((row["rank"], row["text"].lower().encode("utf-8", "replace")))
     made = []
     for name in sorted(parts, key=lambda k: (-counts[k], k)):
-        content = "\n".join(t.lower() for _, t in sorted(parts[name])).encode("utf-8", "replace")
-        made.append((name, content[:dictionary_bytes]))
+        texts = [t for _, t in sorted(parts[name])]
+        each = _equal_share([len(t) + 1 for t in texts], dictionary_bytes + 1)  # with the line end that follows
+        made.append((name, b"\n".join(t[: max(1, each - 1)] for t in texts)[:dictionary_bytes]))
     return LanguageModel(tuple(made))
 
 

@@ -24,6 +24,14 @@ def test_languages_are_told_on_the_held_out_fold(spark):
     assert found.where("score < 0 or score > 1 or score is null or lang_pred is null").count() == 0 and found.count() == 1000
 
 
+def test_every_sampled_text_is_learned_once(table):
+    copies, long = "copied words " * 8, [f"mark{i}x " + f"some{i} words " * 2000 for i in range(40)]
+    model = L.fit_languages(table(rows([copies] * 500 + long)), "lang")
+    (_, content), = model.dictionaries
+    assert content.count(copies.encode()) == 1 and all(f"mark{i}x".encode() in content for i in range(40))
+    assert 0.99 * L.DICTIONARY_BYTES < len(content) <= L.DICTIONARY_BYTES
+
+
 def test_texts_without_letters_are_unknown(odd, empty, table):
     model = L.fit_languages(table(rows(["the cat and the dog"] * 3) + [(9, "der hund und die katze", "de", *[None] * 8)]), "lang")
     assert [n for n, _ in model.dictionaries] == ["en", "de"]
