@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowframe.sources.staging import staged
+
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """``actual, predicted, n, row_share`` for every pair of labels, zeros too; shares of an unseen label are 0."""
@@ -127,6 +129,24 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float
     return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picked, F.round(F.sum(F.col("v").cast("decimal(18,2)") * F.col("c")).cast("double") / F.max("n"), 6).alias("mean"))
 
 
+def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """``keys, percentile``: exact, weighted between the two nearest values; keys without a value give no row.
+
+    Values are counted first, and the counts staged, so no task holds all values of a key.
+    """
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "counts")
+    totals = counts.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.sum("c").alias("n"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    placed = running_sums(counts, keys, "v", {"upto": "c"}).join(F.broadcast(totals), on)  # one row a key
+    at = (F.col("n") - 1) * F.lit(share)
+    picked = [F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v"))).alias(name) for name, r in (("low", F.floor(at)), ("high", F.ceil(at)))]
+    part = F.max(at - F.floor(at)).alias("part")
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    return placed.groupBy(*keys).agg(*picked, part).select(*keys, between.alias("percentile"))
+
+
 def running_best(df: DataFrame, order: str, value: str) -> DataFrame:
     """Adds ``best_before`` and ``improved`` (strictly more than all before) to a history of one row a step."""
     earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

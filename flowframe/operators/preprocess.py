@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowframe.functions.cleaning import min_max, number
-from flowframe.operators.profile import unpivoted
+from flowframe.operators.metrics import exact_percentile
 
 
 def candidates(columns: list[str], excluded: set[str]) -> list[str]:
@@ -53,8 +53,11 @@ def choose_features(train: DataFrame, columns: list[str], row_key: list[str]) ->
 
 
 def medians(train: DataFrame, columns: list[str]) -> DataFrame:
-    """``column_name, median``: exact, between the middle values where two are."""
-    return unpivoted(train.agg(*[F.median(c).alias(c) for c in columns]), "column_name", "median")
+    """``column_name, median``: exact, between the middle values where two are; null without values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    found = exact_percentile(train.select(each).select("x.*"), ["column_name"], "v", 0.5)
+    names = train.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+    return names.join(found, "column_name", "left").withColumnRenamed("percentile", "median")
 
 
 @dataclass(frozen=True)
@@ -77,7 +80,8 @@ def fit(df: DataFrame, columns: list[str], row_key: list[str], label: str, inlie
     train = coerced(df.where("split = 'train'"), columns)
     decisions = choose_features(train, columns, row_key)
     kept = [c for c in columns if decisions[c] == "kept"]
-    middle = train.agg(*[F.median(c).alias(c) for c in kept]).first().asDict() if kept else {}
+    found = {r["column_name"]: r["median"] for r in medians(train, kept).collect()} if kept else {}
+    middle = {c: found[c] for c in kept}
     inside = train.where(inlier) if inlier else train
     filled = inside.withColumns({c: F.coalesce(c, F.lit(middle[c])) for c in kept})
     bounds = filled.agg(*[f(c).alias(f"{c}_{n}") for c in kept for n, f in (("low", F.min), ("high", F.max))]).first() if kept else {}

@@ -53,3 +53,25 @@ def test_unknown_labels_are_an_error(spark):
     codes = P.label_codes(table(spark), "label")
     with pytest.raises(Exception, match="vocabulary"):
         P.encoded(table(spark).withColumn("label", F.lit("Z")), codes, "label").collect()
+
+
+def test_medians_and_thresholds_hold_no_column_in_one_task(spark, monkeypatch):
+    import numpy as np
+
+    from flowframe.operators.outlier import IsolationForest
+
+    def refused(*_):
+        raise AssertionError("exact percentiles keep all values of a column in one state")
+
+    monkeypatch.setattr(F, "median", refused)
+    monkeypatch.setattr(F, "percentile", refused)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=500), rng.integers(0, 3, 500).astype(float)
+    df = spark.createDataFrame([(i, float(x), float(y) if i % 3 else None, None) for i, (x, y) in enumerate(zip(a, b, strict=True))], "id long, a double, b double, c double")
+    got = {r["column_name"]: r["median"] for r in P.medians(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": float(np.median(a)), "b": float(np.median(b[np.arange(500) % 3 > 0])), "c": None}
+    fitted = P.fit(df.selectExpr("*", "'train' split", "'x' label"), ["a", "b", "c"], ["id"], "label")
+    assert fitted.median == {c: got[c] for c in "ab"}
+    forest = IsolationForest.fit(df, ["a", "b"], ["id"], trees=5, tree_rows=64)
+    scores = [r["score"] for r in forest.score(df).collect()]
+    assert abs(forest.threshold - np.percentile(scores, 99)) < 1e-12
