@@ -1,19 +1,26 @@
-"""Byte-level BPE from a file of ranks, by the tokenizers library over Arrow batches."""
+"""Byte-level BPE from a file of ranks, by the tokenizers library over Arrow batches.
+
+A text is cut into the matches of a pattern; the distinct matches of a batch are mapped from bytes to characters and
+encoded by the library, once while a worker keeps them, and each text's ids are joined from its matches. Decoding maps
+the characters of the ids' tokens back through the reversed byte table. A token may begin or end inside a character:
+spans then take the whole character, and texts are decoded token by token with what is left over carried along.
+"""
 
 from __future__ import annotations
 
 import base64
 import codecs
-import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from flowframe.llm.common import append_columns, documents
+from flowframe.llm.words import Kept, WordIds
 
 
 def byte_characters() -> list[str]:
@@ -29,15 +36,15 @@ def byte_characters() -> list[str]:
 
 @dataclass(frozen=True)
 class ByteBpe:
-    """A byte-level vocabulary: the tokenizers definition, and each id's bytes."""
+    """A byte-level vocabulary: the tokenizers definition (its model only), and the pattern of a word."""
 
     definition: str
-    tokens: tuple[bytes, ...]
+    pattern: str
 
     @classmethod
     def from_ranks(cls, path: str, pattern: str) -> ByteBpe:
         """Reads base64 token and rank a line. Any two tokens whose bytes join to a token merge, lowest rank first."""
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -48,19 +55,35 @@ class ByteBpe:
             cuts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [(shown[a], shown[b]) for a, b in sorted(cuts, key=lambda c: (ranks[c[0]], ranks[c[1]]))]
         made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        made.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-        ])
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        return cls(made.to_str(), tuple(table))
-
-    def tokenizer(self):
+        return cls(made.to_str(), pattern)
+
+    def coder(self) -> ByteCoder:
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return Tokenizer.from_str(self.definition)
+        return ByteCoder(Tokenizer.from_str(self.definition), self.pattern)
+
+
+class ByteCoder:
+    """Encodes and decodes with a byte-level vocabulary; keeps the words it meets."""
+
+    def __init__(self, tokenizer, pattern: str):
+        found = regex.compile(pattern)
+        self.words = (lambda text: [m[0] for m in found.finditer(text)]) if found.groups else found.findall
+        self.kept = Kept(WordIds(tokenizer.model))
+        back = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = tokenizer.get_vocab()
+        self.tokens = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for token, i in vocabulary.items():
+            self.tokens[i] = bytes(back[c] for c in token)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        #: Tokens that begin inside a character of a text.
+        self.inside = np.array([len(t) > 0 and t[0] & 0xC0 == 0x80 for t in self.tokens], bool)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids (little-endian unsigned 32-bit) of whole texts."""
+        split = [self.words(t) for t in texts]
+        table = self.kept.of(set().union(*split))
+        return [b"".join(map(table.__getitem__, words)) for words in split]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of the ids. Unknown ids raise IndexError."""
@@ -71,9 +94,6 @@ class ByteBpe:
         reader = codecs.getincrementaldecoder("utf-8")("replace")
         return [reader.decode(self.tokens[i]) for i in ids] + [x for x in [reader.decode(b"", True)] if x]
 
-    def byte_lengths(self) -> np.ndarray:
-        return np.array([len(t) for t in self.tokens], np.int64)
-
 
 def char_spans(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one-past-last character of each token; a token that holds part of a character spans all of it."""
@@ -85,27 +105,29 @@ def char_spans(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndar
 
 
 def code_documents(docs: DataFrame, codec: ByteBpe, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, decoded: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids`` for every row; ``ids`` is little-endian unsigned 32-bit integers.
+    """``doc_id, n_tokens, n_inside, ids`` for every row; ``ids`` is little-endian unsigned 32-bit integers.
 
-    ``spans`` adds ``char_starts`` and ``char_ends`` (arrays of int), ``decoded`` the bytes that the ids decode to.
-    Null and empty texts have no ids. Whole texts are encoded, however long; other columns are ignored.
+    ``n_inside`` counts the tokens that begin inside a character. ``spans`` adds ``char_starts`` and ``char_ends``
+    (arrays of int), ``decoded`` the bytes that the ids decode to. Null and empty texts have no ids. Whole texts are
+    encoded, however long; repeated rows are coded alike, and characters that the pattern leaves out are left out.
+    Other columns are ignored; an empty table gives an empty result.
     """
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_inside", T.LongType()), T.StructField("ids", T.BinaryType())]
     fields += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("char_starts", "char_ends") if spans]
     fields += [T.StructField("decoded", T.BinaryType())] * decoded
 
     def make():
-        tokenizer, lengths = codec.tokenizer(), codec.byte_lengths()
+        coder = codec.coder()
 
         def run(texts: list[str]) -> list:
-            all_ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            packed = [np.array(x, np.uint32) for x in all_ids]
-            out: list = [[len(x) for x in all_ids], [x.astype("<u4").tobytes() for x in packed]]
+            packed = coder.encode(texts)
+            ids = [np.frombuffer(x, "<u4") for x in packed]
+            out: list = [[len(x) for x in ids], [int(coder.inside[x].sum()) for x in ids], packed]
             if spans:
-                both = [char_spans(t, x.astype(np.int64), lengths) for t, x in zip(texts, packed, strict=True)]
+                both = [char_spans(t, x, coder.lengths) for t, x in zip(texts, ids, strict=True)]
                 out += [[a.astype(np.int32) for a, _ in both], [b.astype(np.int32) for _, b in both]]
             if decoded:
-                out.append([codec.decode(x) for x in all_ids])
+                out.append([coder.decode(x.tolist()) for x in ids])
             return out
 
         return run
@@ -122,8 +144,9 @@ def decode_documents(coded: DataFrame, codec: ByteBpe, ids_col: str = "ids") ->
     at = coded.columns.index(ids_col)
 
     def run(batches):
+        coder = codec.coder()
         for batch in batches:
-            data = [codec.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()]
+            data = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()]
             new = [pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
