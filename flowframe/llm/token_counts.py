@@ -10,6 +10,10 @@ encodings agree with that of the whole text on either side, and the counts are s
 * from a common word start on, the second chunk is matched exactly as the whole text is.
 
 If no common start lies in the overlap, the overlap is widened; if it reaches the last splice, the first chunk is.
+
+Words are found by the pre-tokenizer's pattern and encoded by the library once while a worker keeps them; texts and
+chunks with added tokens, or with characters on whose kind Unicode tables may differ, are encoded by the library as
+they are.
 """
 
 from __future__ import annotations
@@ -18,13 +22,17 @@ import json
 import os
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe.llm.common import append_columns, documents
+from flowframe.llm.words import Kept, Unassigned, WordIds
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
+#: Fixed value: the pattern of a byte-level pre-tokenizer's words.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def margin_of(definition: str) -> int | None:
@@ -50,10 +58,24 @@ class Counter:
         self.tokenizer = Tokenizer.from_str(definition)
         self.margin = margin_of(definition)
         self.chunk, self.overlap, self.widened = max(2, chunk), max(1, overlap), 0
+        self.added = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
+        self.words, self.unassigned = regex.compile(WORD).findall, Unassigned()
+        ids = WordIds(self.tokenizer.model)
+        self.kept = Kept(lambda words: [len(x) // 4 for x in ids(words)])
+
+    def _plain(self, text: str) -> bool:
+        """Whether the text's words, encoded one by one, are the whole text's tokens."""
+        return self.margin is not None and not any(t in text for t in self.added) and not self.unassigned(text)
 
     def _encoded(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Where words start in text[start:end], and the tokens before each; the end comes last."""
-        made = self.tokenizer.encode(text[start:end], add_special_tokens=False)
+        part = text[start:end]
+        if self._plain(part):
+            words = self.words(part)
+            table = self.kept.of(words)
+            begins = np.cumsum([start, *map(len, words)])
+            return begins, np.cumsum([0, *map(table.__getitem__, words)])
+        made = self.tokenizer.encode(part, add_special_tokens=False)
         words = np.array(made.word_ids, np.int64)
         first = np.flatnonzero(np.diff(words, prepend=-1)) if len(words) else np.zeros(0, np.int64)
         begins = np.array([a for a, _ in made.offsets], np.int64)
@@ -79,9 +101,14 @@ class Counter:
         return total + int(before[-1] - before[np.searchsorted(starts, spliced)])
 
     def count(self, texts: list[str]) -> list[int]:
-        long = [self.margin is not None and len(t) > self.chunk for t in texts]
-        short = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, long, strict=True) if not x], add_special_tokens=False))
-        return [self.count_long(t) if x else len(next(short)) for t, x in zip(texts, long, strict=True)]
+        long = {i for i, t in enumerate(texts) if self.margin is not None and len(t) > self.chunk}
+        plain = [i for i, t in enumerate(texts) if i not in long and self._plain(t)]
+        split = [self.words(texts[i]) for i in plain]
+        table = self.kept.of(set().union(*split))
+        found = {i: sum(map(table.__getitem__, words)) for i, words in zip(plain, split, strict=True)}
+        rest = [i for i in range(len(texts)) if i not in long and i not in found]
+        found.update(zip(rest, map(len, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)), strict=True))
+        return [self.count_long(t) if i in long else found[i] for i, t in enumerate(texts)]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

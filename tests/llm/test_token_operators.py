@@ -17,6 +17,8 @@ from flowframe.llm.byte_bpe import ByteBpe, char_spans, code_documents, decode_d
 from flowframe.llm.token_counts import Counter, count_tokens, margin_of
 
 ALPHABET = [*"abcdefgh ABE  \n\t'srtve019.,!?-é漢😀́ΣİÅ\x1c\x85", "the ", "'re", "<|endoftext|>", "ing ", "a" * 30, " " * 12]
+#: Texts around every character below 0x3000, every later block's first ones, and some that newer tables assign.
+POINTS = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}'{chr(c)}s" for c in [*range(0x3000), *range(0x3000, 0x110000, 97), 0xA7CE, 0x107BB, 0x10EC2, 0x3347A] if not 0xD800 <= c < 0xE000]
 
 
 def strings(n, most, seed=1):
@@ -58,21 +60,31 @@ def test_counts_of_odd_rows(odd, empty):
 
 def test_bpe_equals_tiktoken(bpe):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-    model, ours = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.tokenizer()
-    points = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}'{chr(c)}s" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
-    for text in strings(1500, 120) + points:
-        ids = ours.encode(text, add_special_tokens=False).ids
-        assert ids == model.encode_ordinary(text) and bpe.decode(ids) == text.encode()
+    model, ours = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.coder()
+    texts = [*strings(1500, 120), "a" * 9000, " " * 900, "\0", "a\0\0b \0c", *POINTS]
+    ours.kept.most = 3000
+    for i in range(0, len(texts), 500):
+        for text, data in zip(some := texts[i : i + 500], ours.encode(some), strict=True):
+            ids = np.frombuffer(data, "<u4").tolist()
+            assert ids == model.encode_ordinary(text) and ours.decode(ids) == text.encode()
+
+
+def test_counts_of_every_kind_of_character():
+    definition = open(P.path("byte_bpe_50k.json")).read()
+    counter, whole = Counter(definition, 25, 8), Tokenizer.from_str(definition)
+    texts = [*POINTS, "a\0\0b \0c", *("".join(POINTS[i : i + 9]) for i in range(0, len(POINTS), 9))]
+    assert counter.count(texts) == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_spans_and_split_characters(bpe):
-    text, lengths = "héllo 漢😀 x", bpe.byte_lengths()
-    ids = np.array(bpe.tokenizer().encode(text, add_special_tokens=False).ids)
-    starts, ends = char_spans(text, ids, lengths)
+    text, coder = "héllo 漢😀 x", bpe.coder()
+    ids = np.frombuffer(coder.encode([text])[0], "<u4")
+    starts, ends = char_spans(text, ids, coder.lengths)
     assert starts[0] == 0 and ends[-1] == len(text) and all(a < b for a, b in zip(starts, ends, strict=True))
-    assert "".join(bpe.decode_pieces(ids.tolist())) == text and len(ids) > len({*zip(starts, ends, strict=True)})
-    broken = [i for i in range(256) if bpe.tokens[i] == b"\xe6"]
-    assert bpe.decode_pieces(broken) == ["", "�"]
+    assert "".join(coder.decode_pieces(ids.tolist())) == text and len(ids) > len({*zip(starts, ends, strict=True)})
+    assert coder.inside[ids].sum() == sum(text.encode()[:b].decode(errors="ignore").encode() != text.encode()[:b] for b in np.cumsum(coder.lengths[ids])) > 0
+    broken = [i for i in range(256) if coder.tokens[i] == b"\xe6"]
+    assert coder.decode_pieces(broken) == ["", "�"]
 
 
 def test_coded_rows(odd, empty, bpe):
@@ -173,14 +185,16 @@ def test_queries_over_a_whole_table(spark, bpe):
 
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    whole, ours = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.tokenizer()
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    model = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     counts = Q.op1_token_counts(spark, sf).collect()
     assert len(counts) == len(texts)
     for r in counts:
         n = len(whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 1024)
     for r in Q.op8_byte_bpe(spark, sf).collect():
-        ids = np.array(ours.encode(texts[r["doc_id"]], add_special_tokens=False).ids, "<u4")
+        ids = np.array(model.encode_ordinary(texts[r["doc_id"]]), "<u4")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     packed = Q.op6_bin_completion(spark, sf)
