@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowframe.sources.staging import staged
+
 #: Bytes of text handed to a Python function at once.
 BATCH_BYTES = 4 << 20
 #: Rows with texts that a Python function gets at once where its table is staged.
@@ -19,12 +21,32 @@ TEXT_ROWS = 1200
 #: Entries that a worker's cache of words holds at most; beyond it words are computed again.
 CACHE_WORDS = 200_000
 
+#: What tells rows apart where ids may be null or repeat.
+ROW = ["file", "row"]
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty), and ``carry`` as ``carried`` if named, whatever other columns ``docs`` has."""
     more = [docs[carry].alias("carried")] if carry else []
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
+def with_rows(docs: DataFrame, in_files: bool, name: str | None = None) -> DataFrame:
+    """``docs`` with the longs ``file`` and ``row``, or a struct of them called ``name``, the same at each reading.
+
+    ``in_files`` says that ``docs`` reads Parquet files with nothing but projections and filters on top: then they are
+    a hash of the file's path and the place in the file, which do not depend on how the files are split into tasks.
+    Any other table is numbered and written once to the shared folder, and read from there.
+    """
+    if in_files and "_metadata" not in docs.columns:
+        file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+        return docs.withColumn(name, F.struct(file.alias("file"), row.alias("row"))) if name else docs.withColumns({"file": file, "row": row})
+    number = F.monotonically_increasing_id()
+    if name:
+        return staged(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), number.alias("row"))), "rows", TEXT_ROWS)
+    return staged(docs.withColumns({"file": F.lit(0).cast("long"), "row": number}), "rows", TEXT_ROWS)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

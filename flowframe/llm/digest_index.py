@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by the SHA-256 digest of the normalised text. A batch is reduced to one
 row per digest (partial aggregation, so a hot text costs one row a task), anti-joined to the index by sort-merge
-(the index side is read in its buckets, without a shuffle), and the digests that are new are appended.
+(the index side is read in its buckets, without a shuffle), and the digests that are new are appended. Each row of the
+index names the batch that brought it, so a batch that is added again, after a failure say, gets the same answers.
 """
 
 from __future__ import annotations
@@ -27,26 +28,65 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts accepted so far, with the document that stands for each.
 
-    ``table`` is a catalogue table name; it is created by the first ``add``. Buckets are fixed at creation:
-    choose about one for each 128 MB of digests expected.
+    ``table`` is a catalogue table name; it is made here unless it exists. Buckets are fixed then: choose about one
+    for each 128 MB of digests expected. Without a name the index has a table of its own, which ``drop`` removes.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.table = table or f"flowframe_digests_{uuid.uuid4().hex}"
+        self.spare = f"{self.table}_compacted"
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.drop()
 
     def rows(self) -> DataFrame:
         return self.spark.read.table(self.table)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    def _append(self, rows: DataFrame, table: str) -> None:
+        dealt = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
+        dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+
+    def _open(self, keep_id: Column) -> None:
+        """Makes the table where it does not exist: from a compaction that did not get to the end, or empty."""
+        if self.spark.catalog.tableExists(self.table):
+            return
+        if self.spark.catalog.tableExists(self.spare):
+            self.spark.sql(f"ALTER TABLE {self.spare} RENAME TO {self.table}")
+            return
+        none = self.spark.range(0)
+        self._append(none.select(F.lit(b"").alias("digest"), keep_id.alias("keep_id"), F.lit("").alias("batch")), self.table)
+
+    def compact(self) -> None:
+        """Writes the files of all batches as one file a bucket, so that buckets are read in order again.
+
+        Not to be run while a batch is added. After a failure the next ``add`` finds either table.
+        """
+        if self.spark.catalog.tableExists(self.table):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.spare}")
+            self._append(self.rows(), self.spare)
+            self.drop()
+            self.spark.sql(f"ALTER TABLE {self.spare} RENAME TO {self.table}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def add(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
         """Adds a batch and says for each of its rows whether it stays.
 
-        Returns ``doc_id, keep_id, group_size, kept, text_sha256``, and the column ``carry`` of the batch if named. ``group_size`` counts this batch's rows with
-        that text. Of equal texts the one with most code points, then the smallest doc_id (nulls last) stays; of
-        rows alike in both, exactly one. A text that an earlier batch brought is dropped in favour of that
-        document. Null texts are empty texts and equal to each other; an empty table gives an empty result; other
-        columns are ignored. Batches are added one after another.
+        Returns ``doc_id, keep_id, group_size, kept, text_sha256``, and the column ``carry`` of the batch if named,
+        from tables in the shared folder: the index is not needed to read it. ``group_size`` counts this batch's
+        rows with that text. Of equal texts the one with most code points, then the smallest doc_id (nulls last)
+        stays; of rows alike in both, exactly one. A text that an earlier batch brought is dropped in favour of that
+        document. ``batch`` names the batch (by default a new name): one that is added again under its name has the
+        verdicts of the first time, whatever part of it the index already holds. Null texts are empty texts and equal
+        to each other; an empty table gives an empty result; other columns are ignored. Batches are added one after
+        another.
         """
+        name = batch or uuid.uuid4().hex
         carried = [F.col("carried")] if carry else []
         text = documents(docs, id_col, text_col, carry)
         rows = staged(
@@ -57,28 +97,22 @@ class DigestIndex:
             "digests",
         )
         best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-        batch = staged(
+        found = staged(
             rows.groupBy("digest")
             .agg(F.count("*").alias("group_size"), best.alias("best"))
             .select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")),
             "batch",
         )
-        name = uuid.uuid4().hex
-        if self.spark.catalog.tableExists(self.table):
-            fresh = batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        else:
-            fresh = batch
-        (
-            fresh.select("digest", "keep_id", F.lit(name).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
-        )
-        known = self.rows().select("digest", F.col("keep_id").alias("known_id"), F.col("batch") == name)
-        known = known.toDF("digest", "known_id", "own")
-        verdict = batch.join(known.hint("merge"), "digest").select(
-            "digest", "group_size", F.col("known_id").alias("keep_id"), F.when(F.col("own"), F.col("keep_row")).alias("keep_row")
+        self._open(F.lit(None).cast(found.schema["keep_id"].dataType))
+        fresh = found.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        self._append(fresh.withColumn("batch", F.lit(name)), self.table)
+        known = self.rows().select("digest", F.col("keep_id").alias("known_id"), (F.col("batch") == name).alias("own"))
+        verdict = found.join(known.hint("merge"), "digest").select(
+            "digest", "group_size", F.when(F.col("own"), F.col("keep_id")).otherwise(F.col("known_id")).alias("keep_id"),
+            F.when(F.col("own"), F.col("keep_row")).alias("keep_row"),
         )
-        return rows.join(verdict, "digest").select(
+        # Staged, so that the join's inputs are plain exchanges and a hot digest's rows can be split over tasks.
+        return rows.join(staged(verdict, "verdict"), "digest").select(
             "doc_id", "keep_id", "group_size",
             F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"), *[c.alias(carry) for c in carried],

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, mixed, run_hashes
+from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, mixed, run_hashes, with_rows
 from flowframe.llm.components import components
 from flowframe.sources.staging import staged
 
@@ -32,14 +32,19 @@ _WORD = re.compile(r"\w+")
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): the longest bands whose number stays within ``most`` hashes and reaches ``recall`` at ``similarity``."""
-    found = (1, 1)
+    """(bands, rows): the longest bands whose number stays within ``most`` hashes and reaches ``recall`` at ``similarity``.
+
+    Raises where no bands do.
+    """
+    found = None
     for rows in range(1, most + 1):
         miss = 1.0 - similarity**rows
         bands = 1 if miss <= 0 else int(np.ceil(np.log(1.0 - recall) / np.log(miss)))
         if bands * rows > most:
             break
         found = (bands, rows)
+    if found is None:
+        raise ValueError(f"{most} hashes do not reach a recall of {recall} at a similarity of {similarity}")
     return found
 
 
@@ -228,10 +233,16 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, one of each class: the row that comes first in the table (read the same way each time)."""
-    name = fresh_name(docs, "row")
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    classes = join_documents(rows, similarity, id_col=name, text_col=text_col)
-    dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(name))
-    return rows.join(staged(dropped, "dropped"), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, in_files: bool = False) -> DataFrame:
+    """The rows of ``docs``, one of each class of ``join_documents``: that with the smallest id (nulls last), of rows with
+    one id any.
+
+    Texts without words, null and empty ones too, all stay, and so do null ids that are no copies. ``in_files``: see
+    ``with_rows``. An empty table gives an empty result; the columns are those of ``docs``.
+    """
+    row, key = fresh_name(docs, "row"), fresh_name(docs, "key")
+    rows = with_rows(docs, in_files, row)
+    keyed = rows.withColumn(key, F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")))
+    classes = join_documents(keyed, similarity, id_col=key, text_col=text_col)
+    dropped = classes.where("doc_id <> class_id").select(F.col("doc_id.row").alias(row))
+    return rows.join(staged(dropped, "dropped"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import TEXT_ROWS, by_bytes, documents, mixed
+from flowframe.llm.common import ROW, TEXT_ROWS, by_bytes, documents, mixed, with_rows
 from flowframe.sources.staging import staged
 
 LENGTH, TRIGGER = 200, 48
@@ -108,42 +108,42 @@ def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np
 
 
 def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
-    schema = "row long, place long, through long, trigger long, content long"
+    schema = "file long, row long, place long, through long, trigger long, content long"
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in by_bytes(whole, 2):
-                rows, parts = batch.column(0).to_pylist(), [parse(t.encode("utf-8"), length, trigger) for t in batch.column(2).to_pylist()]
-                row = np.repeat(np.array(rows, np.int64), [len(p[0]) for p in parts])
-                columns = [row, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "place", "through", "trigger", "content"])
+            for batch in by_bytes(whole, 3):
+                parts = [parse(t.encode("utf-8"), length, trigger) for t in batch.column(3).to_pylist()]
+                rows = [np.repeat(batch.column(c).to_numpy(), [len(p[0]) for p in parts]) for c in (0, 1)]
+                columns = [*rows, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ROW, "place", "through", "trigger", "content"])
 
     return base.mapInArrow(run, schema)
 
 
 def _texts_of(base: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """``kinds`` with ``bytes``: the phrase's strings together."""
-    wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("place", "trigger", "copies")).alias("wanted"))
-    schema = "row long, place long, trigger long, copies long, bytes binary"
+    wanted = kinds.groupBy(*ROW).agg(F.collect_list(F.struct("place", "trigger", "copies")).alias("wanted"))
+    schema = "file long, row long, place long, trigger long, copies long, bytes binary"
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in by_bytes(whole, 2):
+            for batch in by_bytes(whole, 3):
                 out: list[tuple] = []
-                for row, text, asked in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for file, row, text, asked in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True):
                     data = text.encode("utf-8")
                     for x in asked:
                         start, more = x["place"] >> 16, x["place"] >> 8 & 255
-                        out.append((row, x["place"], x["trigger"], x["copies"], data[start : start + more + length]))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                kinds_ = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], ["row", "place", "trigger", "copies", "bytes"])
+                        out.append((file, row, x["place"], x["trigger"], x["copies"], data[start : start + more + length]))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                kinds_ = [pa.int64()] * 5 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], [*ROW, "place", "trigger", "copies", "bytes"])
 
-    return base.join(wanted, "row").mapInArrow(run, schema)
+    return base.join(wanted, ROW).mapInArrow(run, schema)
 
 
 def _order(keys: list, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def _runs(rows: pd.DataFrame, found: np.ndarray, length: int) -> pd.DataFrame:
     _, after = np.nonzero(edge == -1)
     widest = found.shape[1] - 1
     low = start[who] - (widest - first)
-    return pd.DataFrame({"row": rows["row"].to_numpy()[who], "low": low, "high": low + (after - first) - 1 + length})
+    return pd.DataFrame({**{c: rows[c].to_numpy()[who] for c in ROW}, "low": low, "high": low + (after - first) - 1 + length})
 
 
 def _compared(phrases: DataFrame, bins: int, length: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _compared(phrases: DataFrame, bins: int, length: int) -> DataFrame:
         found[rows["copies"].to_numpy() > 1] = False  # removed in full already
         return _runs(rows, found, length)
 
-    return phrases.groupBy(F.pmod(F.xxhash64("trigger"), F.lit(bins)).alias("bin")).applyInPandas(compare, "row long, low long, high long")
+    return phrases.groupBy(F.pmod(F.xxhash64("trigger"), F.lit(bins)).alias("bin")).applyInPandas(compare, "file long, row long, low long, high long")
 
 
 def _counted(phrases: DataFrame, length: int) -> DataFrame:
@@ -203,21 +203,21 @@ def _counted(phrases: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for row, place, copies, data in zip(*(batch.column(c).to_pylist() for c in ("row", "place", "copies", "bytes")), strict=True):
+            for file, row, place, copies, data in zip(*(batch.column(c).to_pylist() for c in (*ROW, "place", "copies", "bytes")), strict=True):
                 part = np.frombuffer(data, np.uint8)
                 starts = np.arange(len(part) - length + 1)
                 one, two = (Rolling(part, seed)(starts, starts + length).view(np.int64) for seed in (5, 6))
-                out.append((np.full(len(starts), row), starts + (place >> 16), np.full(len(starts), copies), one, two))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "low", "copies", "one", "two"])
+                out.append((np.full(len(starts), file), np.full(len(starts), row), starts + (place >> 16), np.full(len(starts), copies), one, two))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*ROW, "low", "copies", "one", "two"])
 
-    strings = phrases.mapInArrow(run, "row long, low long, copies long, one long, two long")
+    strings = phrases.mapInArrow(run, "file long, row long, low long, copies long, one long, two long")
     twice = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(twice, ["one", "two"]).where("copies = 1").select("row", "low", (F.col("low") + length).alias("high"))
+    return strings.join(twice, ["one", "two"]).where("copies = 1").select(*ROW, "low", (F.col("low") + length).alias("high"))
 
 
 def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
-    """``row, low, high``: byte ranges of the texts of ``base`` (row, doc_id, text) whose strings occur elsewhere."""
+    """``file, row, low, high``: byte ranges of the texts of ``base`` (file, row, doc_id, text) whose strings occur elsewhere."""
     phrases = _phrases(base, length, trigger)
     last = F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255)
     copies = F.sum(F.when(F.col("through") > last, 2).otherwise(1))  # one, or more than one
@@ -226,11 +226,11 @@ def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
     known = staged(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "triggers", TEXT_ROWS)
     shared = staged(phrases.join(known, "trigger"), "shared", TEXT_ROWS)
     mixed_ = shared.where("not alike")
-    kinds = mixed_.groupBy("trigger", "content").agg(copies.alias("copies"), F.min(F.struct("row", "place")).alias("one"))
-    kinds = staged(kinds.select("trigger", "content", "copies", "one.row", "one.place"), "kinds")
+    kinds = mixed_.groupBy("trigger", "content").agg(copies.alias("copies"), F.min(F.struct(*ROW, "place")).alias("one"))
+    kinds = staged(kinds.select("trigger", "content", "copies", "one.*"), "kinds")
     often = kinds.where("copies > 1").select("trigger", "content")
-    full = shared.where("alike").select("row", "place", "through").unionByName(mixed_.join(often, ["trigger", "content"]).select("row", "place", "through"))
-    spans = full.select("row", F.shiftright("place", 16).alias("low"), (F.col("through") + length).alias("high"))
+    full = shared.where("alike").select(*ROW, "place", "through").unionByName(mixed_.join(often, ["trigger", "content"]).select(*ROW, "place", "through"))
+    spans = full.select(*ROW, F.shiftright("place", 16).alias("low"), (F.col("through") + length).alias("high"))
     hot = kinds.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PHRASES).select("trigger")
     number, hot_number = kinds.count(), hot.count()
     if number:
@@ -256,20 +256,20 @@ def without(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tup
     return b"".join([*kept, data[at:]]), [(a, b) for a, b in joined]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, in_files: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept`` for every row; the id may be a struct of columns.
 
     ``spans`` (array of low, high) are the maximal runs of UTF-8 bytes covered by a string of ``length`` bytes that
     also starts anywhere else in the table, the same text included; ``kept`` is the other bytes, joined (with
     ``as_text`` a string, without the characters that lost a part of their bytes). Every copy goes, the first too, and strings are judged on the input. Equal rows are copies of each other. Null texts are
-    empty; texts shorter than ``length`` are kept whole. ``docs`` must give the same rows in the same partitions
-    each time it is read, as files do. Other columns are ignored.
+    empty; texts shorter than ``length`` are kept whole. ``in_files``: see ``with_rows``. Other columns are ignored;
+    an empty table gives an empty result.
     """
     if not 0 < trigger <= length <= 255:
         raise ValueError("trigger and length must satisfy 0 < trigger <= length <= 255")
     texts = documents(docs, id_col, text_col)
-    base = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    spans = repeated_spans(base, length, trigger).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    base = with_rows(texts, in_files).select(*ROW, "doc_id", "text")
+    spans = repeated_spans(base, length, trigger).groupBy(*ROW).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     span = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
     schema = T.StructType([
         T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -282,15 +282,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
 
         kinds = to_arrow_schema(schema)
         for whole in batches:
-            for batch in by_bytes(whole, 2):
+            for batch in by_bytes(whole, 3):
                 sizes, removed, found, kept = [], [], [], []
-                for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for text, ranges in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     data = text.encode("utf-8")
                     rest, joined = without(data, [(x["low"], x["high"]) for x in ranges or ()])
                     sizes.append(len(data)), removed.append(len(data) - len(rest))
                     kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                     found.append([{"low": a, "high": b} for a, b in joined])
                 new = [pa.array(c, f.type) for c, f in zip((sizes, removed, found, kept), list(kinds)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), *new], schema=kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(2), *new], schema=kinds)
 
-    return base.join(spans, "row", "left").mapInArrow(run, schema)
+    return base.join(spans, ROW, "left").mapInArrow(run, schema)

@@ -41,12 +41,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(_docs(spark, sf_dir))
+    found = remove_repeats(_docs(spark, sf_dir), in_files=True)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).add(_docs(spark, sf_dir))
+    with DigestIndex(spark) as index:
+        return index.add(_docs(spark, sf_dir))
 
 
 OP5_SQL = r"""
