@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Endpoint texts that mean none.
 NO_ENDPOINT = ("nan", "none", "<na>")
+#: The characters that count as white space.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DAY_FIRST = "dd/MM/yyyy HH:mm:ss"
 #: States, and the words that tell them, first match wins.
 STATES = (
@@ -42,8 +44,13 @@ def day_first(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit(DAY_FIRST))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def valid_endpoint(c: Column) -> Column:
-    trimmed = F.trim(c)
+    trimmed = stripped(c)
     return F.coalesce((trimmed != "") & ~F.lower(trimmed).isin(*NO_ENDPOINT), F.lit(False))
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowframe.functions.hashing import sample_id, stream_split
+from flowframe.functions.hashing import SPLITS, sample_id, stream_split
+from flowframe.operators.order import places
+from flowframe.sources.flows import ContractError, require
 
 GROUP_ROWS = 64
 
 
 def with_groups(flows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds ``group_id`` (file and block of rows) and ``sample_id``; negative rows are an error."""
+    require(flows, ["file_id", "row_id"], "groups")
     row = F.when(F.col("row_id") < 0, F.raise_error(F.lit("row ids must not be negative"))).otherwise(F.col("row_id"))
     block = F.expr(f"row_id div {group_rows}")
     group = F.concat(F.col("file_id"), F.lit("::block="), F.when(row.isNotNull(), block).cast("string"))
@@ -39,12 +42,17 @@ def group_manifest(row_group_table: DataFrame, group_rows: int, outer: float, se
     return named.withColumn("split", stream_split(F.col("group_id"), outer, seed))
 
 
+def require_splits(manifest: DataFrame) -> DataFrame:
+    """``manifest``, if it has groups of all three splits."""
+    found = {r["split"] for r in manifest.select("split").distinct().collect()}  # three at most
+    if found != set(SPLITS):
+        raise ContractError(f"the manifest lacks groups of {sorted(set(SPLITS) - found)}")
+    return manifest
+
+
 def rows_of_groups(flows: DataFrame, manifest: DataFrame, rows_per_group: int, group_rows: int) -> DataFrame:
     """The rows of each group: the interval join turned into an equality of (file, row group, offset)."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy("row_id")) - 1
-    at = flows.withColumn("place", place).withColumns({
+    at = places(flows, "file_id", "row_id").withColumns({
         "row_group": F.expr(f"place div {rows_per_group}"), "offset": F.expr(f"(place % {rows_per_group}) div {group_rows} * {group_rows}"),
     })
     return at.drop("place").join(manifest, ["file_id", "row_group", "offset"])

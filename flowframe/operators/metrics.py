@@ -81,6 +81,16 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFra
     return ranked.groupBy(*keys).agg(F.round(won / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0)), 9).alias("auc"))
 
 
+def macro_auc(areas: DataFrame) -> DataFrame:
+    """``macro_auc``: the mean of the labels' areas; null unless every label has one."""
+    return areas.agg(F.when(F.count("*") == F.count("auc"), F.round(F.avg("auc"), 9)).alias("macro_auc"))
+
+
+def evaluation(predictions: DataFrame, actual: str, predicted: str, by_class: DataFrame, score: str, positive: Column) -> DataFrame:
+    """Accuracy, macro and weighted means, and the macro area, as one row. ``by_class`` has label and a score for each."""
+    return overall(per_class(predictions, actual, predicted)).crossJoin(macro_auc(auc(by_class, ["label"], score, positive)))  # one row each
+
+
 def curves(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Points by descending score: ``score, tp, fp, tpr, fpr, precision_at``, and ``gain``, the step of tpr. Keys whose rows are all alike give none."""
     counts = _by_score(df, keys, score, positive)
@@ -90,7 +100,7 @@ def curves(df: DataFrame, keys: list[str], score: str, positive: Column) -> Data
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
     tp, fp = F.col("p") - F.col("below_pos") + F.col("pos"), F.col("n") - F.col("below_neg") + F.col("neg")
-    points = ranked.join(F.broadcast(totals), on).select(*keys, "score", tp.alias("tp"), fp.alias("fp"), "p", "n", (F.col("pos") / F.col("p")).alias("gain"))  # one row a key
+    points = ranked.join(totals, on).select(*keys, "score", tp.alias("tp"), fp.alias("fp"), "p", "n", (F.col("pos") / F.col("p")).alias("gain"))
     return points.select(*keys, "score", "tp", "fp", F.round(F.col("tp") / F.col("p"), 9).alias("tpr"), F.round(F.col("fp") / F.col("n"), 9).alias("fpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("precision_at"), "gain")
 
 
@@ -122,7 +132,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    placed = running_sums(counts, keys, "v", {"upto": "c"}).join(F.broadcast(totals), on)  # one row a key
+    placed = running_sums(counts, keys, "v", {"upto": "c"}).join(totals, on)
     at = {s: F.bround(F.lit(s) * (F.col("n") - 1), 0) for s in shares}
     name = lambda s: f"p{round(s * 100)}"
     picked = [F.max(F.when((F.col("upto") > at[s]) & (F.col("upto") - F.col("c") <= at[s]), F.col("v"))).alias(name(s)) for s in shares]
@@ -139,7 +149,7 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float) -
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    placed = running_sums(counts, keys, "v", {"upto": "c"}).join(F.broadcast(totals), on)  # one row a key
+    placed = running_sums(counts, keys, "v", {"upto": "c"}).join(totals, on)
     at = (F.col("n") - 1) * F.lit(share)
     picked = [F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v"))).alias(name) for name, r in (("low", F.floor(at)), ("high", F.ceil(at)))]
     part = F.max(at - F.floor(at)).alias("part")

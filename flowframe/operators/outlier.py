@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowframe.functions.hashing import seeded_hash
 from flowframe.operators.metrics import exact_percentile
@@ -64,15 +65,29 @@ class IsolationForest:
         at = exact_percentile(scores, ["all"], "score", 1.0 - contamination).first()["percentile"] if n else 2.0
         return cls(forest.columns, grown, forest.expected, float(at))
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``score`` (towards 1: easily isolated) and ``outlier``; missing values count as 0."""
+    def score(self, rows: DataFrame, name: str = "score", flag: str = "outlier") -> DataFrame:
+        """``rows`` with ``name`` (towards 1: easily isolated) and ``flag``; missing values count as 0."""
         columns, trees, expected = list(self.columns), self.trees, self.expected
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 x = batch[columns].fillna(0.0).to_numpy(float)
                 mean = np.mean([depths(t, x) for t in trees], axis=0) if trees else np.zeros(len(x))
-                yield batch.assign(score=2.0 ** (-mean / expected))
+                yield batch.assign(**{name: 2.0 ** (-mean / expected)})
 
-        scored = rows.mapInPandas(run, rows.schema.simpleString()[7:-1] + ",score:double")
-        return scored.withColumn("outlier", F.col("score") > self.threshold)
+        scored = rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
+        return scored.withColumn(flag, F.col(name) > self.threshold)
+
+    def inliers(self, rows: DataFrame) -> DataFrame:
+        """The rows that are no outliers, with their own columns."""
+        return self.score(rows, "__isolation", "__outlier").where("not __outlier").select(*rows.columns)
+
+    def document(self) -> dict:
+        return {"columns": self.columns, "trees": self.trees, "expected": self.expected, "threshold": self.threshold}
+
+    @classmethod
+    def from_document(cls, made: dict) -> IsolationForest:
+        def tree(x: list) -> tuple:
+            return tuple(tree(y) if isinstance(y, list) else y for y in x)
+
+        return cls(tuple(made["columns"]), tuple(tree(t) for t in made["trees"]), made["expected"], made["threshold"])

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowframe.functions.cleaning import min_max, number
+from flowframe.operators.groups import rows_of_groups
 from flowframe.operators.metrics import exact_percentile
+from flowframe.operators.outlier import IsolationForest
+from flowframe.operators.sampling import reservoir
 
 
 def candidates(columns: list[str], excluded: set[str]) -> list[str]:
@@ -62,21 +65,26 @@ def medians(train: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fitted:
-    """What the training split taught: decisions, medians, bounds and label codes."""
+    """What the training split taught: decisions, medians, bounds, label codes, and the forest that tells outliers."""
 
     decisions: dict[str, str]
     median: dict[str, float]
     low: dict[str, float]
     high: dict[str, float]
     labels: list[str] = field(default_factory=list)
+    forest: IsolationForest | None = None
 
     @property
     def features(self) -> list[str]:
         return list(self.median)
 
 
-def fit(df: DataFrame, columns: list[str], row_key: list[str], label: str, inlier: str | None = None) -> Fitted:
-    """Learns from ``split = 'train'``; bounds come from the training rows that ``inlier`` marks."""
+def fit(df: DataFrame, columns: list[str], row_key: list[str], label: str, inlier: str | None = None, forest: dict | None = None, vocabulary: DataFrame | None = None) -> Fitted:
+    """Learns from ``split = 'train'``; bounds come from the training rows that are no outliers.
+
+    Outliers are the rows that ``inlier`` does not mark and, if ``forest`` gives its settings, those that an isolation
+    forest finds among the imputed training rows. Labels are those of ``vocabulary``, by default of ``df``.
+    """
     train = coerced(df.where("split = 'train'"), columns)
     decisions = choose_features(train, columns, row_key)
     kept = [c for c in columns if decisions[c] == "kept"]
@@ -84,18 +92,29 @@ def fit(df: DataFrame, columns: list[str], row_key: list[str], label: str, inlie
     middle = {c: found[c] for c in kept}
     inside = train.where(inlier) if inlier else train
     filled = inside.withColumns({c: F.coalesce(c, F.lit(middle[c])) for c in kept})
+    grown = IsolationForest.fit(filled, kept, row_key, **forest) if forest is not None and kept else None
+    if grown:
+        filled = grown.inliers(filled)
     bounds = filled.agg(*[f(c).alias(f"{c}_{n}") for c in kept for n, f in (("low", F.min), ("high", F.max))]).first() if kept else {}
-    vocabulary = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
-    return Fitted(decisions, middle, {c: bounds[f"{c}_low"] for c in kept}, {c: bounds[f"{c}_high"] for c in kept}, vocabulary)
+    if kept and bounds[f"{kept[0]}_low"] is None:
+        raise ValueError("no training row is left")
+    labels = sorted(r[0] for r in (df if vocabulary is None else vocabulary).select(label).where(F.col(label).isNotNull()).distinct().collect())
+    return Fitted(decisions, middle, {c: bounds[f"{c}_low"] for c in kept}, {c: bounds[f"{c}_high"] for c in kept}, labels, grown)
+
+
+def fit_on_reservoir(flows: DataFrame, manifest: DataFrame, groups: int, seed: int, rows_per_group: int, group_rows: int, columns: list[str], label: str, **more) -> Fitted:
+    """A fit on ``groups`` whole training groups of each file, with the labels of all flows."""
+    few = reservoir(manifest.where("split = 'train'"), groups, seed)
+    return fit(rows_of_groups(flows, few, rows_per_group, group_rows), columns, ["file_id", "row_id"], label, vocabulary=flows, **more)
 
 
 def transform(df: DataFrame, fitted: Fitted, inlier: str | None = None, clip: bool = False) -> DataFrame:
     """Imputed and scaled features; outliers leave the training split only, so other splits keep all rows."""
     rows = df.where((F.col("split") != "train") | F.expr(inlier)) if inlier else df
-    rows = coerced(rows, fitted.features)
-    return rows.withColumns({
-        c: min_max(F.coalesce(c, F.lit(fitted.median[c])), F.lit(fitted.low[c]), F.lit(fitted.high[c]), clip=clip) for c in fitted.features
-    })
+    filled = coerced(rows, fitted.features).withColumns({c: F.coalesce(c, F.lit(fitted.median[c])) for c in fitted.features})
+    if fitted.forest:
+        filled = fitted.forest.inliers(filled.where("split = 'train'")).unionByName(filled.where("split <> 'train'"))
+    return filled.withColumns({c: min_max(F.col(c), F.lit(fitted.low[c]), F.lit(fitted.high[c]), clip=clip) for c in fitted.features})
 
 
 def clip_counts(scaled: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,7 +129,12 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
     return names.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))  # one row a label
 
 
+def unknown_label(label: Column) -> Column:
+    """An error that names the label."""
+    return F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.coalesce(label.cast("string"), F.lit("null")))).cast("long")
+
+
 def encoded(df: DataFrame, codes: DataFrame, label: str) -> DataFrame:
     """``df`` with ``code``; a label without one is an error."""
     joined = df.join(codes.withColumnRenamed("label", "known"), F.col(label) == F.col("known"), "left").drop("known")
-    return joined.withColumn("code", F.when(F.col("code").isNull(), F.raise_error(F.lit("label outside the vocabulary")).cast("long")).otherwise(F.col("code")))
+    return joined.withColumn("code", F.when(F.col("code").isNull(), unknown_label(F.col(label))).otherwise(F.col("code")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowframe.functions.hashing import leading_64, seeded_hash
+from flowframe.operators.order import places
 
 
 def spread_row_groups(totals: DataFrame, desired: int) -> DataFrame:
@@ -37,12 +38,18 @@ def slice_plan(row_group_table: DataFrame, samples: int, seed: int, min_run: int
 
 def slice_rows(flows: DataFrame, plan: DataFrame, rows_per_group: int) -> DataFrame:
     """The rows of the planned slices, in source order within their file."""
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy("row_id")) - 1
-    at = flows.withColumn("place", place).withColumn("row_group", F.expr(f"place div {rows_per_group}"))
+    at = places(flows, "file_id", "row_id").withColumn("row_group", F.expr(f"place div {rows_per_group}"))
     inside = F.col("place") % rows_per_group
     return at.join(plan, ["file_id", "row_group"]).where((inside >= F.col("first")) & (inside < F.col("first") + F.col("take"))).drop("place", "first", "take")
 
 
+def spread_sample(flows: DataFrame, row_group_table: DataFrame, per_file: int, desired: int, seed: int, rows_per_group: int) -> DataFrame:
+    """``per_file`` seeded rows of each file, from ``desired`` row groups spread over it."""
+    chosen = spread_row_groups(row_group_table.groupBy("file_id").agg(F.count("*").alias("total")), desired)
+    at = places(flows, "file_id", "row_id").withColumn("row_group", F.expr(f"place div {rows_per_group}"))
+    return sample_rows(at.join(chosen, ["file_id", "row_group"]).drop("place"), per_file, seed)
+
+
 def sample_rows(flows: DataFrame, per_file: int, seed: int) -> DataFrame:
     """``per_file`` rows of each file, those with the smallest seeded hash."""
     order = Window.partitionBy("file_id").orderBy(seeded_hash(seed, F.col("file_id"), F.col("row_id")), "row_id")

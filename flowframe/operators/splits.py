@@ -1,16 +1,18 @@
 """Group-integrity splits: seeded greedy selection, a search over attempts, assignment and leakage checks.
 
 Works on one row per group and on counts by group and label, never on the rows themselves until the chosen split
-is joined to them. The greedy selection depends on its order, so each attempt folds the sorted groups of the
-manifest (one row for thousands of table rows) in one task; attempts run side by side.
+is joined to them. The greedy selection takes, in the order of a seeded hash, every group that brings the number of
+rows closer to the target. That is a prefix of the order, then, of the later groups small enough to help, a prefix
+again, and so on until none is left: each of these few rounds is a running sum for all attempts at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowframe.functions.hashing import SPLITS, VALIDATION_SHARE
+from flowframe.operators.order import hashed_totals
 from flowframe.sources.staging import staged
 
 #: Distance of the attempts' seeds, and weights of the score.
@@ -18,48 +20,62 @@ SEED_STEP = 104729
 FRACTION_WEIGHT, MISSING_WEIGHT = 4.0, 0.25
 
 
-def _ordered(groups: str, seed: Column) -> Column:
-    """The groups (id, n) in the order of their seeded hashes."""
-    hashed = F.transform(groups, lambda g: F.struct(F.sha2(F.concat_ws(":", seed.cast("string"), g["g"]), 256).alias("h"), g["g"].alias("g"), g["n"].alias("n")))
-    return F.array_sort(hashed)
+def greedy(pool: DataFrame, target: float) -> DataFrame:
+    """``attempt, group_id, n_rows, h`` of the groups taken: each that brings the attempt's rows closer to ``target``.
 
-
-def greedy(ordered: Column, target: Column) -> Column:
-    """Ids taken while each brings the number of rows closer to the target; the first is always taken, the last of all never."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("taken"))
-
-    def step(acc: Column, g: Column) -> Column:
-        more = F.struct((acc["n"] + g["n"]).alias("n"), F.concat(acc["taken"], F.array(g["g"])).alias("taken"))
-        closer = (F.size(acc["taken"]) == 0) | (F.abs(acc["n"] - target) > F.abs(acc["n"] + g["n"] - target))
-        return F.when(closer, more).otherwise(acc)
-
-    taken = F.aggregate(ordered, start, step)["taken"]
-    everything = (F.size(taken) == F.size(ordered)) & (F.size(ordered) > 1)
-    return F.when(everything, F.slice(taken, 1, F.size(taken) - 1)).otherwise(taken)
+    ``pool`` has these columns, ``h`` the hash that orders an attempt's groups, ``n_rows`` of 1 at least. The first
+    group is always taken; where all would be, the last of several is not.
+    """
+    spark, pool = pool.sparkSession, staged(pool, "pool")
+    closer = lambda at: F.abs(at - F.lit(target)) > F.abs(at + F.col("n_rows") - F.lit(target))
+    rounds: list[DataFrame] = []
+    state = [(r["attempt"], 0, "") for r in pool.select("attempt").distinct().collect()]  # one row an attempt
+    while state:
+        now = F.broadcast(spark.createDataFrame(state, "attempt int, at long, past string"))
+        later = pool.join(now, "attempt").where((F.col("h") > F.col("past")) & ((F.col("at") == 0) | closer(F.col("at"))))
+        summed = staged(hashed_totals(later, "attempt", "h", {"upto": "n_rows"}).withColumn("before", F.col("at") + F.col("upto") - F.col("n_rows")), "summed")
+        refused = summed.where((F.col("before") > 0) & ~closer(F.col("before"))).groupBy("attempt").agg(F.min(F.struct("h", "before")).alias("r"))
+        state = [(r["attempt"], r["r"]["before"], r["r"]["h"]) for r in refused.collect()]
+        stops = spark.createDataFrame([(a, h) for a, _, h in state], "attempt int, stop string")
+        if not rounds:
+            last = pool.groupBy("attempt").agg(F.max("h").alias("stop"), F.count("*").alias("n")).where("n > 1").drop("n")
+            stops = stops.unionByName(last.join(F.broadcast(stops.select("attempt")), "attempt", "left_anti"))
+        taken = summed.join(F.broadcast(stops), "attempt", "left").where("stop is null or h < stop")
+        rounds.append(taken.select("attempt", "group_id", "n_rows", "h"))
+    none = pool.where("false").select("attempt", "group_id", "n_rows", "h")
+    for taken in rounds:
+        none = none.unionByName(taken)
+    return staged(none, "taken")
 
 
 def attempts_table(sizes: DataFrame, attempts: int, seed: int, outer: float, validation_share: float = VALIDATION_SHARE) -> DataFrame:
-    """``attempt, test, validation``: the groups that each attempt takes, as arrays of ids. ``sizes`` has group_id, n_rows.
+    """``attempt, group_id, n_rows, h, split``: the groups that each attempt takes for test and for validation.
 
-    The folds are staged, since what follows reads them more than once.
+    ``sizes`` has group_id and n_rows; groups without rows are left out.
     """
-    all_groups = sizes.agg(F.collect_list(F.struct(F.col("group_id").alias("g"), F.col("n_rows").alias("n"))).alias("groups"), F.sum("n_rows").alias("total"))
-    each = all_groups.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).repartition(attempts, "attempt")
+    sizes = staged(sizes.where("n_rows > 0").select("group_id", F.col("n_rows").cast("long").alias("n_rows")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    each = sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     own = F.lit(seed) + F.col("attempt") * SEED_STEP
-    tested = staged(each.withColumn("test", greedy(_ordered("groups", own), F.col("total") * (1.0 - outer))), "tested")
-    rest = tested.withColumn("rest", F.filter("groups", lambda g: ~F.array_contains(F.col("test"), g["g"])))
-    chosen = rest.withColumn("validation", greedy(_ordered("rest", own + 1), F.col("total") * (outer * validation_share)))
-    return staged(chosen.select("attempt", "test", "validation"), "chosen")
+    drawn = lambda rows, seed: rows.withColumn("h", F.sha2(F.concat_ws(":", seed.cast("string"), "group_id"), 256))
+    test = greedy(drawn(each, own), total * (1.0 - outer))
+    rest = each.join(test.select("attempt", "group_id"), ["attempt", "group_id"], "left_anti")
+    validation = greedy(drawn(rest, own + 1), total * (outer * validation_share))
+    return test.withColumn("split", F.lit("test")).unionByName(validation.withColumn("split", F.lit("validation")))
 
 
-def attempt_groups(chosen: DataFrame, sizes: DataFrame) -> DataFrame:
+def attempt_groups(chosen: DataFrame, sizes: DataFrame, attempts: int) -> DataFrame:
     """``attempt, group_id, split`` for every group."""
-    taken = chosen.select("attempt", F.explode("test").alias("group_id"), F.lit("test").alias("split")).unionByName(
-        chosen.select("attempt", F.explode("validation").alias("group_id"), F.lit("validation").alias("split")))
-    every = sizes.select("group_id").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(chosen.count() - 1))))
+    every = sizes.select("group_id").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    taken = chosen.select("attempt", "group_id", "split")
     return every.join(taken, ["attempt", "group_id"], "left").select("attempt", "group_id", F.coalesce("split", F.lit("train")).alias("split"))
 
 
+def in_two_splits(rows: DataFrame) -> DataFrame:
+    """``group_id, n_splits`` of groups whose rows are not all in one split."""
+    return rows.groupBy("group_id").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
+
+
 def scores(grouped: DataFrame, assigned: DataFrame, outer: float, validation_share: float = VALIDATION_SHARE) -> DataFrame:
     """``attempt, score``: distance from the target fractions and from the overall label distribution; less is better.
 

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowframe.functions.cleaning import valid_endpoint
+from flowframe.functions.cleaning import stripped, valid_endpoint
 from flowframe.functions.hashing import endpoint_hash
+from flowframe.operators.order import running_totals
+from flowframe.sources.flows import require
 
 LENGTH, STRIDE, NAMESPACE = 16, 8, "flowframe"
 
 
 def with_runs(grouped: DataFrame) -> DataFrame:
     """Adds ``run`` (equal within rows that follow each other) and ``run_pos`` (from 0). A repeated row is an error."""
+    require(grouped, ["group_id", "row_id"], "windows")
     by_row = Window.partitionBy("group_id").orderBy("row_id")
     runs = grouped.withColumn("run", F.col("row_id") - F.row_number().over(by_row))
     twice = F.lag("row_id").over(by_row) == F.col("row_id")
@@ -49,7 +52,7 @@ def with_graph(made: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
 
     The steps need src, dst and label. Indices count from 0; loops and repeated edges stay.
     """
-    hashed = made.withColumn("ends", F.transform("steps", lambda s: F.struct(endpoint_hash(F.trim(s["src"]), namespace).alias("s"), endpoint_hash(F.trim(s["dst"]), namespace).alias("d"))))
+    hashed = made.withColumn("ends", F.transform("steps", lambda s: F.struct(endpoint_hash(stripped(s["src"]), namespace).alias("s"), endpoint_hash(stripped(s["dst"]), namespace).alias("d"))))
     nodes = F.array_sort(F.array_distinct(F.concat(F.transform("ends", lambda e: e["s"]), F.transform("ends", lambda e: e["d"]))))
     hashed = hashed.withColumn("nodes", nodes)
     edge = F.transform("ends", lambda e, t: F.struct(t.alias("time"), (F.array_position(F.col("nodes"), e["s"]) - 1).alias("src"), (F.array_position(F.col("nodes"), e["d"]) - 1).alias("dst")))
@@ -67,18 +70,25 @@ def edge_rows(graphs: DataFrame) -> DataFrame:
 def pointers(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``group_id, first_row, node_start, node_stop, edge_start, edge_stop``: places in the flat node and edge lists.
 
-    Windows follow each other by group and first row. Sums run within a group and over the groups' totals.
+    Windows follow each other by group and first row; sums run inside ranges of that order and over the ranges.
     """
-    sized = graphs.select("group_id", "first_row", F.size("nodes").cast("long").alias("n"))
-    inside = Window.partitionBy("group_id").orderBy("first_row").rowsBetween(Window.unboundedPreceding, 0)
-    totals = sized.groupBy("group_id").agg(F.sum("n").alias("nodes"), F.count("*").alias("windows"))
-    earlier = Window.orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)  # one row for each group
-    starts = totals.select("group_id", F.coalesce(F.sum("nodes").over(earlier), F.lit(0)).alias("node_base"), F.coalesce(F.sum("windows").over(earlier), F.lit(0)).alias("window_base"))
-    placed = sized.withColumns({"upto": F.sum("n").over(inside), "nth": F.count("*").over(inside)}).join(starts, "group_id")
-    stop, nth = F.col("node_base") + F.col("upto"), F.col("window_base") + F.col("nth")
+    sized = graphs.select("group_id", "first_row", F.size("nodes").cast("long").alias("n"), F.lit(1).cast("long").alias("one"))
+    placed = running_totals(sized, ["group_id", "first_row"], {"stop": "n", "nth": "one"})
+    stop, nth = F.col("stop"), F.col("nth")
     return placed.select("group_id", "first_row", (stop - F.col("n")).alias("node_start"), stop.alias("node_stop"), ((nth - 1) * length).alias("edge_start"), (nth * length).alias("edge_stop"))
 
 
+def integrity(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``n_windows, n_broken, n_outside, n_short``: windows, those whose rows do not follow each other, those with an edge
+    whose ends are not among their nodes, and those whose steps or edges are not ``length``."""
+    gaps = F.exists(F.sequence(F.lit(1), F.greatest(F.size("steps") - 1, F.lit(1))), lambda i: F.get(F.col("steps"), i)["row_id"] - F.get(F.col("steps"), i - 1)["row_id"] != 1)
+    inside = lambda x: (x >= 0) & (x < F.size("nodes"))
+    outside = F.exists("edges", lambda e: ~(F.coalesce(inside(e["src"]) & inside(e["dst"]), F.lit(False))))
+    short = (F.size("steps") != length) | (F.size("edges") != length)
+    counted = [F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in (("n_broken", gaps), ("n_outside", outside), ("n_short", short))]
+    return graphs.agg(F.count("*").alias("n_windows"), *counted)
+
+
 def message_means(graphs: DataFrame, value: str = "value") -> DataFrame:
     """For each window and node the mean of ``value`` over the edges that come in and over those that go out (0 without any)."""
     edges = graphs.select("group_id", "first_row", F.posexplode(F.arrays_zip("edges", "steps")).alias("t", "x"))

@@ -57,30 +57,30 @@ _FEATURES = _SPLIT + """, clean AS (
 
 _SEARCH = _FLOWS + """, sizes AS (SELECT group_id, count(*) AS n FROM grouped GROUP BY 1), total AS (SELECT sum(n)::BIGINT AS t FROM sizes),
 attempts AS (SELECT unnest(range(128)) AS attempt),
-test_order AS (
+test_order AS MATERIALIZED (
   SELECT attempt, list({'h': h, 'g': group_id, 'n': n} ORDER BY h) AS l
   FROM (SELECT attempt, group_id, n::BIGINT AS n, sha256((42 + attempt * 104729) || ':' || group_id) AS h FROM attempts, sizes) GROUP BY 1
-), test_fold AS (
+), test_fold AS MATERIALIZED (
   SELECT attempt, l, list_reduce(l, lambda a, x: CASE WHEN len(a.ch) > 0 AND abs(a.n - t * (1.0::DOUBLE - 0.7::DOUBLE)) <= abs(a.n + x.n - t * (1.0::DOUBLE - 0.7::DOUBLE)) THEN a
          ELSE {'h': '', 'g': '', 'n': a.n + x.n, 'ch': list_append(a.ch, x.g)} END, {'h': '', 'g': '', 'n': 0::BIGINT, 'ch': []::VARCHAR[]}).ch AS ch
   FROM test_order, total
-), test_taken AS (SELECT attempt, CASE WHEN len(ch) = len(l) AND len(l) > 1 THEN ch[:len(ch) - 1] ELSE ch END AS test FROM test_fold),
-val_order AS (
+), test_taken AS MATERIALIZED (SELECT attempt, CASE WHEN len(ch) = len(l) AND len(l) > 1 THEN ch[:len(ch) - 1] ELSE ch END AS test FROM test_fold),
+val_order AS MATERIALIZED (
   SELECT attempt, list({'h': h, 'g': group_id, 'n': n} ORDER BY h) AS l
   FROM (SELECT a.attempt, s.group_id, s.n::BIGINT AS n, sha256((42 + a.attempt * 104729 + 1) || ':' || s.group_id) AS h
         FROM test_taken a, sizes s WHERE NOT list_contains(a.test, s.group_id)) GROUP BY 1
-), val_fold AS (
+), val_fold AS MATERIALIZED (
   SELECT attempt, l, list_reduce(l, lambda a, x: CASE WHEN len(a.ch) > 0 AND abs(a.n - t * (0.7::DOUBLE * 0.1::DOUBLE)) <= abs(a.n + x.n - t * (0.7::DOUBLE * 0.1::DOUBLE)) THEN a
          ELSE {'h': '', 'g': '', 'n': a.n + x.n, 'ch': list_append(a.ch, x.g)} END, {'h': '', 'g': '', 'n': 0::BIGINT, 'ch': []::VARCHAR[]}).ch AS ch
   FROM val_order, total
-), val_taken AS (SELECT attempt, CASE WHEN len(ch) = len(l) AND len(l) > 1 THEN ch[:len(ch) - 1] ELSE ch END AS validation FROM val_fold),
-taken AS (SELECT * FROM test_taken JOIN val_taken USING (attempt)),
-assigned AS (
+), val_taken AS MATERIALIZED (SELECT attempt, CASE WHEN len(ch) = len(l) AND len(l) > 1 THEN ch[:len(ch) - 1] ELSE ch END AS validation FROM val_fold),
+taken AS MATERIALIZED (SELECT * FROM test_taken JOIN val_taken USING (attempt)),
+assigned AS MATERIALIZED (
   SELECT attempt, group_id, CASE WHEN list_contains(test, group_id) THEN 'test' WHEN list_contains(validation, group_id) THEN 'validation' ELSE 'train' END AS split FROM taken, sizes
 )"""
 
 _SCORES = _SEARCH + """, cells AS (SELECT group_id, CASE WHEN value > 400 THEN 'burst' ELSE label END AS label, count(*) AS n FROM grouped GROUP BY 1, 2),
-counts AS (SELECT attempt, split, label, sum(n)::DOUBLE AS n FROM assigned JOIN cells USING (group_id) GROUP BY 1, 2, 3),
+counts AS MATERIALIZED (SELECT attempt, split, label, sum(n)::DOUBLE AS n FROM assigned JOIN cells USING (group_id) GROUP BY 1, 2, 3),
 sums AS (SELECT attempt, split, sum(n) AS rows FROM counts GROUP BY 1, 2),
 overall AS (SELECT label, sum(n)::DOUBLE / (SELECT t FROM total) AS p FROM cells GROUP BY 1),
 frame AS (SELECT attempt, split, label, p FROM attempts, (VALUES ('train'), ('validation'), ('test')) s(split), overall),
@@ -91,19 +91,23 @@ parts AS (
 ), scores AS (SELECT attempt, round(sum(label_part + fraction_part), 9) AS score FROM parts GROUP BY 1)"""
 
 
+#: White space of the kinds that occur in the tables, cut off at both ends.
+_TRIM = "trim(e, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32) || chr(160))"
+
+
 def _windows(rows: str = "grouped") -> str:
     return f""", runs AS (
   SELECT *, row_id - row_number() OVER (PARTITION BY group_id ORDER BY row_id) AS run,
-         CASE WHEN k = 0 THEN ' NaN ' WHEN k = 1 THEN '' ELSE dst END AS end_dst FROM {rows} WHERE inlier
+         CASE k WHEN 0 THEN ' NaN' || chr(9) WHEN 1 THEN '' WHEN 2 THEN chr(9) || chr(160) WHEN 3 THEN chr(10) || dst || chr(9) ELSE dst END AS end_dst FROM {rows} WHERE inlier
 ), framed AS (
   SELECT *, row_number() OVER (PARTITION BY group_id, run ORDER BY row_id) - 1 AS pos, list(row_id) OVER w AS ids, list(label) OVER w AS labels,
          list(src) OVER w AS srcs, list(dst) OVER w AS raw_dsts, list(end_dst) OVER w AS dsts, list(sample_id) OVER w AS samples, list(value) OVER w AS vals
   FROM runs WINDOW w AS (PARTITION BY group_id, run ORDER BY row_id ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)
 ), wins AS (
-  SELECT *, row_id AS first_row, len(list_filter(list_concat(srcs, dsts), lambda e: e IS NULL OR trim(e) = '' OR lower(trim(e)) IN ('nan', 'none', '<na>'))) = 0 AS kept
+  SELECT *, row_id AS first_row, len(list_filter(list_concat(srcs, dsts), lambda e: e IS NULL OR {_TRIM} = '' OR lower({_TRIM}) IN ('nan', 'none', '<na>'))) = 0 AS kept
   FROM framed WHERE len(ids) = 16 AND pos % 8 = 0
 ), hashed AS (
-  SELECT *, list_transform(srcs, lambda e: sha256('flowframe' || chr(0) || trim(e))) AS hs, list_transform(dsts, lambda e: sha256('flowframe' || chr(0) || trim(e))) AS hd FROM wins
+  SELECT *, list_transform(srcs, lambda e: sha256('flowframe' || chr(0) || {_TRIM})) AS hs, list_transform(dsts, lambda e: sha256('flowframe' || chr(0) || {_TRIM})) AS hd FROM wins
 ), noded AS (SELECT *, list_sort(list_distinct(list_concat(hs, hd))) AS nodes FROM hashed),
 graphs AS (SELECT * FROM noded WHERE kept)"""
 
@@ -134,6 +138,11 @@ _SCORED = _JUDGED + """, scored AS (
   SELECT label, score, round(tp / p, 9) AS tpr, round(fp / n, 9) AS fpr, round(tp / (tp + fp), 9) AS precision_at FROM points WHERE p > 0 AND n > 0
 )"""
 
+_AREAS = """c AS (SELECT label, score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM scored GROUP BY 1, 2),
+        pairs AS (SELECT x.label, sum(x.p * (CASE WHEN y.score < x.score THEN 1.0 WHEN y.score = x.score THEN 0.5 ELSE 0 END) * y.n) AS won FROM c x JOIN c y ON x.label = y.label GROUP BY 1),
+        sides AS (SELECT label, sum(p) AS p, sum(n) AS n FROM c GROUP BY 1), areas AS (SELECT label, round(won::DOUBLE / nullif(p::DOUBLE * n::DOUBLE, 0), 9) AS auc FROM pairs JOIN sides USING (label)),
+        macro AS (SELECT CASE WHEN count(*) = count(auc) THEN round(avg(auc), 9) END AS macro_auc FROM areas)"""
+
 #: The event types, in order.
 _LABELS = ("click", "error", "purchase", "signup", "view")
 
@@ -161,6 +170,17 @@ ORACLES: dict[str, str] = {
     "hash_row_sample": f"WITH {_FLOWS} SELECT file_id, row_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY sha256('42:' || file_id || ':' || row_id), row_id) <= 32",
     "reservoir_groups": f"WITH {_MANIFEST} SELECT file_id, split, group_id, n_rows FROM manifest QUALIFY row_number() OVER (PARTITION BY file_id, split ORDER BY sha256('42:' || group_id), group_id) = 1",
     "epoch_schedule": f"WITH {_MANIFEST} SELECT epoch::INTEGER AS epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256('42:' || epoch || ':' || group_id), group_id) - 1 AS place, group_id FROM manifest, range(1, 4) e(epoch) WHERE split = 'train'",
+    "spread_row_sample": f"""WITH {_FLOWS}, totals AS (SELECT file_id, (count(*) - 1) // 16 + 1 AS total FROM flows GROUP BY 1), picks AS (
+        SELECT DISTINCT file_id, round_even(i * CASE WHEN least(8, total) > 1 THEN (total - 1) / (least(8, total) - 1) ELSE 0 END, 0)::BIGINT AS row_group FROM totals, LATERAL (SELECT unnest(range(least(8, total))) AS i)),
+        placed AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY row_id) - 1) // 16 AS row_group FROM flows)
+        SELECT file_id, row_group, row_id FROM placed JOIN picks USING (file_id, row_group) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY sha256('42:' || file_id || ':' || row_id), row_id) <= 32""",
+    "reservoir_bounds": f"""WITH {_MANIFEST}, few AS (SELECT * FROM manifest WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY file_id, split ORDER BY sha256('42:' || group_id), group_id) = 1),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_id) - 1 AS place FROM flows),
+        t AS (SELECT p.value, p.hour::DOUBLE AS hour, p.user_id::DOUBLE AS user_id, p.k::DOUBLE AS k FROM placed p JOIN few m ON p.file_id = m.file_id AND p.place >= m.row_group * 128 + m."offset" AND p.place < m.row_group * 128 + m."offset" + m.n_rows),
+        w AS (SELECT count(DISTINCT label)::INTEGER AS n_labels FROM flows)
+        SELECT 'value' AS column_name, median(value) AS median, min(value) AS low, max(value) AS high, any_value(n_labels) AS n_labels FROM t, w
+        UNION ALL SELECT 'hour', median(hour), min(hour), max(hour), any_value(n_labels) FROM t, w UNION ALL SELECT 'user_id', median(user_id), min(user_id), max(user_id), any_value(n_labels) FROM t, w
+        UNION ALL SELECT 'k', median(k), min(k), max(k), any_value(n_labels) FROM t, w""",
     "label_histogram": """WITH o AS (SELECT nullif(o_orderstatus, 'P') AS label FROM orders), c AS (SELECT label, count(*) AS n FROM o GROUP BY 1)
         SELECT label, n, CASE WHEN label IS NOT NULL THEN round(n / (SELECT sum(n) FROM c WHERE label IS NOT NULL), 9) END AS fraction FROM c""",
     "label_audit": f"""WITH {_BURST} SELECT split, count(*) AS n_rows, count(*) FILTER (label IS NULL) AS n_unlabelled, count(DISTINCT label) AS n_labels,
@@ -203,8 +223,8 @@ ORACLES: dict[str, str] = {
         + count(*) FILTER (user_id_scaled < 0 OR user_id_scaled > 1) + count(*) FILTER (k_scaled < 0 OR k_scaled > 1))::BIGINT AS n_outside FROM scaled GROUP BY 1""",
     "label_encode": f"WITH {_BURST}, words AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM burst)) SELECT label, code, count(*) AS n FROM burst JOIN words USING (label) GROUP BY 1, 2",
     "seeded_group_order": f"WITH {_FLOWS}, ids AS (SELECT DISTINCT group_id FROM grouped) SELECT row_number() OVER (ORDER BY sha256('42:1:' || group_id), group_id) - 1 AS place, group_id FROM ids",
-    "greedy_test_groups": f"""WITH {_SEARCH} SELECT attempt::INTEGER AS attempt, len(test)::INTEGER AS n_test, len(validation)::INTEGER AS n_validation, sha256(array_to_string(list_sort(test), ',')) AS test_hash,
-        sha256(array_to_string(list_sort(validation), ',')) AS validation_hash FROM taken""",
+    "greedy_test_groups": f"""WITH {_SEARCH} SELECT attempt::INTEGER AS attempt, split, count(*) AS n_groups, sum(n)::BIGINT AS n_rows, sum(('0x' || substr(sha256(group_id), 1, 8))::BIGINT)::BIGINT AS digest
+        FROM assigned JOIN sizes USING (group_id) WHERE split <> 'train' GROUP BY 1, 2""",
     "split_score_search": f"WITH {_SCORES} SELECT attempt::INTEGER AS attempt, score FROM scores",
     "assigned_splits": f"WITH {_SCORES}, best AS (SELECT attempt FROM scores ORDER BY score, attempt LIMIT 1) SELECT group_id, split, n::BIGINT AS n_rows FROM assigned JOIN best USING (attempt) JOIN sizes USING (group_id)",
     "split_leakage": f"""WITH {_SPLIT}, pairs AS (SELECT * FROM (VALUES ('train_validation', 'train', 'validation'), ('train_test', 'train', 'test'), ('validation_test', 'validation', 'test')) t(pair, a, b))
@@ -225,6 +245,11 @@ ORACLES: dict[str, str] = {
     "window_metadata": f"""WITH {_WINDOWS}, short AS (SELECT count(*) AS n FROM (SELECT group_id, run FROM runs GROUP BY 1, 2 HAVING count(*) < 16))
         SELECT count(*) FILTER (kept) AS n_windows, (count(*) FILTER (kept) * 16)::BIGINT AS n_edges, (sum(len(nodes)) FILTER (kept))::BIGINT AS n_nodes, count(DISTINCT group_id) FILTER (kept) AS n_groups,
                count(*) FILTER (NOT kept) AS n_dropped, (SELECT n FROM short) AS n_short_runs FROM noded""",
+    "graph_integrity": f"""WITH {_SPLIT + _windows('split_rows')}, places AS (SELECT nodes, ids, hs, hd, list_transform(range(2, 17), lambda i: ids[i] - ids[i - 1]) AS steps,
+          list_transform(list_concat(hs, hd), lambda h: list_position(nodes, h)) AS spots FROM graphs)
+        SELECT count(*) AS n_windows, count(*) FILTER (list_max(steps) <> 1 OR list_min(steps) <> 1) AS n_broken, count(*) FILTER (list_count(spots) < len(spots) OR list_min(spots) < 1 OR list_max(spots) > len(nodes)) AS n_outside,
+               count(*) FILTER (len(ids) <> 16 OR len(hs) <> 16 OR len(hd) <> 16) AS n_short,
+               (SELECT count(*) FROM (SELECT group_id FROM split_rows GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS n_torn_groups FROM places""",
     "sequence_leakage": f"""WITH {_SPLIT + _windows('split_rows')}, pairs AS (SELECT * FROM (VALUES ('train_validation', 'train', 'validation'), ('train_test', 'train', 'test'), ('validation_test', 'validation', 'test')) t(pair, a, b)),
         ids AS (SELECT DISTINCT split, unnest(samples) AS sample_id FROM wins)
         SELECT 'group' AS kind, pair, (SELECT count(*) FROM (SELECT group_id FROM wins WHERE split = a INTERSECT SELECT group_id FROM wins WHERE split = b)) AS shared FROM pairs
@@ -239,6 +264,11 @@ ORACLES: dict[str, str] = {
         pairs AS (SELECT x.label, sum(x.p * (CASE WHEN y.score < x.score THEN 1.0 WHEN y.score = x.score THEN 0.5 ELSE 0 END) * y.n) AS won FROM c x JOIN c y ON x.label = y.label GROUP BY 1),
         sides AS (SELECT label, sum(p) AS p, sum(n) AS n FROM c GROUP BY 1)
         SELECT label, round(won::DOUBLE / (p::DOUBLE * n::DOUBLE), 9) AS auc FROM pairs JOIN sides USING (label)""",
+    "macro_auc": f"WITH {_SCORED}, {_AREAS} SELECT macro_auc FROM macro",
+    "evaluation": f"""WITH {_CLASSES}, {_SCORED.removeprefix(_JUDGED + ', ')}, {_AREAS}, s AS (SELECT sum(support) AS t FROM classes)
+        SELECT round(sum(n_right) / sum(support), 9) AS accuracy, round(avg(precision_score), 6) AS macro_precision, round(avg(recall_score), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+               round(sum(support / t * precision_score), 6) AS weighted_precision, round(sum(support / t * recall_score), 6) AS weighted_recall, round(sum(support / t * f1), 6) AS weighted_f1,
+               (SELECT macro_auc FROM macro) AS macro_auc FROM classes, s""",
     "roc_points": f"WITH {_SCORED} SELECT label, score, tpr, fpr FROM curve",
     "pr_points": f"WITH {_SCORED} SELECT label, score, tpr, precision_at FROM curve",
     "average_precision": f"WITH {_SCORED}, gains AS (SELECT label, (tpr - lag(tpr, 1, 0) OVER (PARTITION BY label ORDER BY score DESC)) * precision_at AS g FROM curve) SELECT label, round(sum(g), 6) AS average_precision FROM gains GROUP BY 1",
@@ -267,6 +297,16 @@ ORACLES: dict[str, str] = {
         s AS (SELECT attempts, CASE WHEN contains(t, 'running') THEN 'running' WHEN contains(t, 'queued') OR contains(t, 'pending') THEN 'queued' WHEN contains(t, 'complete') THEN 'complete'
               WHEN contains(t, 'cancelled') OR contains(t, 'canceled') THEN 'cancelled' WHEN contains(t, 'error') OR contains(t, 'fail') THEN 'error' ELSE 'unknown' END AS state FROM o)
         SELECT state, CASE WHEN state = 'running' THEN 'wait: running' WHEN state = 'queued' THEN 'wait: queued' WHEN attempts >= 5 THEN 'stop: attempts used up' ELSE 'push: incomplete' END AS decision, count(*) AS n FROM s GROUP BY 1, 2""",
+    "session_decision": """WITH r AS (
+          SELECT o_orderkey % 31 = 0 AS force, CASE o_custkey % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'completed' WHEN 2 THEN 'paused' WHEN 3 THEN 'paused' WHEN 4 THEN 'failed' ELSE 'running' END AS status,
+                 CASE o_orderkey % 7 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN 'error' WHEN 3 THEN 'complete' ELSE 'unknown' END AS kernel,
+                 CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 11) * 1000 END AS silent, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_custkey % 13) * 500 END AS since, o_orderkey % 9 AS attempts, o_custkey % 4 AS stagnant
+          FROM orders
+        ), d AS (
+          SELECT CASE WHEN force THEN 'forced' WHEN status = 'completed' THEN 'complete' WHEN kernel IN ('running', 'queued') THEN 'kernel ' || kernel
+                 WHEN status = 'running' AND kernel = 'unknown' AND (silent IS NULL OR silent < 7200) THEN 'not silent for long' WHEN since < 1800 THEN 'pushed lately'
+                 WHEN attempts >= 8 THEN 'attempts used up' WHEN stagnant >= 3 THEN 'no progress' WHEN status = 'paused' THEN 'paused' WHEN status = 'missing' THEN 'no run' ELSE 'incomplete, kernel ' || kernel END AS reason FROM r
+        ) SELECT reason IN ('forced', 'paused', 'no run') OR starts_with(reason, 'incomplete') AS push, reason, count(*) AS n FROM d GROUP BY 1, 2""",
     "cosine_rates": "SELECT e AS epoch, round(1e-6 + (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * e / 100)) / 2, 12) AS rate FROM range(100) t(e)",
     "stream_split_counts": f"WITH {_SPLIT} SELECT split, label, count(*) AS n FROM split_rows GROUP BY 1, 2",
 }

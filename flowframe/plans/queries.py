@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowframe.functions import cleaning, hashing, scores
+from flowframe.functions import cleaning, decisions, hashing, scores
 from flowframe.operators import audit, groups, metrics, preprocess, profile, sampling, splits, windows
 from flowframe.operators.outlier import IsolationForest
 from flowframe.sources.flows import event_flows
@@ -108,6 +108,12 @@ def hash_row_sample(spark, sf_dir):
     return sampling.sample_rows(event_flows(spark, sf_dir), 32, SEED).select("file_id", "row_id", "label")
 
 
+@query
+def spread_row_sample(spark, sf_dir):
+    flows = event_flows(spark, sf_dir)
+    return sampling.spread_sample(flows, groups.row_groups(flows, 16), 32, 8, SEED, 16).select("file_id", "row_group", "row_id")
+
+
 @query
 def reservoir_groups(spark, sf_dir):
     return sampling.reservoir(_manifest(spark, sf_dir), 1, SEED).select("file_id", "split", "group_id", "n_rows")
@@ -218,6 +224,16 @@ def minmax_scale(spark, sf_dir):
     return scaled.select("row_id", "split", *[F.round(c, 9).alias(f"{c}_scaled") for c in fitted.features])
 
 
+@query
+def reservoir_bounds(spark, sf_dir):
+    """What a fit on one whole training group of each file learns."""
+    columns = ["value", "hour", "user_id", "k"]
+    flows = event_flows(spark, sf_dir)
+    fitted = preprocess.fit_on_reservoir(flows, groups.require_splits(_manifest(spark, sf_dir)), 1, SEED, ROW_GROUP, MANIFEST_ROWS, columns, "label")
+    made = [(c, fitted.median[c], fitted.low[c], fitted.high[c], len(fitted.labels)) for c in fitted.features]
+    return spark.createDataFrame(made, "column_name string, median double, low double, high double, n_labels int")
+
+
 @query
 def clip_counts(spark, sf_dir):
     fitted = _fitted(spark, sf_dir)
@@ -248,14 +264,15 @@ def _attempts(spark, sf_dir):
 
 @query
 def greedy_test_groups(spark, sf_dir):
+    """What each attempt takes: groups, rows, and an order-free digest of the groups' ids."""
     _, _, chosen = _attempts(spark, sf_dir)
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(c), ","), 256)
-    return chosen.select("attempt", F.size("test").alias("n_test"), F.size("validation").alias("n_validation"), joined("test").alias("test_hash"), joined("validation").alias("validation_hash"))
+    number = F.conv(F.substring(F.sha2("group_id", 256), 1, 8), 16, 10).cast("long")
+    return chosen.groupBy("attempt", "split").agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows"), F.sum(number).alias("digest"))
 
 
 def _scored(spark, sf_dir):
     grouped, sizes, chosen = _attempts(spark, sf_dir)
-    assigned = splits.attempt_groups(chosen, sizes)
+    assigned = splits.attempt_groups(chosen, sizes, ATTEMPTS)
     return grouped, assigned, splits.scores(_burst(grouped), assigned, OUTER)
 
 
@@ -291,7 +308,7 @@ def _windows(spark, sf_dir, split: bool = False):
     rows = _split(spark, sf_dir) if split else _grouped(spark, sf_dir)
     rows = windows.with_runs(rows.where("inlier"))
     columns = {c: F.col(c) for c in ("label", "src", "sample_id", "value")}
-    columns["dst"] = F.expr("CASE WHEN k = 0 THEN ' NaN ' WHEN k = 1 THEN '' ELSE dst END")
+    columns["dst"] = F.when(F.col("k") == 0, " NaN\t").when(F.col("k") == 1, "").when(F.col("k") == 2, "\t\u00a0").when(F.col("k") == 3, F.concat(F.lit("\n"), "dst", F.lit("\t"))).otherwise(F.col("dst"))
     made = windows.windows(rows, columns)
     return made
 
@@ -353,6 +370,13 @@ def window_metadata(spark, sf_dir):
     return windows.window_summary(graphs, ~windows.endpoints_valid()).crossJoin(F.broadcast(short))  # one row each
 
 
+@query
+def graph_integrity(spark, sf_dir):
+    graphs = windows.with_graph(_windows(spark, sf_dir, split=True).where(windows.endpoints_valid()))
+    torn = splits.in_two_splits(_split(spark, sf_dir)).agg(F.count("*").alias("n_torn_groups"))
+    return windows.integrity(graphs).crossJoin(F.broadcast(torn))  # one row each
+
+
 @query
 def sequence_leakage(spark, sf_dir):
     made = _windows(spark, sf_dir, split=True)
@@ -394,6 +418,16 @@ def auc_ovr(spark, sf_dir):
     return metrics.auc(_by_class(spark, sf_dir), ["label"], "score", F.col("actual") == F.col("label"))
 
 
+@query
+def macro_auc(spark, sf_dir):
+    return metrics.macro_auc(metrics.auc(_by_class(spark, sf_dir), ["label"], "score", F.col("actual") == F.col("label")))
+
+
+@query
+def evaluation(spark, sf_dir):
+    return metrics.evaluation(_judged(spark, sf_dir), "actual", "predicted", _by_class(spark, sf_dir), "score", F.col("actual") == F.col("label"))
+
+
 @query
 def roc_points(spark, sf_dir):
     return metrics.curves(_by_class(spark, sf_dir), ["label"], "score", F.col("actual") == F.col("label")).select("label", "score", "tpr", "fpr")
@@ -489,6 +523,21 @@ def status_decision(spark, sf_dir):
     return state.withColumn("decision", decision).groupBy("state", "decision").agg(F.count("*").alias("n"))
 
 
+@query
+def session_decision(spark, sf_dir):
+    """The whole cascade, over orders as runs: status and kernel from the order, counters from its numbers."""
+    o = _table(spark, sf_dir, "orders")
+    run = {
+        "force": F.expr("o_orderkey % 31 = 0"), "known": F.expr("o_custkey % 10 <> 0"),
+        "status": F.expr("CASE o_custkey % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'completed' WHEN 2 THEN 'paused' WHEN 3 THEN 'paused' WHEN 4 THEN 'failed' ELSE 'running' END"),
+        "kernel": cleaning.state_of(F.expr("CASE o_orderkey % 7 WHEN 0 THEN 'Now Running' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'has failed' WHEN 3 THEN 'complete' ELSE 'gone' END")),
+        "silent": F.expr("CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 11) * 1000.0 END").cast("double"),
+        "since_push": F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_custkey % 13) * 500.0 END").cast("double"),
+        "attempts": F.expr("o_orderkey % 9"), "stagnant": F.expr("o_custkey % 4"),
+    }
+    return o.select(decisions.next_session(run).alias("d")).groupBy("d.push", "d.reason").agg(F.count("*").alias("n"))
+
+
 @query
 def cosine_rates(spark, sf_dir):
     return metrics.cosine_rates(spark, 100, 1e-3, 1e-6)

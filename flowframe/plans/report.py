@@ -11,6 +11,13 @@ from flowframe.functions.hashing import SPLITS
 from flowframe.operators import metrics
 from flowframe.sources.sinks import write_table
 
+
+
+def attention(weights: DataFrame, position: str) -> DataFrame:
+    """Mean ``weight`` by sample and position, 0 where there is none; a column for each position."""
+    return weights.groupBy("sample_index").pivot(position).agg(F.avg("weight")).fillna(0.0).orderBy("sample_index")
+
+
 #: Each table: the inputs it needs, and how it is made from them.
 TABLES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "confusion": (("predictions",), lambda p: metrics.confusion(p, "actual", "predicted")),
@@ -23,6 +30,12 @@ TABLES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "learning_curve": (("history",), lambda h: metrics.running_best(h, "epoch", "score")),
     "latency": (("latencies",), lambda t: metrics.nearest_rank(t, ["name"], "milliseconds")),
     "importance": (("importance",), lambda i: i.orderBy(F.desc("importance"), "feature").limit(30)),
+    "rate_schedule": (("history",), lambda h: h.select("epoch", "rate").orderBy("epoch")),
+    "epoch_time": (("history",), lambda h: h.select("epoch", "seconds").orderBy("epoch")),
+    "convergence": (("convergence",), lambda c: c.orderBy(F.desc("fitness"), "iteration").limit(30)),
+    "spatial_attention": (("spatial_attention",), lambda a: attention(a, "node_index")),
+    "temporal_attention": (("temporal_attention",), lambda a: attention(a, "timestep")),
+    "ablation": (("ablation",), lambda a: a.orderBy(F.desc("macro_f1"), "variant").limit(30)),
 }
 
 

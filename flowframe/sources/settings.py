@@ -13,6 +13,12 @@ from flowframe.sources.flows import merged
 
 #: Allowed outer training fractions.
 OUTER = (0.7, 0.8)
+#: Settings that are lists of column names, and settings with one value that is supported.
+NAMES = ("data.labels", "data.timestamps", "data.provenance", "data.identifiers", "data.non_numeric")
+ONLY = {
+    "windows.target": "last", "windows.missing_endpoint": "drop", "windows.direction": "directed", "model.best_by": "macro_f1",
+    "training.device": "cpu", "training.mixed_precision": False, "training.deterministic": True,
+}
 #: Points of a dataset root for a matching name, a data folder and a validation report.
 POINTS = {"hint": 100, "data": 50, "report": 20}
 
@@ -23,8 +29,8 @@ def load_settings(spark: SparkSession, base: str, mode: str | None = None) -> di
     return check_settings(merged(read(base), read(mode) if mode else {}))
 
 
-def check_settings(s: Mapping[str, Any]) -> dict[str, Any]:
-    """``s`` if all its values are in range; every fault is named."""
+def check_settings(s: Mapping[str, Any], sections: tuple[str, ...] = ()) -> dict[str, Any]:
+    """``s`` if all its values are in range and it has these sections; every fault is named."""
     get = lambda path, default: _at(s, path.split("."), default)
     faults = [f"{path} must be positive" for path in ("data.group_rows", "splits.attempts", "windows.length", "windows.stride") if not get(path, 1) > 0]
     faults += ["splits.outer must be 0.7 or 0.8"] * (get("splits.outer", 0.7) not in OUTER)
@@ -34,6 +40,15 @@ def check_settings(s: Mapping[str, Any]) -> dict[str, Any]:
     low, high = get("preprocessing.scale", [0.0, 1.0])
     faults += ["preprocessing.scale must ascend"] * (not low < high)
     faults += ["windows.length must not exceed data.group_rows"] * (get("windows.length", 16) > get("data.group_rows", 4096))
+    faults += ["windows.length must be 2 at least"] * (get("windows.length", 16) < 2)
+    faults += [f"section {name} is missing" for name in sections if name not in s]
+    faults += ["splits.outer_fractions must be 0.7 and 0.8"] * (sorted(get("splits.outer_fractions", OUTER)) != sorted(OUTER))
+    faults += [f"{path} must be a list of names" for path in NAMES if not isinstance(get(path, []), list) or any(not isinstance(x, str) for x in get(path, []))]
+    faults += [f"{path} must be {only}" for path, only in ONLY.items() if get(path, only) != only]
+    faults += [f"{path} must be a name" for path in ("windows.source", "windows.destination", "windows.namespace") if not isinstance(get(path, "-"), str) or not get(path, "-").strip()]
+    faults += [f"model.{name} must be positive" for name, size in (get("model.sizes", {}) or {}).items() if not size > 0]
+    faults += ["model.dropout must lie between 0 and 1, 1 excluded"] * (not 0 <= get("model.dropout", 0.0) < 1)
+    faults += ["model.outer must be 0.7 or 0.8"] * (get("model.outer", 0.7) not in OUTER)
     if faults:
         raise ValueError("; ".join(faults))
     return dict(s)

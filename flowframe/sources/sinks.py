@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowframe.operators.outlier import IsolationForest
 from flowframe.operators.preprocess import Fitted
 from flowframe.sources.flows import read_json
 
@@ -48,7 +49,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def save_fitted(spark: SparkSession, fitted: Fitted, path: str) -> str:
     """Fitted parameters as a document; returns the hash of the feature order, which it also holds."""
     order = hashlib.sha256(json.dumps(fitted.features).encode()).hexdigest()
-    write_json(spark, {"decisions": fitted.decisions, "features": fitted.features, "median": fitted.median, "low": fitted.low, "high": fitted.high, "labels": fitted.labels, "order": order}, path)
+    write_json(spark, {"decisions": fitted.decisions, "features": fitted.features, "median": fitted.median, "low": fitted.low, "high": fitted.high, "labels": fitted.labels, "order": order, "forest": fitted.forest and fitted.forest.document()}, path)
     return order
 
 
@@ -58,4 +59,4 @@ def load_fitted(spark: SparkSession, path: str, order: str | None = None) -> Fit
     if order is not None and d["order"] != order:
         raise ValueError("fitted for another order of features")
     pick = lambda name: {c: d[name][c] for c in d["features"]}
-    return Fitted(d["decisions"], pick("median"), pick("low"), pick("high"), d["labels"])
+    return Fitted(d["decisions"], pick("median"), pick("low"), pick("high"), d["labels"], IsolationForest.from_document(d["forest"]) if d.get("forest") else None)

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_setting = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it, or one folder of our own where it is unset."""
+    """``spark.checkpoint.dir`` as the session has it, or where it is unset and Spark runs in one process a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="flowframe-")
@@ -35,10 +39,15 @@ def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame
     ``arrow_rows`` bounds the rows that Python functions of ``df`` get at once.
     """
     spark = df.sparkSession
-    path, before = new_folder(spark, name), spark.conf.get(ARROW_ROWS)
-    try:
-        spark.conf.set(ARROW_ROWS, str(arrow_rows or before))
+    path = new_folder(spark, name)
+    if arrow_rows is None:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
+        return spark.read.schema(df.schema).parquet(path)
+    with _setting:
+        before = spark.conf.get(ARROW_ROWS)
+        try:
+            spark.conf.set(ARROW_ROWS, str(arrow_rows))
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)

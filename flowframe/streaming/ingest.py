@@ -7,30 +7,39 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from flowframe.functions.hashing import stream_split
 from flowframe.operators.groups import with_groups
-from flowframe.operators.preprocess import Fitted, transform
+from flowframe.operators.preprocess import Fitted, transform, unknown_label
 from flowframe.operators.windows import windows, with_runs
 from flowframe.sources.flows import config_hash
 from flowframe.sources.staging import new_folder
 
 
-def ingest(flows: DataFrame, target: str, checkpoint: str, seed: int, outer: float) -> None:
-    """Reads what is new, gives every row its group and split, and appends it by split; then stops.
+def finished(query: StreamingQuery, seconds: float | None) -> bool:
+    """Waits for the end, or stops the query after ``seconds``; what is not committed then is read by the next run."""
+    done = query.awaitTermination(seconds) if seconds is not None else query.awaitTermination() or True
+    if not done:
+        query.stop()
+    return bool(done)
 
-    Started again with the same checkpoint it goes on where it stopped. Groups lie inside a file and files are never
-    cut, so no state passes between batches.
+
+def ingest(flows: DataFrame, target: str, checkpoint: str, seed: int, outer: float, seconds: float | None = None) -> bool:
+    """Reads what is new, gives every row its group and split, and appends it by split; then stops. True if all is read.
+
+    Started again with the same checkpoint it goes on where it stopped, at the latest after ``seconds``. Groups lie
+    inside a file and files are never cut, so no state passes between batches.
     """
     rows = with_groups(flows).withColumn("split", stream_split(F.col("group_id"), outer, seed))
     query = rows.writeStream.format("parquet").partitionBy("split").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return finished(query, seconds)
 
 
-def ingest_windows(flows: DataFrame, fitted: Fitted, target: str, checkpoint: str, seed: int, outer: float, length: int, stride: int) -> None:
+def ingest_windows(flows: DataFrame, fitted: Fitted, target: str, checkpoint: str, seed: int, outer: float, length: int, stride: int, seconds: float | None = None) -> bool:
     """The stream as scaled, encoded windows by split: every batch is transformed with what the fit learned, nothing else.
 
-    Flows need group_id's parts, label, and the fitted features. A label outside the fitted vocabulary stops the run.
+    Training rows that the fitted forest calls outliers are left out before windows are cut. Flows need group_id's parts, label, and the fitted features. A label outside the fitted vocabulary stops the run.
     Batches hold whole files, so windows need no state. A batch that is tried again replaces its own folder.
     """
     names = F.array(*[F.lit(x) for x in fitted.labels])
@@ -38,12 +47,12 @@ def ingest_windows(flows: DataFrame, fitted: Fitted, target: str, checkpoint: st
     def write(batch: DataFrame, number: int) -> None:
         rows = with_groups(batch).withColumn("split", stream_split(F.col("group_id"), outer, seed))
         code = F.array_position(names, F.col("label")) - 1
-        coded = transform(rows, fitted).withColumn("code", F.when(code >= 0, code).otherwise(F.raise_error(F.lit("label outside the vocabulary")).cast("long")))
+        coded = transform(rows, fitted).withColumn("code", F.when(code >= 0, code).otherwise(unknown_label(F.col("label"))))
         columns = {c: F.col(c) for c in ("sample_id", "split", "code", *fitted.features)}
         made = windows(with_runs(coded), columns, length, stride)
         made.withColumn("split", F.col("steps")[0]["split"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    flows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return finished(flows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), seconds)
 
 
 def guard_contract(spark: SparkSession, folder: str, contract: dict) -> None:

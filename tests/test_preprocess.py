@@ -40,9 +40,20 @@ def test_outliers_leave_training_only(spark):
     assert {r["split"]: r["count"] for r in rows} == {"train": 10, "validation": 5, "test": 5} and fitted.high["f1"] == 18.0
 
 
+def test_forest_is_part_of_the_fit(spark):
+    far = [("train", 100 + i, "A", str(1e6 * i), 0.0, "0", "1.0", None, "1.0") for i in (1,)]
+    df = table(spark).unionByName(spark.createDataFrame(far, table(spark).schema))
+    fitted = P.fit(df, ["f1", "f2"], ["row_id"], "label", forest={"trees": 40, "tree_rows": 21, "contamination": 0.05})
+    rows = P.transform(df, fitted).groupBy("split").count().collect()
+    assert fitted.high["f1"] == 19.0 and {r["split"]: r["count"] for r in rows} == {"train": 20, "validation": 5, "test": 5}
+    assert P.transform(df, fitted).columns == df.columns
+
+
 def test_endpoints_and_states(spark):
-    df = spark.createDataFrame([(" a ",), ("",), ("  ",), (" NaN",), ("None",), ("<NA>",), (None,)], "x string")
-    assert [r[0] for r in df.select(cleaning.valid_endpoint(F.col("x"))).collect()] == [True] + [False] * 6
+    df = spark.createDataFrame([(" a\t",), ("",), ("  ",), (" NaN\n",), ("None\u00a0",), ("<NA>\u3000",), ("\t\x1f",), (None,)], "x string")
+    assert [r[0] for r in df.select(cleaning.valid_endpoint(F.col("x"))).collect()] == [True] + [False] * 7
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace())
+    assert sorted(every) == sorted(cleaning.WHITE)
     words = spark.createDataFrame([("RUNNING now",), ("Pending",), ("completed",), ("Canceled",), ("Failed",), ("?",)], "x string")
     assert [r[0] for r in words.select(cleaning.state_of(F.col("x"))).collect()] == ["running", "queued", "complete", "cancelled", "error", "unknown"]
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from flowframe.functions.scores import epoch_seconds, softmax, winner
 from flowframe.operators import preprocess as P
 from flowframe.operators import splits
-from flowframe.plans import report
+from flowframe.plans import benchmark, report
 from flowframe.plans.queries import _windows
 from flowframe.sources import sinks
 from flowframe.sources.flows import read_json
@@ -45,12 +45,49 @@ def test_reports_skip_what_is_missing(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/confusion", header=True).count() == 4
 
 
+def test_reports_of_training_and_attention(spark, tmp_path):
+    history = spark.createDataFrame([(1, 0.5, 1e-3, 9.0), (2, 0.4, 1e-4, 8.0)], "epoch int, score double, rate double, seconds double")
+    weights = spark.createDataFrame([(0, 0, 0.5), (0, 0, 1.0), (1, 2, 0.25)], "sample_index int, timestep int, weight double")
+    ablation = spark.createDataFrame([("a", 0.1), ("b", 0.9)], "variant string, macro_f1 double")
+    made = report.generate({"history": history, "temporal_attention": weights, "ablation": ablation}, str(tmp_path))
+    assert {k for k, v in made.items() if v == "written"} == {"learning_curve", "rate_schedule", "epoch_time", "temporal_attention", "ablation"}
+    rows = spark.read.csv(f"{tmp_path}/temporal_attention", header=True).collect()
+    assert [tuple(r) for r in rows] == [("0", "0.75", "0.0"), ("1", "0.0", "0.25")]
+    assert [r["variant"] for r in spark.read.csv(f"{tmp_path}/ablation", header=True).collect()] == ["b", "a"]
+
+
+def test_benchmark_tables(spark, tmp_path):
+    calls = []
+    times = benchmark.measured(spark, "m", lambda: calls.append(1), warmups=3, measurements=7)
+    assert len(calls) == 10 and times.count() == 7
+    benchmark.write_benchmark(times, str(tmp_path), rows=4)
+    found = spark.read.csv(f"{tmp_path}/summary", header=True).first()
+    assert found["n"] == "7" and float(found["p50"]) <= float(found["p95"])
+
+
+def test_fits_with_a_forest_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("train", i, float(i % 9), "A") for i in range(60)], "split string, row_id long, x double, label string")
+    fitted = P.fit(df, ["x"], ["row_id"], "label", forest={"trees": 5, "tree_rows": 16})
+    sinks.save_fitted(spark, fitted, f"{tmp_path}/f")
+    assert sinks.load_fitted(spark, f"{tmp_path}/f") == fitted and fitted.forest
+
+
 def test_settings(spark, tmp_path):
     (tmp_path / "base.yaml").write_text("splits:\n  outer: 0.7\n  attempts: 128\nwindows: {length: 16}\n")
     (tmp_path / "mode.yaml").write_text("splits: {outer: 0.8}\n")
     assert load_settings(spark, f"{tmp_path}/base.yaml", f"{tmp_path}/mode.yaml")["splits"] == {"outer": 0.8, "attempts": 128}
     with pytest.raises(ValueError, match="outer.*scale"):
         check_settings({"splits": {"outer": 0.5}, "preprocessing": {"scale": [1.0, 0.0]}})
+    good = {"data": {"labels": ["Label"]}, "splits": {"outer_fractions": [0.8, 0.7]}, "windows": {"target": "last", "source": "src"}, "model": {"sizes": {"layers": 2}, "dropout": 0.1}, "training": {"device": "cpu"}}
+    assert check_settings(good, ("data", "splits")) == good
+    for part, word in [
+        ({"data": {"labels": "Label"}}, "names"), ({"splits": {"outer_fractions": [0.7]}}, "outer_fractions"), ({"windows": {"length": 1}}, "length"), ({"windows": {"target": "first"}}, "target"),
+        ({"windows": {"direction": "both"}}, "direction"), ({"windows": {"source": " "}}, "source"), ({"model": {"sizes": {"layers": 0}}}, "layers"), ({"model": {"dropout": 1.0}}, "dropout"), ({"training": {"device": "gpu"}}, "device"),
+    ]:
+        with pytest.raises(ValueError, match=word):
+            check_settings(part)
+    with pytest.raises(ValueError, match="section windows"):
+        check_settings({"data": {}}, ("data", "windows"))
 
 
 def test_roots_are_ranked(spark):

@@ -26,7 +26,7 @@ def test_files_give_provenance(spark, tmp_path):
     for day in ("mon", "tue"):
         spark.range(5).select(F.lit("x").alias(" Label"), "id").coalesce(1).write.parquet(str(tmp_path / "data" / day))
     df = read_flows(spark, str(tmp_path / "data"), expected_files=2)
-    assert {"Label", "id", "__capture_day", "__source_file_id", "__source_row_id"} == set(df.columns)
+    assert {"Label", "id", "__capture_day", "__source_file_id", "__source_row_id", "__file_path", "__row_index"} == set(df.columns)
     rows = df.orderBy("__capture_day", "__source_row_id").collect()
     assert [r["__source_row_id"] for r in rows] == [0, 1, 2, 3, 4] * 2 and {r["__capture_day"] for r in rows} == {"mon", "tue"}
     with pytest.raises(ContractError):
@@ -36,17 +36,54 @@ def test_files_give_provenance(spark, tmp_path):
 def test_manifests(spark, tmp_path):
     columns = [" Label", " Timestamp", "f"]
     made = {
-        "dataset_summary": {"source_file_count": 18, "total_rows": 36, "schema_hash": "abc"},
+        "dataset_summary": {"source_file_count": 5, "total_rows": 70, "schema_hash": "d41"},
         "validation_report": {"status": "passed", "error_count": 0, "errors": []},
-        "column_schema": {"original_column_count": 3, "output_column_count": 6, "schema_hash": "abc", "original_columns": columns, "provenance_columns_appended": ["__capture_day", "__source_file_id", "__source_row_id"]},
+        "column_schema": {"original_column_count": 3, "output_column_count": 6, "schema_hash": "d41", "original_columns": columns, "provenance_columns_appended": ["__capture_day", "__source_file_id", "__source_row_id"]},
     }
     for name, content in made.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(content, indent=1))
-    expected = {"source_file_count": 18, "original_column_count": 3, "schema_hash": "abc"}
+    expected = {"source_file_count": 5, "original_column_count": 3, "schema_hash": "d41"}
     found = validate_manifests(spark, str(tmp_path), expected, ["Label"], ["Timestamp"])
-    assert found == {"label": "Label", "timestamp": "Timestamp", "rows": 36}
+    assert found == {"label": "Label", "timestamp": "Timestamp", "rows": 70}
     with pytest.raises(ContractError):
         validate_manifests(spark, str(tmp_path), expected | {"schema_hash": "other"}, ["Label"], ["Timestamp"])
+    for report in ({"status": "ok", "error_count": 0}, {"status": "passed"}, {"status": "passed", "error_count": 1}):
+        (tmp_path / "validation_report.json").write_text(json.dumps(report))
+        with pytest.raises(ContractError, match="did not pass"):
+            validate_manifests(spark, str(tmp_path), expected, ["Label"], ["Timestamp"])
+
+
+def test_row_groups_come_from_footers_and_samples_from_row_groups(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from flowframe.operators import groups
+    from flowframe.sources import loaders
+
+    for f, n in enumerate((1000, 130)):
+        pq.write_table(pa.table({" Label": ["AB"[i % 2] for i in range(n)], "i": list(range(n))}), tmp_path / f"{f}.parquet", row_group_size=200)
+    table = loaders.file_row_groups(spark, str(tmp_path))
+    assert sorted((r["file_id"][-9:], r["row_group"], r["n_rows"]) for r in table.collect()) == [*[("0.parquet"[-9:], g, 200) for g in range(5)], ("1.parquet"[-9:], 0, 130)]
+    manifest = groups.require_splits(groups.group_manifest(table, 12, 0.7, 42))
+    assert groups.manifest_summary(manifest).agg(F.sum("n_rows")).first()[0] == 1130
+    rows = loaders.placed_rows(spark, str(tmp_path), table)
+    assert rows.where("i <> row_id or inside <> i % 200 or row_group <> i div 200").count() == 0 and rows.count() == 1130
+    slices = loaders.load_slices(spark, str(tmp_path), 160, 42, 16).where("file_id like '%0.parquet'")
+    ids = sorted(r["i"] for r in slices.collect())
+    assert len(ids) == 160 and sum(b - a != 1 for a, b in zip(ids, ids[1:], strict=False)) <= 3
+    few = loaders.load_sample(spark, str(tmp_path), 20, 2, 42)
+    assert few.groupBy("file_id").count().where("count <> 20").count() == 0 and {r["row_group"] for r in few.where("file_id like '%0.parquet'").collect()} == {0, 4}
+    pq.write_table(pa.table({"other": [1]}), tmp_path / "2.parquet")
+    with pytest.raises(ContractError, match="columns"):
+        loaders.file_row_groups(spark, str(tmp_path))
+
+
+def test_repeated_identities_are_refused(spark, tmp_path):
+    from flowframe.sources import loaders
+
+    spark.createDataFrame([("a", 1), ("a", 1)], "__source_file_id string, __source_row_id long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    with pytest.raises(ContractError, match="identity"):
+        loaders.load_sample(spark, str(tmp_path / "d"), 5, 1, 1)
 
 
 def test_settings():

@@ -9,6 +9,8 @@ from flowframe.operators.outlier import IsolationForest
 from flowframe.sources.staging import new_folder
 from flowframe.streaming.ingest import conserved, guard_contract, ingest, stream_flows
 
+SF = "/root/testdata/sf0.001"
+
 
 def files(spark, n=6, rows=60):
     data = [(f"f{f}", r, "AB"[(r // 10 + f) % 2]) for f in range(n) for r in range(rows)]
@@ -28,7 +30,8 @@ def greedy(order, target):
 def test_search_equals_a_python_model(spark):
     grouped = groups.with_groups(files(spark), 10)
     sizes = groups.group_sizes(grouped)
-    chosen = {r["attempt"]: r for r in splits.attempts_table(sizes, 8, 42, 0.7).collect()}
+    found = sorted(splits.attempts_table(sizes, 8, 42, 0.7).collect(), key=lambda r: r["h"])
+    chosen = {a: {s: [r["group_id"] for r in found if (r["attempt"], r["split"]) == (a, s)] for s in ("test", "validation")} for a in range(8)}
     n = {r["group_id"]: r["n_rows"] for r in sizes.collect()}
     for a in range(8):
         def order(pool, seed):
@@ -36,13 +39,26 @@ def test_search_equals_a_python_model(spark):
 
         test = greedy(order(n, 42 + a * 104729), 360 * (1.0 - 0.7))
         validation = greedy(order(set(n) - set(test), 43 + a * 104729), 360 * (0.7 * 0.1))
-        assert list(chosen[a]["test"]) == test and list(chosen[a]["validation"]) == validation
+        assert chosen[a] == {"test": test, "validation": validation}
+
+
+def test_greedy_choice_of_groups_of_all_sizes(spark):
+    import random
+
+    rng, target = random.Random(4), 300.0
+    pools = {a: [(f"g{i}", rng.choice([1, 2, 5, 40, 90, 700])) for i in range(n)] for a, n in enumerate([60, 60, 60, 1, 2, 5, 30])}
+    hashed = [(a, g, n, hashlib.sha256(f"{a}:{g}".encode()).hexdigest()) for a, pool in pools.items() for g, n in pool]
+    got = splits.greedy(spark.createDataFrame(hashed, "attempt int, group_id string, n_rows long, h string"), target).collect()
+    for a in pools:
+        order = sorted(((h, g, n) for b, g, n, h in hashed if a == b))
+        assert sorted((r["h"], r["group_id"]) for r in got if r["attempt"] == a) == [(h, g) for h, g, _ in order if g in set(greedy([(g, n) for _, g, n in order], target))]
+    assert splits.greedy(spark.createDataFrame([], "attempt int, group_id string, n_rows long, h string"), target).count() == 0
 
 
 def test_best_split_has_the_fractions_and_leaks_nothing(spark):
     grouped = groups.with_groups(files(spark), 10)
     sizes = groups.group_sizes(grouped)
-    assigned = splits.attempt_groups(splits.attempts_table(sizes, 16, 42, 0.7), sizes)
+    assigned = splits.attempt_groups(splits.attempts_table(sizes, 16, 42, 0.7), sizes, 16)
     rows = splits.assign(grouped, assigned, splits.best_attempt(splits.scores(grouped, assigned, 0.7)))
     shares = {r["split"]: r["count"] / 360 for r in rows.groupBy("split").count().collect()}
     assert abs(shares["train"] - 0.63) < 0.03 and abs(shares["validation"] - 0.07) < 0.03 and abs(shares["test"] - 0.30) < 0.03
@@ -120,6 +136,61 @@ def test_metrics_on_small_cases(spark):
     assert (got["p50"], got["p95"], got["mean"]) == (6.0, 11.0, 6.0)
 
 
+def test_a_run_that_reaches_its_deadline_goes_on_later(spark):
+    sf = "/root/testdata/sf0.001"
+    folder = new_folder(spark, "deadline")
+    assert not ingest(stream_flows(spark, sf), f"{folder}/rows", f"{folder}/progress", 42, 0.7, seconds=0.01)
+    assert ingest(stream_flows(spark, sf), f"{folder}/rows", f"{folder}/progress", 42, 0.7, seconds=120)
+    rows = spark.read.parquet(f"{folder}/rows")
+    assert conserved(spark.read.parquet(f"{sf}/events.parquet"), rows).first()["conserved"] and rows.select("sample_id").distinct().count() == rows.count()
+
+
+def test_running_sums_and_places(spark):
+    from flowframe.operators import order
+
+    df = spark.createDataFrame([(f"f{i % 3}", i, 1 + i % 5) for i in range(500)], "f string, i long, n long")
+    got = {r["i"]: (r["upto"], r["nth"]) for r in order.running_totals(df.withColumn("one", F.lit(1)), ["f", "i"], {"upto": "n", "nth": "one"}).collect()}
+    total = 0
+    for place, (_, i) in enumerate(sorted((f"f{i % 3}", i) for i in range(500))):
+        total += 1 + i % 5
+        assert got[i] == (total, place + 1)
+    assert {r["i"]: r["place"] for r in order.places(df, "f", "i", block=16).collect()} == {i: i // 3 for i in range(500)}
+    assert order.running_totals(df.where("false"), ["i"], {"upto": "n"}).count() == 0
+
+
+def test_groups_in_two_splits_and_missing_splits_are_found(spark):
+    from flowframe.sources.flows import ContractError
+
+    rows = spark.createDataFrame([("g", "train"), ("g", "test"), ("h", "test")], "group_id string, split string")
+    assert [r["group_id"] for r in splits.in_two_splits(rows).collect()] == ["g"]
+    with pytest.raises(ContractError, match="validation"):
+        groups.require_splits(rows)
+    with pytest.raises(ContractError, match="row_id"):
+        groups.with_groups(rows.withColumnRenamed("group_id", "file_id"))
+
+
+def test_forest_equals_a_plain_walk_of_its_trees(spark):
+    import numpy as np
+
+    from flowframe.plans import queries as Q
+
+    rows = Q.preprocess.coerced(Q._split(spark, SF), names := ["value", "hour", "user_id", "k"])
+    forest = IsolationForest.fit(rows.where("split = 'train'"), names, ["file_id", "row_id"], seed=Q.SEED)
+    data = {r["row_id"]: r for r in rows.collect()}
+
+    def walk(tree, x):
+        while len(tree) > 1:
+            tree = tree[2] if x[tree[0]] < tree[1] else tree[3]
+        return tree[0]
+
+    scores = {i: 2.0 ** (-np.mean([walk(t, [r[c] or 0.0 for c in names]) for t in forest.trees]) / forest.expected) for i, r in data.items()}
+    cut = np.percentile([s for i, s in scores.items() if data[i]["split"] == "train"], 99)
+    for r in Q.isolation_outliers(spark, SF).collect():
+        assert abs(r["score"] - scores[r["row_id"]]) < 2e-9 and r["outlier"] == (scores[r["row_id"]] > cut) or abs(scores[r["row_id"]] - cut) < 1e-12
+    again = IsolationForest.from_document(__import__("json").loads(__import__("json").dumps(forest.document())))
+    assert again == forest
+
+
 def test_forest_finds_the_far_point(spark):
     data = [(i, float(i % 10), float(i % 7)) for i in range(400)] + [(400, 500.0, -300.0)]
     df = spark.createDataFrame(data, "id long, a double, b double")
