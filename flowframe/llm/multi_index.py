@@ -4,9 +4,10 @@ Both halves of the unit vectors are quantised with their own centroids; a vector
 cells in the order of the summed distances of its halves to the centroids, drawn from a heap, until it has seen the
 number of entries that the index was calibrated to; the entries of visited cells are reranked with exact cosines.
 
-Equal vectors are one entry with its smallest ids, so groups of copies are searched once. Cells are dealt into parts
-of bounded size (a large cell into several), queries into blocks of bounded size, and each part meets each block of
-queries that visits it in one task.
+Equal vectors are one entry with its smallest ids, so groups of copies are searched once. Neighbouring cells share
+parts of bounded size (a large cell has several). A query goes to the parts that hold cells it visits, and there only
+the entries of these cells are scored; of the queries that visit a part, each block of bounded size gets the part in
+one task. What is shuffled thus grows with the visits, and no part is sent to queries that do not visit it.
 """
 
 from __future__ import annotations
@@ -22,24 +23,27 @@ from flowframe.sources.staging import staged
 
 
 #: Bound of the sample that centroids are fitted on, entries a cell on average, and bound of the centroids of a half.
-SAMPLE, CELL_ENTRIES, MOST_CENTROIDS = 20_000, 32, 256
+SAMPLE, CELL_ENTRIES, MOST_CENTROIDS = 20_000, 4, 1024
 ROUNDS = 12
 #: Queries that the index is calibrated with against brute force, and the share of their neighbours to be visited.
-CALIBRATION, RECALL = 128, 0.97
+CALIBRATION, RECALL = 128, 0.95
 PART_ENTRIES, BLOCK_QUERIES = 4096, 4096
 
 _FOUND = "q1 long, q2 long, score double, ids array<struct<vec_id:long,row:long>>, cell int"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, row, v, h1, h2`` of the rows that take part: an id, and a vector of the commonest length (of equally
-    common ones the smallest) with finite components, not all zero."""
+    """``vec_id, row, v, h1, h2`` of the rows that take part: an id, and a vector with finite components, not all zero.
+
+    Vectors shorter than the longest are filled up with zeros, which leaves their lengths and products as they are.
+    """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), vectors[vector_col].cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is larger than infinity
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    rows = staged(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (size["n"] if size else 0))
+    rows = staged(rows, "vectors")
+    size = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v")))
+    return rows.withColumn("v", F.transform(filled, lambda x: x + 0.0)).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
 
 
 def entries_of(rows: DataFrame, k: int) -> DataFrame:
@@ -58,6 +62,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _in_line(centroids: np.ndarray) -> np.ndarray:
+    """The centroids in the order of their main direction."""
+    if not centroids.shape[1]:
+        return centroids
+    middle = centroids - centroids.mean(0)
+    return centroids[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
+
+
 def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (centroids * centroids).sum(1) - 2.0 * x @ centroids.T
 
@@ -70,7 +82,7 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) ->
         sums, counts = np.zeros_like(centroids), np.bincount(near, minlength=k)
         np.add.at(sums, near, x)
         centroids[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
-    return centroids
+    return _in_line(centroids)
 
 
 class Cells:
@@ -103,33 +115,36 @@ class Cells:
         return out
 
 
-def _best(scores: np.ndarray, allowed: np.ndarray, queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the positions and exact cosines of its ``k`` best allowed entries, ties by id."""
-    out = []
-    for q, row, may in zip(queries, scores, allowed, strict=True):
-        at = np.flatnonzero(may)
+def _found(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query the ``k`` best of the entries in its ``visited`` cells (all, without that column), ties by id."""
+    vectors, asked = _matrix(rows["v"]), _matrix(queries["v"])
+    unit, directions = _unit(vectors), _unit(asked)
+    first = np.array([x[0]["vec_id"] for x in rows["ids"]], np.int64)
+    cell = rows["cell"].to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cells, begins = np.unique(cell[order], return_index=True)
+    ends = np.append(begins[1:], len(order))
+    places, scores = [], []
+    for i, q in enumerate(asked):
+        at = order
+        if "visited" in queries:
+            own = np.searchsorted(cells, queries["visited"].iloc[i])
+            at = order[np.concatenate([np.arange(a, b) for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)])]
+        near = unit[at] @ directions[i]
         if len(at) > k:
-            edge = np.partition(row[at], len(at) - k)[len(at) - k]
-            at = at[row[at] >= edge - 1e-12]
+            near_enough = near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-12
+            at = at[near_enough]
         some = vectors[at]
+        scale = np.abs(some).max(axis=1, keepdims=True)
+        some, q = some / scale, q / np.abs(q).max()  # squares of huge or tiny components stay finite
         exact = (some * q).sum(1) / (np.sqrt((some * some).sum(1)) * np.sqrt((q * q).sum()))
-        order = np.lexsort((first_ids[at], -exact))[:k]
-        out.append((at[order], exact[order]))
-    return out
-
-
-def _found(rows: pd.DataFrame, queries: pd.DataFrame, allowed: np.ndarray | None, k: int) -> pd.DataFrame:
-    vectors, asked = _matrix(rows["v"]), _matrix(queries["v"])
-    scores = _unit(asked) @ _unit(vectors).T
-    allowed = np.ones(scores.shape, bool) if allowed is None else allowed
-    first = np.array([x[0]["vec_id"] for x in rows["ids"]], np.int64)
-    best = _best(scores, allowed, asked, vectors, first, k)
-    n = [len(at) for at, _ in best]
-    at = np.concatenate([a for a, _ in best]) if best else np.zeros(0, np.int64)
+        best = np.lexsort((first[at], -exact))[:k]
+        places.append(at[best]), scores.append(exact[best])
+    n = [len(at) for at in places]
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
     return pd.DataFrame({
         "q1": np.repeat(queries["h1"].to_numpy(), n), "q2": np.repeat(queries["h2"].to_numpy(), n),
-        "score": np.concatenate([s for _, s in best]) if best else np.zeros(0),
-        "ids": rows["ids"].to_numpy()[at], "cell": rows["cell"].to_numpy()[at],
+        "score": np.concatenate(scores) if scores else np.zeros(0), "ids": rows["ids"].to_numpy()[at], "cell": cell[at],
     })
 
 
@@ -142,7 +157,7 @@ class MultiIndex:
     """An inverted multi-index over all usable rows of a table, fitted on a bounded sample of them."""
 
     def __init__(self, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cell_entries: int = CELL_ENTRIES, sample: int = SAMPLE):
-        self.k = k
+        self.k, self.visited = k, 0.0  # the share of the entries that the last search visited for each query
         self.rows = usable(vectors, id_col, vector_col)
         entries = staged(entries_of(self.rows, k + 1), "entries")
         self.size = entries.count()
@@ -179,7 +194,7 @@ class MultiIndex:
         def exact(batches):
             for rows in batches:
                 if len(rows):
-                    yield _found(rows, asked, None, k)
+                    yield _found(rows, asked, k)
 
         truth = _top(self.index.mapInPandas(exact, _FOUND), k).toPandas()
         counts, needs = self.cells.counts, []
@@ -194,7 +209,7 @@ class MultiIndex:
         """``query_id, rank, vec_id, score``: the ``k`` nearest other rows found for each row that ``is_query`` (of vec_id) marks.
 
         Nearest first, ties to the smaller vec_id. Rows without an id or a usable vector take no part, on either
-        side. Rows with equal ids are different rows. ``entries`` overrides the calibrated number to visit.
+        side. Rows with equal ids are different rows; shorter vectors count as filled up with zeros. ``entries`` overrides the calibrated number to visit.
         """
         spark, k = self.rows.sparkSession, self.k
         schema = "query_id long, rank int, vec_id long, score double"
@@ -203,42 +218,44 @@ class MultiIndex:
         askers = self.rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "h1", "h2", "v")
         queries = staged(askers.groupBy("h1", "h2").agg(F.first("v").alias("v")), "queries")
         budget = self.calibrate(queries) if entries is None else entries
+        self.visited = min(1.0, budget / self.size)
         cells = self.cells
-        parts = max(1, -(-self.size // PART_ENTRIES))
-        blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-        pieces = np.maximum(1, -(-cells.counts // PART_ENTRIES)).astype(np.int64)  # of a cell
-
-        def part_of(cell: np.ndarray, piece: np.ndarray) -> np.ndarray:
-            return (cell * 7919 + piece * 104_729) % parts
+        pieces = np.maximum(1, -(-cells.counts // PART_ENTRIES)).astype(np.int64)  # of a cell; those of large cells are parts of their own
+        before = np.cumsum(cells.counts) - cells.counts
+        small = before // PART_ENTRIES  # cells that lie side by side share a part
+        alone = int(small[-1]) + 1 + np.cumsum(np.where(pieces > 1, pieces, 0)) - np.where(pieces > 1, pieces, 0)
+        first_part = np.where(pieces > 1, alone, small)
 
         def deal(batches):
             for rows in batches:
                 cell = rows["cell"].to_numpy().astype(np.int64)
-                piece = (rows["h1"].to_numpy() & 0x7FFFFFFF) % pieces[cell]
-                yield rows.assign(part=part_of(cell, piece).astype(np.int32))
+                yield rows.assign(part=first_part[cell] + (rows["h1"].to_numpy() & 0x7FFFFFFF) % pieces[cell])
 
         def probe(batches):
             for rows in batches:
                 out = []
                 for h1, h2, v, unit in zip(rows["h1"], rows["h2"], rows["v"], _unit(_matrix(rows["v"])) if len(rows) else [], strict=True):
-                    visited = np.array(cells.visits(unit, budget), np.int64)
+                    visited = np.sort(np.array(cells.visits(unit, budget), np.int64))
                     cell = np.repeat(visited, pieces[visited])
                     piece = np.arange(len(cell)) - np.repeat(np.cumsum(pieces[visited]) - pieces[visited], pieces[visited])
-                    part = part_of(cell, piece)
-                    out += [(h1, h2, v, p, np.unique(cell[part == p]).astype(np.int32)) for p in np.unique(part).tolist()]
+                    part = first_part[cell] + piece
+                    order = np.argsort(part, kind="stable")
+                    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        out.append((h1, h2, v, int(part[some[0]]), cell[some].astype(np.int32)))
                 yield pd.DataFrame(out, columns=["h1", "h2", "v", "part", "visited"])
 
         index_schema = self.index.schema.simpleString()[7:-1]
-        dealt = self.index.mapInPandas(deal, index_schema + ",part:int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asked = queries.mapInPandas(probe, "h1 long, h2 long, v array<double>, part int, visited array<int>")
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("h2"), F.lit(blocks)).cast("int"))
+        asked = staged(queries.mapInPandas(probe, "h1 long, h2 long, v array<double>, part long, visited array<int>"), "asked")
+        blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))  # one row a part
+        asked = asked.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("h2"), F.col("blocks")).cast("int")).drop("blocks")
+        dealt = self.index.mapInPandas(deal, index_schema + ",part:long").join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
         def rerank(rows: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(questions):
                 return pd.DataFrame({"q1": [], "q2": [], "score": [], "ids": [], "cell": []}).astype({"q1": "int64", "q2": "int64", "score": float, "cell": "int32"})
-            cell = rows["cell"].to_numpy()
-            allowed = np.stack([np.isin(cell, np.asarray(v)) for v in questions["visited"]])
-            return _found(rows.reset_index(drop=True), questions, allowed, k + 1)
+            held = rows["cell"].unique()  # a piece of a cell may be empty
+            questions = questions.assign(visited=[np.asarray(v)[np.isin(v, held)] for v in questions["visited"]])
+            return _found(rows.reset_index(drop=True), questions[questions["visited"].map(len) > 0], k + 1)
 
         found = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(rerank, _FOUND)
         near = staged(_top(found, k + 1).select("q1", "q2", "score", "ids"), "near")
