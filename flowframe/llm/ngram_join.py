@@ -2,9 +2,11 @@
 
 Texts with the same n-gram set are one class. The classes' signatures are cut into bands, whose number and rows are
 chosen for the target recall; band hashes are shuffled, and classes that share one are candidates. Candidates are
-joined into candidate groups (without listing pairs), each group is dealt into blocks of bounded size, and every
-pair of blocks verifies its pairs on the full n-gram sets. Only sums and spanning edges leave a block, so a large
-group costs rows in proportion to its classes, and no link is lost.
+joined into candidate groups (without listing pairs). A small group is verified as a whole on the full n-gram sets. Of
+a group beyond one block, either all pairs are verified, or, where that is less, those within its buckets (the classes
+that share one band): so a long chain of classes, each like its neighbours only, costs what its buckets cost. What is
+verified together is dealt into blocks of bounded size, and every pair of blocks verifies its pairs. Only sums and
+spanning edges leave a block, so a large group costs rows in proportion to its classes, and no link is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,12 +147,19 @@ def links_within(sets: list[np.ndarray], similarity: float, left: int | None = N
 
 
 def verified(rows: pd.DataFrame, similarity: float, first: int, second: int) -> pd.DataFrame:
-    """For each class of a block pair: the smallest class it hangs together with there, and its linked documents."""
+    """For each class of a block pair: the smallest class it hangs together with there, and its linked documents.
+
+    A link that several units hold is counted in the smallest of them (``units``: those that a class is in, if several).
+    """
     rows = rows.drop_duplicates("digest")
     inner = first == second
     rows = rows.sort_values(["part", "digest"], kind="stable").reset_index(drop=True)
     sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
     i, j = links_within(sets, similarity, None if inner else int((rows["part"] == first).sum()))
+    if len(i) and rows["units"][0] is not None:
+        unit, units = rows["unit"][0], [set(u.tolist()) for u in rows["units"]]
+        own = np.array([min(units[a] & units[b]) == unit for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = i[own], j[own]
     n = rows["copies"].to_numpy()
     links = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
     parent = list(range(len(rows)))
@@ -170,6 +179,35 @@ def verified(rows: pd.DataFrame, similarity: float, first: int, second: int) ->
     return pd.DataFrame({"digest": digests, "root": [digests[top(x)] for x in range(len(rows))], "links": links.astype(np.int64)})
 
 
+def _parts(n: str, grams: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK_CLASSES, F.col(grams) / BLOCK_NGRAMS)).cast("int").alias("parts")
+
+
+def verified_units(members: DataFrame) -> DataFrame:
+    """``digest, copies, one, ngrams, unit, parts, units``: which classes are verified together, and in how many parts.
+
+    ``members`` are the classes of groups, with their bands. A unit is a group or one bucket of a large group, and
+    ``units`` then all the buckets that the class is in. Buckets with the same classes are one.
+    """
+    columns = ["digest", "copies", "one", "ngrams"]
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("ngrams").alias("grams"))
+    sizes = staged(sizes.select("group", "n", _parts("n", "grams")), "sizes")
+    whole = members.join(sizes, "group").select(*columns, "group", "parts", "node", "bands", "n")
+    in_band = whole.where("parts > 1").select(*columns, "group", "n", "node", F.explode("bands").alias("band"))
+    buckets = in_band.groupBy("band").agg(
+        F.max("group").alias("group"), F.max("n").alias("n"), F.count("*").alias("m"), F.sum("ngrams").alias("grams"),
+        F.bit_xor("node").alias("mix"), F.sum(F.col("node").cast("decimal(38,0)")).alias("total"),
+    ).where("m > 1")
+    buckets = staged(buckets.groupBy("group", "n", "m", "grams", "mix", "total").agg(F.min("band").alias("unit")), "buckets")
+    chains = buckets.groupBy("group", "n").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs")).where("pairs < cast(n as double) * n")
+    chains = staged(chains.select("group"), "chains")
+    groups = whole.join(chains, "group", "left_anti").select(*columns, F.col("group").alias("unit"), "parts", F.lit(None).cast("array<long>").alias("units"))
+    of_chains = buckets.join(chains, "group", "left_semi").select("unit", _parts("m", "grams"))
+    shared = staged(in_band.join(of_chains, in_band["band"] == of_chains["unit"]).select(*columns, "unit", "parts"), "shared")
+    lists = staged(shared.groupBy("digest").agg(F.collect_list("unit").alias("units")), "lists")  # as many as bands at most
+    return groups.unionByName(shared.join(lists, "digest"))
+
+
 def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links, copies_of, n_copies`` for every row.
 
@@ -194,28 +232,26 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     shared = band.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     near = band.join(staged(shared.select("band", "first"), "shared"), "band").where("node <> first").select("node", "first").distinct()
     groups = components(staged(near, "near"), "node", "first")
-    members = staged(classes.drop("bands").join(groups.withColumnRenamed("root", "group"), "node"), "members")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("ngrams").alias("grams"))
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("grams") / BLOCK_NGRAMS)).cast("int").alias("parts")
-    placed = members.join(staged(sizes.select("group", parts), "sizes"), "group").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int"))
-    placed = staged(placed.select("digest", "copies", "one", "ngrams", "group", "parts", "part"), "placed")
+    members = staged(classes.join(groups.withColumnRenamed("root", "group"), "node"), "members")
+    placed = verified_units(members).withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int"))
+    placed = staged(placed, "placed")
     # One row stands for a class, whichever copy; equal rows are told apart from nothing and dropped when verified.
-    wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), "digest", "copies", "group", "parts", "part")
+    wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), "digest", "copies", "unit", "units", "parts", "part")
     hashed = texts.withColumn("hash", F.xxhash64("text"))
     found = hashed.join(wanted, (hashed["hash"] == wanted["copy"]) & hashed["doc_id"].eqNullSafe(wanted["id"]))
-    sets = _sets(found.select("digest", "copies", "group", "parts", "part", "text"), words)
-    # Small groups share a bin; a group of several parts is dealt out in pairs of parts.
+    sets = _sets(found.select("digest", "copies", "unit", "units", "parts", "part", "text"), words)
+    # Small units share a bin; a unit of several parts is dealt out in pairs of parts.
     total = placed.where("parts = 1").agg(F.sum("ngrams"), F.count("*")).first()
     bins = max(1, -(-(total[0] or 0) // BLOCK_NGRAMS), -(-total[1] // (8 * BLOCK_CLASSES)))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = sets.withColumn("other", other).withColumns({
         "low": F.least("part", "other"), "high": F.greatest("part", "other"),
-        "bin": F.when(F.col("parts") == 1, F.pmod(F.xxhash64("group", F.lit(3)), F.lit(bins))).otherwise(F.col("group")),
+        "bin": F.when(F.col("parts") == 1, F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(bins))).otherwise(F.col("unit")),
         "many": F.col("parts") > 1,
     })
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made = [verified(g, similarity, key[2], key[3]) for _, g in rows.groupby("group", sort=False)]
+        made = [verified(g, similarity, key[2], key[3]) for _, g in rows.groupby("unit", sort=False)]
         return pd.concat(made, ignore_index=True)
 
     links = staged(dealt.groupBy("many", "bin", "low", "high").applyInPandas(verify, "digest binary, root binary, links long"), "links", TEXT_ROWS)

@@ -129,6 +129,27 @@ def test_all_links_are_found(spark, table, monkeypatch, block):
     assert got == brute_links(texts)
 
 
+def test_chains_are_verified_by_their_buckets(table, monkeypatch):
+    """Each text is like its neighbours only: all pairs of the chain need not be verified, and each link counts once."""
+    monkeypatch.setattr(N, "BLOCK_CLASSES", 16)
+    seen, units = [], N.verified_units
+    monkeypatch.setattr(N, "verified_units", lambda members: seen.append(units(members)) or seen[-1])
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 400, 3)] + near_texts(1, 30, 8)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.join_documents(table(rows(texts))).collect()}
+    assert got == brute_links(texts)
+    kinds = [r["units"] is None for r in seen[0].collect()]
+    assert any(kinds) and not all(kinds), "the near copies are a group, the chain is buckets"
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = brute_links([r["text"] for r in docs])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op3_ngram_join"](spark, sf).collect()}
+    assert got == {docs[i]["doc_id"]: (docs[c]["doc_id"], n) for i, (c, n) in want.items()} and any(n for _, n in want.values())
+
+
 def test_join_of_odd_rows(odd, empty):
     got = N.join_documents(odd).collect()
     assert len(got) == odd.count() and sum(r["n_links"] for r in got) == 3 * 2 + 2 * 1
