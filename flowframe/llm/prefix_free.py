@@ -1,19 +1,23 @@
 """Removal of byte strings that occur more than once in a corpus, by prefix-free parsing.
 
-A rolling hash over TRIGGER bytes picks, in every string of ``length`` bytes, its trigger: the place with the
-smallest hash (the last of equal ones). Neighbouring strings mostly share their trigger; those that do form a phrase
-of the text. Equal strings hold the same trigger at the same place, so only phrases with the same trigger bytes need
-be compared, and the corpus is never sorted as a whole:
-
-* the dictionary of phrases is counted by (trigger, content); a phrase that occurs twice is repeated in full, and
-  one whose trigger occurs nowhere else is not repeated at all, neither needs its text looked at;
-* the phrases that are left, distinct phrases with a common trigger, are sorted on both sides of it: by what follows
-  the trigger, and by what precedes it, read backwards. Two strings are equal if they fall into the same run of both
-  orders, by their longest common prefixes. These orders, one pair a trigger, stand in for the suffix arrays of
-  dictionary and parse.
+A rolling hash over TRIGGER bytes picks the triggers of a text: in every string of ``length`` bytes the place with the
+smallest hash (the last of equal ones), so that, other than with a hash modulo a number, no string is without one.
+Triggers cut the text into phrases: what lies between two is a part of the text that depends on its content only. A
+string is then an end of a phrase, up to its trigger, and a beginning of the parse's suffix at that trigger. Equal
+strings have equal triggers at equal distances, so the corpus is ordered trigger by trigger, as independent tasks:
+
+* the dictionary: phrases with their surroundings are counted by (trigger, content). One that occurs twice is repeated in
+  full, and one whose trigger occurs nowhere else is not repeated at all; neither needs to be ordered;
+* the suffix array of the parse, in the range of one trigger: the parse's suffixes that begin there, in the order of
+  the text that they stand for, as deep as a string reaches, with the lengths that neighbours have in common;
+* the suffix array of the dictionary, in the same range: the phrases that end there, ordered from their ends, so that
+  those with a common suffix of any length stand together, with the lengths that neighbours have in common;
+* both together place every string: at each distance from the trigger, strings with the same run in both arrays, cut
+  at that depth, are neighbours in the corpus's order and equal.
 
 Phrases hold at most ``length`` strings, parses are rows of a table, and triggers with very many distinct phrases
 are decided string by string with a grouped count, so that no task holds more than a bounded number of phrases.
+Contents are told apart by 128-bit hashes, what is ordered by its bytes.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ LENGTH, TRIGGER = 200, 48
 #: Strings of a text parsed at once. Cuts fall inside phrases, which are then compared like any others.
 SEGMENT = 1 << 19
 #: Phrases compared in one task on average, and distinct phrases of a trigger beyond which strings are counted singly.
-BIN_PHRASES, HOT_PHRASES = 40_000, 40_000
+BIN_PHRASES, HOT_PHRASES = 4096, 16_384
 _ROOM = np.uint64((1 << 20) - 1)
+#: Columns that tell a phrase's content.
+CONTENT = ["content", "check"]
 
 
 @lru_cache(maxsize=4)
@@ -76,14 +82,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases of a text: (place, through, trigger hash, content hash) arrays.
+    """The phrases of a text: (place, through, trigger hash, two content hashes) arrays.
 
     ``place`` packs the first string's start, the number of strings less one, and the trigger's distance from the
     first start, in 48, 8 and 8 bits. The strings of all phrases are all strings of ``length`` bytes, each once.
     Equal phrases that follow each other, as in text that repeats a word, are one; ``through`` is the start of the
     last string of the last of them.
     """
-    places, triggers, contents = [], [], []
+    places, triggers, contents, checks = [], [], [], []
     bytes_ = np.frombuffer(data, np.uint8)
     for base in range(0, len(data) - length + 1, SEGMENT):
         part = bytes_[base : base + SEGMENT + length - 1]
@@ -95,20 +101,22 @@ def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np
         first = np.flatnonzero(np.diff(where, prepend=-1))
         last = np.append(first[1:], len(where)) - 1
         p = where[first]
-        content = mixed(rolling(first, last + length) + ((last - first) * 256 + (p - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        shape = ((last - first) * 256 + (p - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         places.append(((base + first) << 16) | ((last - first) << 8) | (p - first))
         triggers.append(grams[p].view(np.int64))
-        contents.append(content.view(np.int64))
+        for hashes, made in ((rolling, contents), (Rolling(part, 6), checks)):
+            made.append(mixed(hashes(first, last + length) + shape).view(np.int64))
     if not places:
-        return (np.zeros(0, np.int64),) * 4
-    place, what, content = np.concatenate(places), np.concatenate(triggers), np.concatenate(contents)
-    first = np.flatnonzero(np.concatenate([[True], (what[1:] != what[:-1]) | (content[1:] != content[:-1])]))
+        return (np.zeros(0, np.int64),) * 5
+    place, what, content, check = map(np.concatenate, (places, triggers, contents, checks))
+    differs = (what[1:] != what[:-1]) | (content[1:] != content[:-1]) | (check[1:] != check[:-1])
+    first = np.flatnonzero(np.concatenate([[True], differs]))
     through = np.append(place[first[1:]] >> 16, len(data) - length + 1) - 1
-    return place[first], through, what[first], content[first]
+    return place[first], through, what[first], content[first], check[first]
 
 
 def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
-    schema = "file long, row long, place long, through long, trigger long, content long"
+    schema = "file long, row long, place long, through long, trigger long, content long, check long"
 
     def run(batches):
         import pyarrow as pa
@@ -117,8 +125,8 @@ def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
             for batch in by_bytes(whole, 3):
                 parts = [parse(t.encode("utf-8"), length, trigger) for t in batch.column(3).to_pylist()]
                 rows = [np.repeat(batch.column(c).to_numpy(), [len(p[0]) for p in parts]) for c in (0, 1)]
-                columns = [*rows, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ROW, "place", "through", "trigger", "content"])
+                columns = [*rows, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ROW, "place", "through", "trigger", "content", "check"])
 
     return base.mapInArrow(run, schema)
 
@@ -146,7 +154,7 @@ def _texts_of(base: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     return base.join(wanted, ROW).mapInArrow(run, schema)
 
 
-def _order(keys: list, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(keys: list, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of (key, text), and the bytes that each has in common with the one before, -1 if the keys differ."""
     order = sorted(range(len(texts)), key=lambda i: (keys[i], texts[i].ljust(width, b"\0")))
     table = np.frombuffer(b"".join(texts[i].ljust(width, b"\0") for i in order), np.uint8).reshape(-1, width)
@@ -159,19 +167,19 @@ def _order(keys: list, texts: list[bytes], width: int) -> tuple[np.ndarray, np.n
 def repeated_strings(rows: pd.DataFrame, length: int) -> np.ndarray:
     """For each phrase and each distance of its trigger from a string's start: does the string occur in another phrase?"""
     n = len(rows)
-    places, data = rows["place"].to_numpy(), rows["bytes"].tolist()
+    places, data, triggers = rows["place"].to_numpy(), rows["bytes"].tolist(), rows["trigger"].tolist()
     most, least = places & 255, (places & 255) - (places >> 8 & 255)
-    ahead, ahead_common = _order(rows["trigger"].tolist(), [d[o:] for d, o in zip(data, most.tolist(), strict=True)], length)
-    back, back_common = _order([0] * n, [d[:o][::-1] for d, o in zip(data, most.tolist(), strict=True)], max(1, int(most.max())))
+    parse_order, parse_common = suffix_array(triggers, [d[o:] for d, o in zip(data, most.tolist(), strict=True)], length)
+    ends_order, ends_common = suffix_array(triggers, [d[:o][::-1] for d, o in zip(data, most.tolist(), strict=True)], max(1, int(most.max())))
     found = np.zeros((n, int(most.max()) + 1), bool)
-    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+    suffix, end = np.empty(n, np.int64), np.empty(n, np.int64)
     for distance in range(found.shape[1]):
         valid = np.flatnonzero((least <= distance) & (distance <= most))
         if len(valid) < 2:
             continue
-        right[ahead] = np.cumsum(ahead_common < length - distance)
-        left[back] = np.cumsum(back_common < distance)
-        _, which, count = np.unique(right[valid] * (n + 1) + left[valid], return_inverse=True, return_counts=True)
+        suffix[parse_order] = np.cumsum(parse_common < length - distance)
+        end[ends_order] = np.cumsum(ends_common < distance)
+        _, which, count = np.unique(end[valid] * (n + 1) + suffix[valid], return_inverse=True, return_counts=True)
         found[valid, distance] = count[which] > 1
     return found
 
@@ -221,15 +229,15 @@ def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
     phrases = _phrases(base, length, trigger)
     last = F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255)
     copies = F.sum(F.when(F.col("through") > last, 2).otherwise(1))  # one, or more than one
-    counts = phrases.groupBy("trigger").agg(copies.alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
+    counts = phrases.groupBy("trigger").agg(copies.alias("n"), *[f(c).alias(f"{n}_{c}") for c in CONTENT for n, f in (("least", F.min), ("most", F.max))])
     # Staged, so that the join's inputs are plain exchanges and a hot trigger's phrases can be split over tasks.
-    known = staged(counts.where("n > 1").select("trigger", (F.col("least") == F.col("most")).alias("alike")), "triggers", TEXT_ROWS)
+    known = staged(counts.where("n > 1").select("trigger", ((F.col("least_content") == F.col("most_content")) & (F.col("least_check") == F.col("most_check"))).alias("alike")), "triggers", TEXT_ROWS)
     shared = staged(phrases.join(known, "trigger"), "shared", TEXT_ROWS)
     mixed_ = shared.where("not alike")
-    kinds = mixed_.groupBy("trigger", "content").agg(copies.alias("copies"), F.min(F.struct(*ROW, "place")).alias("one"))
-    kinds = staged(kinds.select("trigger", "content", "copies", "one.*"), "kinds")
-    often = kinds.where("copies > 1").select("trigger", "content")
-    full = shared.where("alike").select(*ROW, "place", "through").unionByName(mixed_.join(often, ["trigger", "content"]).select(*ROW, "place", "through"))
+    kinds = mixed_.groupBy("trigger", *CONTENT).agg(copies.alias("copies"), F.min(F.struct(*ROW, "place")).alias("one"))
+    kinds = staged(kinds.select("trigger", *CONTENT, "copies", "one.*"), "kinds")
+    often = kinds.where("copies > 1").select("trigger", *CONTENT)
+    full = shared.where("alike").select(*ROW, "place", "through").unionByName(mixed_.join(often, ["trigger", *CONTENT]).select(*ROW, "place", "through"))
     spans = full.select(*ROW, F.shiftright("place", 16).alias("low"), (F.col("through") + length).alias("high"))
     hot = kinds.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PHRASES).select("trigger")
     number, hot_number = kinds.count(), hot.count()

@@ -213,7 +213,7 @@ def test_removed_bytes_equal_brute_force(table, monkeypatch, hot, length, trigge
 
 def test_parse_covers_each_string_once():
     data = ("abc" * 200 + "some words that go on " * 3 + "z" * 50).encode()
-    place, through, _, _ = S.parse(data, 50, 8)
+    place, through, *_ = S.parse(data, 50, 8)
     starts = [i for p, t in zip(place.tolist(), through.tolist(), strict=True) for i in range(p >> 16, t + 1)]
     assert starts == list(range(len(data) - 49))
 
