@@ -113,5 +113,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
 
 
 def label_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, accepted`` for every row; other columns are ignored."""
+    """``doc_id, lang_pred, score, accepted`` for every row, repeated ones too; see ``predict_languages``.
+
+    Null texts and texts without a letter are ``und``; an empty table gives an empty result; other columns are ignored.
+    """
     return predict_languages(documents(docs, id_col, text_col), model).drop("text")

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import WordHashes, append_columns, documents, fresh_name, run_hashes
+from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, run_hashes
+from flowframe.sources.staging import staged
 
 #: Hash buckets of n-grams; weights are doubles, so a model takes 8 x BUCKETS bytes wherever it is sent.
 BUCKETS = 1 << 18
-#: Labelled documents learned from (the bound of what reaches the driver), and passes over them.
-SAMPLE_ROWS, PASSES = 3_000, 4
+#: Labelled documents learned from, their distinct n-grams in all (the bounds of what reaches the driver: 8 bytes for
+#: each n-gram), and passes over them.
+SAMPLE_ROWS, SAMPLE_NGRAMS, PASSES = 3_000, 8_000_000, 4
 #: Per-coordinate rate and regularisation of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.1
 #: Factor of an n-gram's share in its text.
@@ -97,8 +99,9 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, rows: int = SA
     return one.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learns from about ``sample_rows`` documents that ``labels`` (id, label) marks, in the order of their ids' hashes.
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_ngrams: int = SAMPLE_NGRAMS) -> QualityModel:
+    """Learns from about ``sample_rows`` documents that ``labels`` (id, label) marks, in the order of their ids' hashes,
+    and from no more of them than hold ``sample_ngrams`` distinct n-grams, counted for each document.
 
     The sampled labels are broadcast (their number is bounded by the parameter), so the documents are not shuffled;
     only hashed n-grams of the sample reach the driver. Of several rows with one id the smallest text counts. Null
@@ -118,22 +121,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str
         return run
 
     kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]
-    table = append_columns(rows, "text", kinds, make).drop("text").toPandas().sort_values(["hash", "labelled"], kind="stable")
+    table = staged(append_columns(rows, "text", kinds, make).drop("text"), "ngrams", TEXT_ROWS)
+    sizes = table.select("hash", "labelled", F.size("buckets").alias("n")).toPandas().sort_values(["hash", "labelled"], kind="stable")
+    enough = sizes[(sizes["n"].cumsum() <= sample_ngrams) | (np.arange(len(sizes)) == 0)]
+    if len(enough) < len(sizes):
+        table = table.where(F.col("hash") <= int(enough["hash"].iloc[-1]))
+    table = table.toPandas().sort_values(["hash", "labelled"], kind="stable")
     return follow_leader(list(zip(table.buckets, table.shares, table.label, strict=True)))
 
 
 def add_score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1; null texts are empty, empty texts get the bias's score."""
+    """``docs`` with the probability of label 1; null texts are empty, empty texts get the bias's score.
+
+    Equal texts get equal scores, repeated rows one each; an empty table gives an empty result.
+    """
     return append_columns(docs, text_col, [T.StructField(name, T.DoubleType())], model.scorer)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for every row; other columns are ignored."""
+    """``doc_id, score, predicted`` for every row, repeated ones too; a score of one half is predicted 1.
+
+    Null and empty texts have the bias's score; other columns are ignored; an empty table gives an empty result.
+    """
     scored = add_score(documents(docs, id_col, text_col), model)
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of ``least`` or more, with their own columns only."""
+    """The rows of ``docs`` with a score of ``least`` or more, with their own columns only.
+
+    Null and empty texts stay if the bias's score does; repeated rows stay or go together.
+    """
     name = fresh_name(docs, "score")
     return add_score(docs, model, text_col, name).where(F.col(name) >= least).drop(name)

@@ -1,9 +1,11 @@
 """Language, quality, neighbours and shards: held-out accuracy, recall and laws."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from documents_of import rows
 from pyspark.sql import functions as F
 
@@ -61,6 +63,89 @@ def test_quality_of_odd_rows(spark, odd, empty, table):
     assert {r["score"] for r in K.score_documents(odd, nothing).collect()} == {0.5}
 
 
+def test_sample_is_bounded_by_its_ngrams(spark, table):
+    texts = [f"good words {i} " * 3 if i % 2 else f"bad stuff {i} " * 3 for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, leader = [], K.follow_leader
+    try:
+        K.follow_leader = lambda rows_: seen.append(rows_) or leader(rows_)
+        K.fit_quality(table(rows(texts)), labels, "quality")
+        model = K.fit_quality(table(rows(texts)), labels, "quality", sample_ngrams=300)
+    finally:
+        K.follow_leader = leader
+    assert len(seen[0]) == 200 and sum(len(b) for b, _, _ in seen[1]) <= 300 < sum(len(b) for b, _, _ in seen[0])
+    assert 10 < len(seen[1]) < 200 and len(model.buckets)
+
+
+def test_leader_equals_a_plain_loop():
+    """FTRL-proximal weight by weight, in dictionaries."""
+    rng = np.random.default_rng(7)
+    data = []
+    for _ in range(60):
+        buckets = np.unique(rng.integers(0, 40, 12))
+        data.append((buckets, rng.random(len(buckets)), int(rng.integers(0, 2))))
+    z, n, bias = {}, {}, K.BUCKETS
+
+    def weight(i):
+        lead = z.get(i, 0.0)
+        return 0.0 if abs(lead) <= K.L1 else (math.copysign(K.L1, lead) - lead) / ((K.BETA + math.sqrt(n.get(i, 0.0))) / K.ALPHA + K.L2)
+
+    for _ in range(K.PASSES):
+        for buckets, values, label in data:
+            x = [*zip(buckets.tolist(), values.tolist(), strict=True), (bias, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1.0 / (1.0 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g, old = (p - label) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / K.ALPHA * w[i]
+                n[i] = old + g * g
+    model = K.follow_leader(data)
+    assert np.isclose(model.bias, weight(bias)) and set(model.buckets) == {i for i in z if i != bias and weight(i)}
+    assert np.allclose(model.weights, [weight(i) for i in model.buckets.tolist()])
+
+
+def test_quality_query_equals_plain_scores(spark):
+    """The query's scores, text by text from the model's weights, words cut by hand."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = Q.quality_model(spark, docs, sf)
+    weights, hashes = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True)), K.WordHashes()
+    want = {}
+    for r in docs.collect():
+        found = K.features(r["text"] or "", hashes).tolist()
+        total = model.bias + (K.SCALE * sum(weights.get(b, 0.0) for b in found) / len(found) if found else 0.0)
+        want[r["doc_id"]] = (1.0 / (1.0 + math.exp(-total)), zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    got = {r["doc_id"]: r for r in Q.op10_quality_classifier(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, (score, held) in want.items():
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9) and got[i]["held_out"] == held and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_language_query_equals_plain_compression(spark):
+    """The query's answers, each text compressed with each language's dictionary, block by block."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    model = L.fit_languages(docs.where(F.col("doc_id").isin([i for i in ids if not held(i)])), "lang")
+    got = {r["doc_id"]: r for r in Q.op7_language_id(spark, sf).collect()}
+    for r in docs.collect():
+        text, mine = r["text"] or "", got[r["doc_id"]]
+        if not any(c.isalpha() for c in text):
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        sizes = []
+        for name, content in model.dictionaries:
+            total = 0
+            for at in range(0, len(text), L.BLOCK_CHARS):
+                coder = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+                total += len(coder.compress(text[at : at + L.BLOCK_CHARS].lower().encode()))
+            sizes.append((total, name))
+        best, second = sorted(sizes, key=lambda x: x[0])[:2]
+        assert mine["held_out"] == held(r["doc_id"]) and mine["lang_pred"] in {n for s, n in sizes if s <= best[0] * 1.002}
+        assert abs(mine["score"] - (1 - best[0] / second[0])) < 0.004
+
+
 def test_leader_learns_a_word():
     rng = np.random.default_rng(0)
     rows_ = [(np.unique(np.append(rng.integers(10, 500, 8), 3 if y else 4)), None, y) for y in rng.integers(0, 2, 400)]

@@ -157,6 +157,25 @@ def test_bins_that_need_other_fillings_than_the_first_ones():
         assert len(bins) == least
 
 
+def test_packing_a_table_that_best_fit_does_not(spark):
+    """Through the operator: the search needs three sequences where best fit needs four."""
+    lengths = [1, 17, 19, 21, 28, 56, 66, 70, 94, 99, 129]
+    assert len(B.best_fit(sorted(lengths, reverse=True), 200)) == 4
+    packed = B.pack_pieces(spark.createDataFrame([(x,) for x in lengths], "length long"), 200).toPandas()
+    assert packed.sequence_id.nunique() == 3 and sorted(packed.length) == lengths and packed.groupby("sequence_id").length.sum().max() <= 200
+
+
+def test_added_tokens_in_other_cases_through_the_query(spark, tmp_path):
+    from flowframe.llm import queries as Q
+
+    marks = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>x", "y<|STARTOFTEXT|>", "<|endoftext|>", "É <|ENDOFTEXT|>", "<|endoftext|><|ENDOFTEXT|> Ab"]
+    spark.createDataFrame(list(enumerate(marks)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for r in Q.op6_bin_completion(spark, str(tmp_path)).collect():
+        ids = np.array([*tokenizer.encode(marks[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_fillings_are_undominated():
     sizes, counts = np.array([2, 3, 5, 8]), np.array([2, 1, 1, 1])
     assert B.fillings(sizes, counts, 8) == [(3,)] and B.fillings(sizes, counts, 1) == [()]
