@@ -99,6 +99,8 @@ def char_spans(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndar
     """First and one-past-last character of each token; a token that holds part of a character spans all of it."""
     ends = np.cumsum(lengths[ids])
     starts = ends - lengths[ids]
+    if text.isascii():
+        return starts, ends
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
     of_byte = np.cumsum((data & 0xC0) != 0x80) - 1  # the character that each byte belongs to
     return of_byte[starts], of_byte[ends - 1] + 1
@@ -107,13 +109,13 @@ def char_spans(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndar
 def code_documents(docs: DataFrame, codec: ByteBpe, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, decoded: bool = False) -> DataFrame:
     """``doc_id, n_tokens, n_inside, ids`` for every row; ``ids`` is little-endian unsigned 32-bit integers.
 
-    ``n_inside`` counts the tokens that begin inside a character. ``spans`` adds ``char_starts`` and ``char_ends``
-    (arrays of int), ``decoded`` the bytes that the ids decode to. Null and empty texts have no ids. Whole texts are
+    ``n_inside`` counts the tokens that begin inside a character. ``spans`` adds ``char_starts`` and ``char_ends``,
+    each token's first and one-past-last character, packed like the ids; ``decoded`` the bytes that the ids decode to. Null and empty texts have no ids. Whole texts are
     encoded, however long; repeated rows are coded alike, and characters that the pattern leaves out are left out.
     Other columns are ignored; an empty table gives an empty result.
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_inside", T.LongType()), T.StructField("ids", T.BinaryType())]
-    fields += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("char_starts", "char_ends") if spans]
+    fields += [T.StructField(n, T.BinaryType()) for n in ("char_starts", "char_ends") if spans]
     fields += [T.StructField("decoded", T.BinaryType())] * decoded
 
     def make():
@@ -125,7 +127,7 @@ def code_documents(docs: DataFrame, codec: ByteBpe, id_col: str = "doc_id", text
             out: list = [[len(x) for x in ids], [int(coder.inside[x].sum()) for x in ids], packed]
             if spans:
                 both = [char_spans(t, x, coder.lengths) for t, x in zip(texts, ids, strict=True)]
-                out += [[a.astype(np.int32) for a, _ in both], [b.astype(np.int32) for _, b in both]]
+                out += [[x[k].astype("<u4").tobytes() for x in both] for k in (0, 1)]
             if decoded:
                 out.append([coder.decode(x.tolist()) for x in ids])
             return out

@@ -82,8 +82,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = ByteBpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = code_documents(_docs(spark, sf_dir), codec, decoded=True)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_inside")
+    coded = code_documents(_docs(spark, sf_dir), codec, spans=True, decoded=True)
+    spans = F.crc32(F.concat("char_starts", "char_ends")).alias("spans_crc32")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_inside", spans)
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:

@@ -90,7 +90,7 @@ def test_spans_and_split_characters(bpe):
 def test_coded_rows(odd, empty, bpe):
     coded = code_documents(odd, bpe, spans=True, decoded=True)
     for r in decode_documents(coded, bpe).collect():
-        assert r["decoded"] == r["decoded_bytes"] and r["decoded_text"].encode() == bytes(r["decoded"]) and len(r["ids"]) == 4 * r["n_tokens"] == 4 * len(r["char_starts"])
+        assert r["decoded"] == r["decoded_bytes"] and r["decoded_text"].encode() == bytes(r["decoded"]) and len(r["ids"]) == 4 * r["n_tokens"] == len(r["char_starts"]) == len(r["char_ends"])
     assert sorted(bytes(r["decoded"]) for r in coded.collect()) == sorted((r["text"] or "").encode() for r in odd.collect())
     assert code_documents(empty, bpe).count() == 0
 
@@ -216,6 +216,13 @@ def test_queries_over_a_whole_table(spark, bpe):
         ids = np.array(model.encode_ordinary(texts[r["doc_id"]]), "<u4")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+        data, at, spans = texts[r["doc_id"]].encode(), 0, ([], [])
+        for i in ids.tolist():
+            end = at + len(model.decode_single_token_bytes(i))
+            spans[0].append(len((data[:at] + b"?").decode(errors="ignore")) - 1)  # of the character that the byte is in
+            spans[1].append(len((data[: end - 1] + b"?").decode(errors="ignore")))
+            at = end
+        assert r["spans_crc32"] == zlib.crc32(np.array(spans, "<u4").tobytes())
     packed = Q.op6_bin_completion(spark, sf)
     assert packed.select("doc_id").distinct().count() == len(texts)
     total, used = packed.agg(F.sum("length")).first()[0], packed.select("sequence_id").distinct().count()
