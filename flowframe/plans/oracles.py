@@ -219,6 +219,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'k', count(DISTINCT k) FROM t UNION ALL SELECT 'one', count(DISTINCT one) FROM t) WHERE n <= 1""",
     "median_impute": f"WITH {_FEATURES} SELECT 'value' AS column_name, value AS median FROM middle UNION ALL SELECT 'hour', hour FROM middle UNION ALL SELECT 'user_id', user_id FROM middle UNION ALL SELECT 'k', k FROM middle",
     "minmax_scale": f"WITH {_FEATURES} SELECT row_id, split, round(value_scaled, 9) AS value_scaled, round(hour_scaled, 9) AS hour_scaled, round(user_id_scaled, 9) AS user_id_scaled, round(k_scaled, 9) AS k_scaled FROM scaled",
+    "minmax_clip": f"WITH {_FEATURES} SELECT row_id, split, " + ", ".join(f"round(least(greatest({c}_scaled, 0), 1), 9) AS {c}_clipped" for c in ("value", "hour", "user_id", "k")) + " FROM scaled",
     "clip_counts": f"""WITH {_FEATURES} SELECT split, count(*) * 4 AS n_values, (count(*) FILTER (value_scaled < 0 OR value_scaled > 1) + count(*) FILTER (hour_scaled < 0 OR hour_scaled > 1)
         + count(*) FILTER (user_id_scaled < 0 OR user_id_scaled > 1) + count(*) FILTER (k_scaled < 0 OR k_scaled > 1))::BIGINT AS n_outside FROM scaled GROUP BY 1""",
     "label_encode": f"WITH {_BURST}, words AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM burst)) SELECT label, code, count(*) AS n FROM burst JOIN words USING (label) GROUP BY 1, 2",

@@ -224,6 +224,13 @@ def minmax_scale(spark, sf_dir):
     return scaled.select("row_id", "split", *[F.round(c, 9).alias(f"{c}_scaled") for c in fitted.features])
 
 
+@query
+def minmax_clip(spark, sf_dir):
+    fitted = _fitted(spark, sf_dir)
+    scaled = preprocess.transform(_features(spark, sf_dir), fitted, "inlier", clip=True)
+    return scaled.select("row_id", "split", *[F.round(c, 9).alias(f"{c}_clipped") for c in fitted.features])
+
+
 @query
 def reservoir_bounds(spark, sf_dir):
     """What a fit on one whole training group of each file learns."""

@@ -119,5 +119,9 @@ def test_streamed_windows_equal_batch_windows(spark):
     assert streamed.count() == batch.count() > 0
     assert all(r["shared"] == 0 for r in splits.leakage(streamed.select("split", "group_id"), "group_id").collect())
     small = P.Fitted(fitted.decisions, fitted.median, fitted.low, fitted.high, ["click"])
-    with pytest.raises(Exception, match="vocabulary"):
+    forest = P.fit(rows, ["value", "user_id"], ["file_id", "row_id"], "label", forest={"trees": 10, "tree_rows": 64, "contamination": 0.05})
+    ingest_windows(stream_flows(spark, SF), forest, f"{folder}/forest", f"{folder}/forest-progress", 42, 0.7, 16, 8)
+    kept = windows(with_runs(P.transform(rows, forest)), {"value": F.col("value")}, 16, 8)
+    assert spark.read.parquet(f"{folder}/forest").count() == kept.count() < batch.count()
+    with pytest.raises(Exception, match="vocabulary: (error|purchase|signup|view)"):
         ingest_windows(stream_flows(spark, SF), small, f"{folder}/bad", f"{folder}/bad-progress", 42, 0.7, 16, 8)
