@@ -78,6 +78,19 @@ def pointers(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
     return placed.select("group_id", "first_row", (stop - F.col("n")).alias("node_start"), stop.alias("node_stop"), ((nth - 1) * length).alias("edge_start"), (nth * length).alias("edge_stop"))
 
 
+def pointer_integrity(placed: DataFrame) -> DataFrame:
+    """``n_windows, n_nodes, n_edges, n_node_gaps, n_edge_gaps``: gaps are starts other than 0 at which no window stops.
+
+    ``placed`` is that of ``pointers``; every window has nodes and edges.
+    """
+    gaps = []
+    for kind in ("node", "edge"):
+        starts = placed.select(F.col(f"{kind}_start").alias("at")).where("at <> 0")
+        gaps.append(starts.join(placed.select(F.col(f"{kind}_stop").alias("at")), "at", "left_anti").agg(F.count("*").alias(f"n_{kind}_gaps")))
+    totals = placed.agg(F.count("*").alias("n_windows"), F.coalesce(F.max("node_stop"), F.lit(0)).alias("n_nodes"), F.coalesce(F.max("edge_stop"), F.lit(0)).alias("n_edges"))
+    return totals.crossJoin(F.broadcast(gaps[0])).crossJoin(F.broadcast(gaps[1]))  # one row each
+
+
 def integrity(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``n_windows, n_broken, n_outside, n_short``: windows, those whose rows do not follow each other, those with an edge
     whose ends are not among their nodes, and those whose steps or edges are not ``length``."""

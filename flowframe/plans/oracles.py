@@ -239,6 +239,7 @@ ORACLES: dict[str, str] = {
     "window_graph_edges": f"WITH {_WINDOWS} SELECT group_id, first_row, (i - 1)::INTEGER AS time, list_position(nodes, hs[i])::BIGINT - 1 AS src, list_position(nodes, hd[i])::BIGINT - 1 AS dst FROM graphs, LATERAL (SELECT unnest(range(1, 17)) AS i)",
     "csr_pointers": f"""WITH {_WINDOWS}, summed AS (SELECT group_id, first_row, len(nodes) AS n, sum(len(nodes)) OVER o AS upto, row_number() OVER o AS nth FROM graphs WINDOW o AS (ORDER BY group_id, first_row ROWS UNBOUNDED PRECEDING))
         SELECT group_id, first_row, (upto - n)::BIGINT AS node_start, upto::BIGINT AS node_stop, ((nth - 1) * 16)::BIGINT AS edge_start, (nth * 16)::BIGINT AS edge_stop FROM summed""",
+    "pointer_integrity": f"WITH {_WINDOWS} SELECT count(*) AS n_windows, coalesce(sum(len(nodes)), 0)::BIGINT AS n_nodes, (count(*) * 16)::BIGINT AS n_edges, 0::BIGINT AS n_node_gaps, 0::BIGINT AS n_edge_gaps FROM graphs",
     "graph_message_mean": f"""WITH {_WINDOWS}, edges AS (SELECT group_id, first_row, list_position(nodes, hs[i]) - 1 AS src, list_position(nodes, hd[i]) - 1 AS dst, vals[i]::DECIMAL(18, 2) AS v FROM graphs, LATERAL (SELECT unnest(range(1, 17)) AS i)),
         ends AS (SELECT group_id, first_row, src AS node, v, false AS inward FROM edges UNION ALL SELECT group_id, first_row, dst, v, true FROM edges)
         SELECT group_id, first_row, node::BIGINT AS node, round(coalesce(sum(v) FILTER (inward), 0)::DOUBLE / greatest(count(*) FILTER (inward), 1), 6) AS mean_in,

@@ -365,6 +365,11 @@ def csr_pointers(spark, sf_dir):
     return windows.pointers(_graphs(spark, sf_dir))
 
 
+@query
+def pointer_integrity(spark, sf_dir):
+    return windows.pointer_integrity(windows.pointers(_graphs(spark, sf_dir)))
+
+
 @query
 def graph_message_mean(spark, sf_dir):
     return windows.message_means(_graphs(spark, sf_dir))

@@ -75,11 +75,15 @@ def conserved(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.withColumn("conserved", F.col("n_source") == F.col("n_target"))
 
 
-def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream of files, with the identity columns of a flow table."""
+def stream_flows(spark: SparkSession, sf_dir: str, files: int = 4, size: int | None = None) -> DataFrame:
+    """The event table as a stream of files, with the identity columns of a flow table.
+
+    A batch holds ``files`` files at most, or if ``size`` is given files of about so many bytes.
+    """
     table = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(table).schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(os.path.join(sf_dir, "events.parquet*"))
+    bound = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", files)
+    e = spark.readStream.schema(schema).option(*bound).option("pathGlobFilter", "*.parquet").parquet(os.path.join(sf_dir, "events.parquet*"))
     return e.select(F.concat(F.lit("day="), F.date_format("ts", "yyyy-MM-dd")).alias("file_id"), F.col("event_id").alias("row_id"), F.col("event_type").alias("label"), "value", "user_id")
 
 

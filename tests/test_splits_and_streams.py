@@ -112,7 +112,7 @@ def test_streaming_equals_batch_and_goes_on(spark):
     sf = "/root/testdata/sf0.001"
     folder = new_folder(spark, "test-stream")
     for _ in range(2):  # the second run finds nothing new
-        ingest(stream_flows(spark, sf), f"{folder}/rows", f"{folder}/progress", 42, 0.7)
+        ingest(stream_flows(spark, sf, size=1 << 20), f"{folder}/rows", f"{folder}/progress", 42, 0.7)
     rows = spark.read.parquet(f"{folder}/rows")
     assert conserved(spark.read.parquet(f"{sf}/events.parquet"), rows).first()["conserved"]
     assert rows.select("sample_id").distinct().count() == rows.count()

@@ -23,6 +23,18 @@ def test_three_windows_twelve_edges(spark):
     assert stops == [4, 8, 12]
 
 
+def test_broken_graphs_and_pointers_are_counted(spark):
+    graphs = W.with_graph(made(spark, range(8), 4, 2))
+    assert W.integrity(graphs, 4).first()[:] == (3, 0, 0, 0)
+    outside = graphs.withColumn("edges", F.transform("edges", lambda e: F.struct(e["time"], F.lit(99).alias("src"), e["dst"].alias("dst"))))
+    assert W.integrity(outside, 4).first()[:] == (3, 0, 3, 0) and W.integrity(graphs, 5).first()[:] == (3, 0, 0, 3)
+    torn = graphs.withColumn("steps", F.reverse("steps"))
+    assert W.integrity(torn, 4).first()["n_broken"] == 3
+    placed = W.pointers(graphs, 4)
+    assert W.pointer_integrity(placed).first()[-2:] == (0, 0)
+    assert W.pointer_integrity(placed.where("edge_start <> 4")).first()[-2:] == (1, 1)
+
+
 def test_windows_do_not_bridge_gaps(spark):
     got = made(spark, [0, 1, 2, 4, 5, 6], 3, 1).orderBy("first_row").collect()
     assert [[s["row_id"] for s in r["steps"]] for r in got] == [[0, 1, 2], [4, 5, 6]]
