@@ -18,7 +18,8 @@ from flowframe.sources.staging import staged
 
 #: The characters that do not count when texts are compared.
 IGNORED = r"[\x20\x09-\x0D]+"
-BUCKETS = 64
+#: Buckets of an index at least, and digests that one should hold at most (about 128 MB).
+BUCKETS, BUCKET_DIGESTS = 16, 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -28,12 +29,12 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts accepted so far, with the document that stands for each.
 
-    ``table`` is a catalogue table name; it is made here unless it exists. Buckets are fixed then: choose about one
-    for each 128 MB of digests expected. Without a name the index has a table of its own, which ``drop`` removes.
+    ``table`` is a catalogue table name; it is made here unless it exists. Buckets are fixed then, by the number of
+    digests ``expected``. Without a name the index has a table of its own, which ``drop`` removes.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, table: str | None = None, expected: int = 0, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or max(BUCKETS, -(-expected // BUCKET_DIGESTS))
         self.table = table or f"flowframe_digests_{uuid.uuid4().hex}"
         self.spare = f"{self.table}_compacted"
 

@@ -46,8 +46,9 @@ def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with DigestIndex(spark) as index:
-        return index.add(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
+    with DigestIndex(spark, expected=docs.count()) as index:
+        return index.add(docs)
 
 
 OP5_SQL = r"""
