@@ -53,18 +53,22 @@ def with_graph(made: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     The steps need src, dst and label. Indices count from 0; loops and repeated edges stay.
     """
     hashed = made.withColumn("ends", F.transform("steps", lambda s: F.struct(endpoint_hash(stripped(s["src"]), namespace).alias("s"), endpoint_hash(stripped(s["dst"]), namespace).alias("d"))))
-    nodes = F.array_sort(F.array_distinct(F.concat(F.transform("ends", lambda e: e["s"]), F.transform("ends", lambda e: e["d"]))))
+    nodes = F.sort_array(F.array_distinct(F.concat(F.transform("ends", lambda e: e["s"]), F.transform("ends", lambda e: e["d"]))))
     hashed = hashed.withColumn("nodes", nodes)
     edge = F.transform("ends", lambda e, t: F.struct(t.alias("time"), (F.array_position(F.col("nodes"), e["s"]) - 1).alias("src"), (F.array_position(F.col("nodes"), e["d"]) - 1).alias("dst")))
     return hashed.withColumns({"edges": edge, "target": F.element_at("steps", -1)["label"]}).drop("ends")
 
 
+# Every window has nodes and edges, so the outer forms give the same rows; the others would add a filter on the arrays' sizes,
+# for which the optimizer makes the arrays a second time, the nodes once for each edge.
+
+
 def node_rows(graphs: DataFrame) -> DataFrame:
-    return graphs.select("group_id", "first_row", F.posexplode("nodes").alias("node", "node_hash"))
+    return graphs.select("group_id", "first_row", F.posexplode_outer("nodes").alias("node", "node_hash"))
 
 
 def edge_rows(graphs: DataFrame) -> DataFrame:
-    return graphs.select("group_id", "first_row", F.explode("edges").alias("e")).select("group_id", "first_row", "e.time", "e.src", "e.dst")
+    return graphs.select("group_id", "first_row", F.inline_outer("edges"))
 
 
 def pointers(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -104,7 +108,7 @@ def integrity(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def message_means(graphs: DataFrame, value: str = "value") -> DataFrame:
     """For each window and node the mean of ``value`` over the edges that come in and over those that go out (0 without any)."""
-    edges = graphs.select("group_id", "first_row", F.posexplode(F.arrays_zip("edges", "steps")).alias("t", "x"))
+    edges = graphs.select("group_id", "first_row", F.posexplode_outer(F.arrays_zip("edges", "steps")).alias("t", "x"))
     edges = edges.select("group_id", "first_row", F.col("x.edges.src").alias("src"), F.col("x.edges.dst").alias("dst"), F.col(f"x.steps.{value}").alias("value"))
     ends = edges.select("group_id", "first_row", "value", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(False).alias("into")), F.struct(F.col("dst").alias("node"), F.lit(True).alias("into")))).alias("end"))
     total = lambda into: F.sum(F.when(F.col("end.into") == into, F.col("value").cast("decimal(18,2)")))
