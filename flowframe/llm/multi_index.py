@@ -178,8 +178,8 @@ class MultiIndex:
                 yield rows.assign(cell=cells.of(_unit(_matrix(rows["v"]))).astype(np.int32) if len(rows) else pd.Series([], dtype=np.int32))
 
         self.index = staged(entries.mapInPandas(place, entries.schema.simpleString()[7:-1] + ",cell:int"), "index")
-        for row in self.index.groupBy("cell").count().collect():  # MOST_CENTROIDS squared rows at most
-            cells.counts[row["cell"]] = row["count"]
+        held = self.index.groupBy("cell").count().toArrow()  # MOST_CENTROIDS squared rows at most
+        cells.counts[held["cell"].to_numpy()] = held["count"].to_numpy()
         self.cells = cells
 
     def calibrate(self, queries: DataFrame, recall: float = RECALL, most: int = CALIBRATION) -> int:

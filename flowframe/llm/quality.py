@@ -122,12 +122,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str
 
     kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]
     table = staged(append_columns(rows, "text", kinds, make).drop("text"), "ngrams", TEXT_ROWS)
-    sizes = table.select("hash", "labelled", F.size("buckets").alias("n")).toPandas().sort_values(["hash", "labelled"], kind="stable")
-    enough = sizes[(sizes["n"].cumsum() <= sample_ngrams) | (np.arange(len(sizes)) == 0)]
-    if len(enough) < len(sizes):
-        table = table.where(F.col("hash") <= int(enough["hash"].iloc[-1]))
-    table = table.toPandas().sort_values(["hash", "labelled"], kind="stable")
-    return follow_leader(list(zip(table.buckets, table.shares, table.label, strict=True)))
+    order = [("hash", "ascending"), ("labelled", "ascending")]
+    sizes = table.select("hash", "labelled", F.size("buckets").alias("n")).toArrow().sort_by(order)
+    enough = np.flatnonzero(np.cumsum(sizes["n"].to_numpy()) <= sample_ngrams)
+    if max(1, len(enough)) < len(sizes):
+        table = table.where(F.col("hash") <= sizes["hash"][max(0, len(enough) - 1)].as_py())  # one row at least
+    found = table.select("hash", "labelled", "label", "buckets", "shares").toArrow().sort_by(order)
+    lists = [found[c].combine_chunks() for c in ("buckets", "shares")]
+    if not len(found):
+        return follow_leader([])
+    ends = lists[0].offsets.to_numpy().tolist()
+    buckets, shares = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+    return follow_leader([(buckets[i:j], shares[i:j], y) for i, j, y in zip(ends, ends[1:], found["label"].to_pylist(), strict=False)])
 
 
 def add_score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
