@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import TEXT_ROWS, append_columns, documents
+from flowframe.llm.common import LONG_CHARS, TEXT_ROWS, append_columns, documents
 from flowframe.sources.staging import staged
 
 SEQUENCE_TOKENS, END_ID = 4096, 1
@@ -35,6 +35,7 @@ CACHE_WORDS = 250_000
 
 #: White space for str.split that is none for the tokenizer: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile(r"\s")
 #: ASCII punctuation that starts no contraction and no added token.
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Letters that normalisation only lowers.
@@ -130,7 +131,22 @@ class WordwiseEncoder:
         young.update([(word, young[low] + young[rest]) for word, low, rest in split])
         return young
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _long(self, text: str) -> bytes:
+        """The ids of a very long text, from slices that begin at white space."""
+        out, start = [], 0
+        while start < len(text):
+            space = _SPACE.search(text, min(len(text), start + LONG_CHARS))
+            end = space.start() if space else len(text)
+            out += self.encode([text[start:end]], LONG_CHARS + len(text))
+            start = end
+        return b"".join(out)
+
+    def encode(self, texts: list[str], most: int = LONG_CHARS) -> list[bytes]:
+        """The packed ids of whole texts; those of more than ``most`` characters are sliced where words are separable."""
+        long = {i: self._long(t) for i, t in enumerate(texts) if len(t) > most and self.separable and not _ODD_SPACE.search(t)}
+        if long:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in long], max(map(len, texts))))
+            return [long[i] if i in long else next(rest) for i in range(len(texts))]
         odd = [i for i, t in enumerate(texts) if not self.separable or _ODD_SPACE.search(t)]
         out = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
         split = {i: self._read(t).split() for i, t in enumerate(texts) if i not in out}

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from flowframe.llm.common import append_columns, documents
+from flowframe.llm.common import LONG_CHARS, append_columns, documents, matches
 from flowframe.llm.words import Kept, WordIds
 
 
@@ -67,8 +67,9 @@ class ByteCoder:
     """Encodes and decodes with a byte-level vocabulary; keeps the words it meets."""
 
     def __init__(self, tokenizer, pattern: str):
-        found = regex.compile(pattern)
-        self.words = (lambda text: [m[0] for m in found.finditer(text)]) if found.groups else found.findall
+        self.pattern = regex.compile(pattern)
+        if self.pattern.groups:
+            raise ValueError("the pattern may only have groups that do not capture")
         self.kept = Kept(WordIds(tokenizer.model))
         back = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = tokenizer.get_vocab()
@@ -81,9 +82,14 @@ class ByteCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids (little-endian unsigned 32-bit) of whole texts."""
-        split = [self.words(t) for t in texts]
+        short = [t if len(t) <= LONG_CHARS else "" for t in texts]
+        split = [self.pattern.findall(t) for t in short]
         table = self.kept.of(set().union(*split))
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        out = [b"".join(map(table.__getitem__, words)) for words in split]
+        for i, text in enumerate(texts):
+            if len(text) > LONG_CHARS:
+                out[i] = b"".join([b"".join(map(self.kept.of(words).__getitem__, words)) for words in matches(self.pattern, text)])
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of the ids. Unknown ids raise IndexError."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ BATCH_BYTES = 4 << 20
 TEXT_ROWS = 1200
 #: Entries that a worker's cache of words holds at most; beyond it words are computed again.
 CACHE_WORDS = 200_000
+#: Characters beyond which a text's words are not held at once, and words then held.
+LONG_CHARS, PIECE = 4 << 20, 200_000
 
 #: What tells rows apart where ids may be null or repeat.
 ROW = ["file", "row"]
@@ -111,6 +114,16 @@ def map_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[p
     return df.mapInArrow(run, schema)
 
 
+def matches(pattern, text: str) -> Iterator[list[str]]:
+    """All matches of a pattern without groups, in one list, or in lists of PIECE where the text is very long."""
+    if len(text) <= LONG_CHARS:
+        yield pattern.findall(text)
+        return
+    found = (m[0] for m in pattern.finditer(text))
+    while some := list(islice(found, PIECE)):
+        yield some
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen first."""
 

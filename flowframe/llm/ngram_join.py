@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, mixed, run_hashes, with_rows
+from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, matches, mixed, run_hashes, with_rows
 from flowframe.llm.components import components
 from flowframe.sources.staging import staged
 
@@ -55,10 +55,8 @@ def ngrams(text: str, n: int, hashes: WordHashes) -> np.ndarray:
 
     Words are runs of letters, digits and underscores, without regard to case.
     """
-    words = _WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(hashes.of(words), min(n, len(words))))
+    words = np.concatenate([hashes.of(some) for some in matches(_WORD, text.lower())] or [np.zeros(0, np.uint64)])
+    return np.unique(run_hashes(words, min(n, len(words)))) if len(words) else words
 
 
 class Signer:

@@ -115,7 +115,8 @@ def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np
     return place[first], through, what[first], content[first], check[first]
 
 
-def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
+def _parsed(base: DataFrame, length: int, trigger: int) -> DataFrame:
+    """The parse: a row for each phrase of each text, in the text's order."""
     schema = "file long, row long, place long, through long, trigger long, content long, check long"
 
     def run(batches):
@@ -131,9 +132,9 @@ def _phrases(base: DataFrame, length: int, trigger: int) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def _texts_of(base: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """``kinds`` with ``bytes``: the phrase's strings together."""
-    wanted = kinds.groupBy(*ROW).agg(F.collect_list(F.struct("place", "trigger", "copies")).alias("wanted"))
+def _texts_of(base: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
+    """The dictionary's phrases with ``bytes``: all that their strings cover."""
+    wanted = dictionary.groupBy(*ROW).agg(F.collect_list(F.struct("place", "trigger", "copies")).alias("wanted"))
     schema = "file long, row long, place long, trigger long, copies long, bytes binary"
 
     def run(batches):
@@ -148,8 +149,8 @@ def _texts_of(base: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                         start, more = x["place"] >> 16, x["place"] >> 8 & 255
                         out.append((file, row, x["place"], x["trigger"], x["copies"], data[start : start + more + length]))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
-                kinds_ = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], [*ROW, "place", "trigger", "copies", "bytes"])
+                types = [pa.int64()] * 5 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], [*ROW, "place", "trigger", "copies", "bytes"])
 
     return base.join(wanted, ROW).mapInArrow(run, schema)
 
@@ -226,26 +227,27 @@ def _counted(phrases: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(base: DataFrame, length: int, trigger: int) -> DataFrame:
     """``file, row, low, high``: byte ranges of the texts of ``base`` (file, row, doc_id, text) whose strings occur elsewhere."""
-    phrases = _phrases(base, length, trigger)
+    parsed = _parsed(base, length, trigger)
     last = F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255)
     copies = F.sum(F.when(F.col("through") > last, 2).otherwise(1))  # one, or more than one
-    counts = phrases.groupBy("trigger").agg(copies.alias("n"), *[f(c).alias(f"{n}_{c}") for c in CONTENT for n, f in (("least", F.min), ("most", F.max))])
+    counts = parsed.groupBy("trigger").agg(copies.alias("n"), *[f(c).alias(f"{n}_{c}") for c in CONTENT for n, f in (("least", F.min), ("most", F.max))])
+    alike = ((F.col("least_content") == F.col("most_content")) & (F.col("least_check") == F.col("most_check"))).alias("alike")
     # Staged, so that the join's inputs are plain exchanges and a hot trigger's phrases can be split over tasks.
-    known = staged(counts.where("n > 1").select("trigger", ((F.col("least_content") == F.col("most_content")) & (F.col("least_check") == F.col("most_check"))).alias("alike")), "triggers", TEXT_ROWS)
-    shared = staged(phrases.join(known, "trigger"), "shared", TEXT_ROWS)
-    mixed_ = shared.where("not alike")
-    kinds = mixed_.groupBy("trigger", *CONTENT).agg(copies.alias("copies"), F.min(F.struct(*ROW, "place")).alias("one"))
-    kinds = staged(kinds.select("trigger", *CONTENT, "copies", "one.*"), "kinds")
-    often = kinds.where("copies > 1").select("trigger", *CONTENT)
-    full = shared.where("alike").select(*ROW, "place", "through").unionByName(mixed_.join(often, ["trigger", *CONTENT]).select(*ROW, "place", "through"))
+    known = staged(counts.where("n > 1").select("trigger", alike), "triggers", TEXT_ROWS)
+    shared = staged(parsed.join(known, "trigger"), "shared", TEXT_ROWS)
+    differing = shared.where("not alike")
+    dictionary = differing.groupBy("trigger", *CONTENT).agg(copies.alias("copies"), F.min(F.struct(*ROW, "place")).alias("one"))
+    dictionary = staged(dictionary.select("trigger", *CONTENT, "copies", "one.*"), "dictionary")
+    often = dictionary.where("copies > 1").select("trigger", *CONTENT)
+    full = shared.where("alike").select(*ROW, "place", "through").unionByName(differing.join(often, ["trigger", *CONTENT]).select(*ROW, "place", "through"))
     spans = full.select(*ROW, F.shiftright("place", 16).alias("low"), (F.col("through") + length).alias("high"))
-    hot = kinds.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PHRASES).select("trigger")
-    number, hot_number = kinds.count(), hot.count()
+    hot = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PHRASES).select("trigger")
+    number, hot_number = dictionary.count(), hot.count()
     if number:
-        cool = kinds.join(hot, "trigger", "left_anti") if hot_number else kinds
+        cool = dictionary.join(hot, "trigger", "left_anti") if hot_number else dictionary
         spans = spans.unionByName(_compared(_texts_of(base, cool, length), -(-number // BIN_PHRASES), length))
     if hot_number:
-        spans = spans.unionByName(_counted(_texts_of(base, kinds.join(hot, "trigger", "left_semi"), length), length))
+        spans = spans.unionByName(_counted(_texts_of(base, dictionary.join(hot, "trigger", "left_semi"), length), length))
     return spans
 
 

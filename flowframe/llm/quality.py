@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, run_hashes
+from flowframe.llm.common import TEXT_ROWS, WordHashes, append_columns, documents, fresh_name, matches, run_hashes
 from flowframe.sources.staging import staged
 
 #: Hash buckets of n-grams; weights are doubles, so a model takes 8 x BUCKETS bytes wherever it is sent.
@@ -31,12 +31,14 @@ def features(text: str, hashes: WordHashes) -> np.ndarray:
 
     Shapes are the pseudo-words ``=`` for a word like the one before it, and ``^`` for a word in capitals.
     """
-    words = _TOKEN.findall(text)
-    if not words:
+    found, capital = [], 0
+    for words in matches(_TOKEN, text):
+        found.append(hashes.of([w.lower() for w in words]))
+        capital += sum(1 for w in words if len(w) > 1 and w.isupper())
+    one = np.concatenate(found or [np.zeros(0, np.uint64)])
+    if not len(one):
         return np.zeros(0, np.int64)
-    one = hashes.of([w.lower() for w in words])
     again = np.flatnonzero(one[1:] == one[:-1])
-    capital = sum(1 for w in words if len(w) > 1 and w.isupper())
     shapes = [hashes["="]] * len(again) + [hashes["^"]] * capital
     parts = [one, np.array(shapes, np.uint64)]
     if len(one) > 1:

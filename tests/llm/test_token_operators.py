@@ -114,6 +114,20 @@ def test_added_tokens_in_other_cases_are_plain_words():
     assert encoder.separable and encoder.encode(texts) == encoder.whole(texts)
 
 
+def test_very_long_texts_are_read_piece_by_piece(monkeypatch, bpe):
+    from flowframe.llm import byte_bpe, common, ngram_join, quality
+
+    texts = ["".join(strings(40, 120, seed)) + " word again" * 5 for seed in range(8)] + ["", "short"]
+    coder, encoder, hashes = bpe.coder(), B.WordwiseEncoder(open(P.path("word_bpe_49k.json")).read()), common.WordHashes()
+    whole = coder.encode(texts), encoder.whole(texts), [(ngram_join.ngrams(t, 5, hashes).tolist(), quality.features(t, hashes).tolist()) for t in texts]
+    for module in (common, byte_bpe):
+        monkeypatch.setattr(module, "LONG_CHARS", 100)
+    monkeypatch.setattr(common, "PIECE", 7)
+    monkeypatch.setattr(B, "LONG_CHARS", 100)
+    assert (coder.encode(texts), encoder.encode(texts, 100), [(ngram_join.ngrams(t, 5, hashes).tolist(), quality.features(t, hashes).tolist()) for t in texts]) == whole
+    assert encoder.encode([t.replace("\x1c", " ") for t in texts], 100) == encoder.whole([t.replace("\x1c", " ") for t in texts])
+
+
 def fewest(sizes, capacity):
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
 
