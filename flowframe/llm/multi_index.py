@@ -121,15 +121,14 @@ def _found(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     unit, directions = _unit(vectors), _unit(asked)
     first = np.array([x[0]["vec_id"] for x in rows["ids"]], np.int64)
     cell = rows["cell"].to_numpy()
-    order = np.argsort(cell, kind="stable")
-    cells, begins = np.unique(cell[order], return_index=True)
-    ends = np.append(begins[1:], len(order))
+    cells, which = np.unique(cell, return_inverse=True)
     places, scores = [], []
     for i, q in enumerate(asked):
-        at = order
+        at = np.arange(len(cell))
         if "visited" in queries:
-            own = np.searchsorted(cells, queries["visited"].iloc[i])
-            at = order[np.concatenate([np.arange(a, b) for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)])]
+            visited = np.zeros(len(cells), bool)
+            visited[np.searchsorted(cells, queries["visited"].iloc[i])] = True
+            at = np.flatnonzero(visited[which])
         near = unit[at] @ directions[i]
         if len(at) > k:
             near_enough = near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-12
