@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowframe.functions.hashing import seeded_hash
-from flowframe.operators.metrics import exact_percentile
+from flowframe.operators.quantiles import exact_quantiles
+from flowframe.sources.staging import staged
 
 #: Trees, rows of a tree, share of outliers, and Euler's constant in the expected depth.
 TREES, TREE_ROWS, CONTAMINATION = 100, 256, 0.01
@@ -61,8 +62,8 @@ class IsolationForest:
         limit = int(np.ceil(np.log2(max(2, n))))
         grown = tuple(grow(x[rng.choice(len(x), n, replace=False)], rng, limit) for _ in range(trees)) if n else ()
         forest = cls(tuple(columns), grown, expected_depth(n) or 1.0, 2.0)
-        scores = forest.score(train).select(F.lit(0).alias("all"), "score")
-        at = exact_percentile(scores, ["all"], "score", 1.0 - contamination).first()["percentile"] if n else 2.0
+        scores = staged(forest.score(train).select("score"), "scores") if n else None
+        at = exact_quantiles(scores, ["score"], 1.0 - contamination).first()["quantile"] if n else 2.0
         return cls(forest.columns, grown, forest.expected, float(at))
 
     def score(self, rows: DataFrame, name: str = "score", flag: str = "outlier") -> DataFrame:

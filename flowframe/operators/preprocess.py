@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from flowframe.functions.cleaning import min_max, number
 from flowframe.operators.groups import rows_of_groups
-from flowframe.operators.metrics import exact_percentile
 from flowframe.operators.outlier import IsolationForest
+from flowframe.operators.quantiles import exact_quantiles
 from flowframe.operators.sampling import reservoir
 
 
@@ -57,10 +57,8 @@ def choose_features(train: DataFrame, columns: list[str], row_key: list[str]) ->
 
 def medians(train: DataFrame, columns: list[str]) -> DataFrame:
     """``column_name, median``: exact, between the middle values where two are; null without values."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
-    found = exact_percentile(train.select(each).select("x.*"), ["column_name"], "v", 0.5)
-    names = train.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
-    return names.join(found, "column_name", "left").withColumnRenamed("percentile", "median")
+    doubles = train.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return exact_quantiles(doubles, columns, 0.5).withColumnRenamed("quantile", "median")
 
 
 @dataclass(frozen=True)

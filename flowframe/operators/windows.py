@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowframe.functions.cleaning import stripped, valid_endpoint
 from flowframe.functions.hashing import endpoint_hash
+from flowframe.operators.intervals import interval_join
 from flowframe.operators.order import running_totals
 from flowframe.sources.flows import require
 
@@ -82,6 +83,19 @@ def pointers(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
     return placed.select("group_id", "first_row", (stop - F.col("n")).alias("node_start"), stop.alias("node_stop"), ((nth - 1) * length).alias("edge_start"), (nth * length).alias("edge_stop"))
 
 
+def flat_edges(graphs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``place, src, dst``: the edges of all windows in one list, their ends numbered in one list of all nodes."""
+    edges = edge_rows(graphs).join(placed, ["group_id", "first_row"])
+    return edges.select((F.col("edge_start") + F.col("time")).alias("place"), (F.col("node_start") + F.col("src")).alias("src"), (F.col("node_start") + F.col("dst")).alias("dst"))
+
+
+def edges_of_windows(flat: DataFrame, placed: DataFrame) -> DataFrame:
+    """``group_id, first_row, time, src, dst`` again, from a flat list and the pointers of the windows wanted."""
+    found = interval_join(flat, placed, [], "place", "edge_start", "edge_stop")
+    local = lambda c: (F.col(c) - F.col("node_start")).alias(c)
+    return found.select("group_id", "first_row", (F.col("place") - F.col("edge_start")).cast("int").alias("time"), local("src"), local("dst"))
+
+
 def pointer_integrity(placed: DataFrame) -> DataFrame:
     """``n_windows, n_nodes, n_edges, n_node_gaps, n_edge_gaps``: gaps are starts other than 0 at which no window stops.
 

@@ -35,6 +35,21 @@ manifest AS (SELECT file_id, row_group, "offset", n_rows, group_id, {_split('u',
 _BURST = _SPLIT + """, burst AS (SELECT * REPLACE (CASE WHEN value > 400 THEN 'burst' ELSE label END AS label) FROM split_rows)"""
 _FINE = _SPLIT + """, fine AS (SELECT * REPLACE (label || CASE WHEN value > 330 THEN '/' || trunc(value / 10)::BIGINT ELSE '' END AS label) FROM split_rows)"""
 
+#: The row groups that the tables' writer makes: of 1048576 rows, the last one of the rest.
+_FOOTERS = """footers AS (
+  SELECT file_id, g AS row_group, g * 1048576 AS start, least(1048576, total - g * 1048576) AS n_rows
+  FROM (SELECT 'events.parquet' AS file_id, count(*) AS total FROM events UNION ALL SELECT 'orders.parquet', count(*) FROM orders UNION ALL SELECT 'lineitem.parquet', count(*) FROM lineitem),
+       LATERAL (SELECT unnest(range(0, (total - 1) // 1048576 + 1)) AS g)
+)"""
+
+_FOOTER_MANIFEST = _FOOTERS + f""", footer_cut AS (
+  SELECT file_id, row_group, o AS "offset", least(64, n_rows - o)::BIGINT AS n_rows FROM footers, LATERAL (SELECT unnest(range(0, n_rows, 64)) AS o) WHERE file_id = 'events.parquet'
+), footer_named AS (
+  SELECT *, file_id || '::rg=' || row_group || '::offset=' || "offset" || '::rows=' || n_rows AS group_id FROM footer_cut
+), footer_u AS (SELECT *, {_u('group_id')} AS u FROM footer_named),
+footer_groups AS (SELECT file_id, row_group, "offset", n_rows, group_id, {_split('u', 0.7)} AS split FROM footer_u),
+placed AS (SELECT *, row_number() OVER () - 1 AS row_id FROM events)"""
+
 _LINES = """dirty AS (
   SELECT l_orderkey, l_quantity, CASE WHEN l_discount = 0 THEN NULL ELSE l_discount END AS discount,
          CASE WHEN l_tax = 0 THEN 'inf'::DOUBLE WHEN l_tax = 0.01 THEN 'nan'::DOUBLE ELSE l_tax END AS tax, l_extendedprice
@@ -156,6 +171,21 @@ ORACLES: dict[str, str] = {
         SELECT m.group_id, m.split, count(*) AS n_read, min(p.row_id) AS first_row, max(m.n_rows) AS n_rows
         FROM placed p JOIN manifest m ON p.file_id = m.file_id AND p.place >= m.row_group * 128 + m."offset" AND p.place < m.row_group * 128 + m."offset" + m.n_rows GROUP BY 1, 2""",
     "manifest_summary": f"WITH {_MANIFEST} SELECT split, count(*) AS n_groups, sum(n_rows)::BIGINT AS n_rows, count(DISTINCT file_id) AS n_files, count(DISTINCT group_id) AS n_ids FROM manifest GROUP BY 1",
+    "footer_row_groups": f"WITH {_FOOTERS} SELECT * FROM footers",
+    "footer_manifest": f"WITH {_FOOTER_MANIFEST} SELECT * FROM footer_groups",
+    "footer_group_rows": f"""WITH {_FOOTER_MANIFEST} SELECT group_id, count(*) AS n_rows, min(row_id) AS first_row, sum(value::DECIMAL(18, 2))::DOUBLE AS total
+        FROM placed JOIN footer_groups ON row_group = row_id // 1048576 AND "offset" = row_id % 1048576 // 64 * 64 WHERE split = 'test' GROUP BY 1""",
+    "footer_slices": f"""WITH {_FOOTER_MANIFEST}, files AS (SELECT count(*) AS total, least(count(*), 4) AS k FROM footers WHERE file_id = 'events.parquet'),
+        picks AS (SELECT DISTINCT round_even(i * (CASE WHEN k > 1 THEN (total - 1) / (k - 1) ELSE 0 END), 0)::BIGINT AS row_group, k FROM files, LATERAL (SELECT unnest(range(0, k)) AS i)),
+        spread AS (SELECT row_group, 640 // k + CASE WHEN row_number() OVER (ORDER BY row_group) - 1 < 640 % k THEN 1 ELSE 0 END AS quota FROM picks),
+        sized AS (SELECT f.row_group, start, n_rows, least(quota, n_rows) AS take FROM spread JOIN footers f USING (row_group) WHERE file_id = 'events.parquet'),
+        drawn AS (SELECT *, (('0x' || substr(sha256('42:events.parquet:' || row_group), 1, 16))::UBIGINT % (n_rows - take + 1)::UBIGINT)::BIGINT AS d FROM sized),
+        slices AS (SELECT *, least(d // 16 * 16, n_rows - take) AS first FROM drawn)
+        SELECT row_group, row_id, event_id, event_type FROM placed JOIN slices ON row_id >= start + first AND row_id < start + first + take""",
+    "row_group_range": "SELECT user_id, count(*) AS n, max(value) AS most, max(r) AS last_row FROM (SELECT *, row_number() OVER () - 1 AS r FROM events) WHERE value BETWEEN 200 AND 300 GROUP BY 1",
+    "interval_rows": f"""WITH {_FLOWS}, stretches AS (SELECT file_id, row_id AS first_row, row_id + 1 + floor(value / 5)::BIGINT AS stop_row FROM flows WHERE NOT inlier)
+        SELECT s.file_id, first_row, stop_row, count(*) AS n_rows, sum(value::DECIMAL(18, 2))::DOUBLE AS total
+        FROM stretches s JOIN flows f ON f.file_id = s.file_id AND f.row_id >= first_row AND f.row_id < stop_row GROUP BY 1, 2, 3""",
     "row_group_indices": f"""WITH {_FLOWS}, totals AS (SELECT file_id, (count(*) - 1) // 16 + 1 AS total FROM flows GROUP BY 1)
         SELECT DISTINCT file_id, round_even(i * CASE WHEN least(8, total) > 1 THEN (total - 1) / (least(8, total) - 1) ELSE 0 END, 0)::BIGINT AS row_group
         FROM totals, LATERAL (SELECT unnest(range(least(8, total))) AS i)""",
@@ -239,6 +269,7 @@ ORACLES: dict[str, str] = {
     "window_graph_edges": f"WITH {_WINDOWS} SELECT group_id, first_row, (i - 1)::INTEGER AS time, list_position(nodes, hs[i])::BIGINT - 1 AS src, list_position(nodes, hd[i])::BIGINT - 1 AS dst FROM graphs, LATERAL (SELECT unnest(range(1, 17)) AS i)",
     "csr_pointers": f"""WITH {_WINDOWS}, summed AS (SELECT group_id, first_row, len(nodes) AS n, sum(len(nodes)) OVER o AS upto, row_number() OVER o AS nth FROM graphs WINDOW o AS (ORDER BY group_id, first_row ROWS UNBOUNDED PRECEDING))
         SELECT group_id, first_row, (upto - n)::BIGINT AS node_start, upto::BIGINT AS node_stop, ((nth - 1) * 16)::BIGINT AS edge_start, (nth * 16)::BIGINT AS edge_stop FROM summed""",
+    "edges_by_pointer": f"WITH {_WINDOWS} SELECT group_id, first_row, (i - 1)::INTEGER AS time, list_position(nodes, hs[i])::BIGINT - 1 AS src, list_position(nodes, hd[i])::BIGINT - 1 AS dst FROM graphs, LATERAL (SELECT unnest(range(1, 17)) AS i)",
     "pointer_integrity": f"WITH {_WINDOWS} SELECT count(*) AS n_windows, coalesce(sum(len(nodes)), 0)::BIGINT AS n_nodes, (count(*) * 16)::BIGINT AS n_edges, 0::BIGINT AS n_node_gaps, 0::BIGINT AS n_edge_gaps FROM graphs",
     "graph_message_mean": f"""WITH {_WINDOWS}, edges AS (SELECT group_id, first_row, list_position(nodes, hs[i]) - 1 AS src, list_position(nodes, hd[i]) - 1 AS dst, vals[i]::DECIMAL(18, 2) AS v FROM graphs, LATERAL (SELECT unnest(range(1, 17)) AS i)),
         ends AS (SELECT group_id, first_row, src AS node, v, false AS inward FROM edges UNION ALL SELECT group_id, first_row, dst, v, true FROM edges)

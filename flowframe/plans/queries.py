@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from flowframe.functions import cleaning, decisions, hashing, scores
 from flowframe.operators import audit, groups, metrics, preprocess, profile, sampling, splits, windows
 from flowframe.operators.outlier import IsolationForest
+from flowframe.operators.intervals import interval_join
 from flowframe.sources.flows import event_flows
+from flowframe.sources.loaders import load_slices, read_groups
+from flowframe.sources.row_groups import file_row_groups, read_row_groups
+from flowframe.sources.staging import staged
 from flowframe.streaming.ingest import stream_split_counts as run_stream
 
 SEED, OUTER = 42, 0.7
@@ -87,6 +91,55 @@ def manifest_summary(spark, sf_dir):
     return groups.manifest_summary(_manifest(spark, sf_dir))
 
 
+# Footers and row groups of the event table's own file
+
+
+def _footer_manifest(spark, sf_dir):
+    return groups.group_manifest(file_row_groups(spark, f"{sf_dir}/events.parquet"), 64, OUTER, SEED)
+
+
+@query
+def footer_row_groups(spark, sf_dir):
+    """The row groups of three tables, without reading rows."""
+    found = [file_row_groups(spark, f"{sf_dir}/{t}.parquet").drop("path") for t in ("events", "orders", "lineitem")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def footer_manifest(spark, sf_dir):
+    return _footer_manifest(spark, sf_dir)
+
+
+@query
+def footer_group_rows(spark, sf_dir):
+    """What the test groups hold, from their row groups alone."""
+    rows = read_groups(spark, f"{sf_dir}/events.parquet", _footer_manifest(spark, sf_dir).where("split = 'test'"))
+    return rows.groupBy("group_id").agg(F.count("*").alias("n_rows"), F.min("row_id").alias("first_row"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query
+def footer_slices(spark, sf_dir):
+    """Contiguous slices of the table's row groups."""
+    rows = load_slices(spark, f"{sf_dir}/events.parquet", 640, SEED, 16)
+    return rows.select("row_group", "row_id", "event_id", "event_type")
+
+
+@query
+def row_group_range(spark, sf_dir):
+    """Two columns of the rows between two values, from the row groups that can hold them."""
+    rows = read_row_groups(spark, f"{sf_dir}/events.parquet", ["user_id", "value"], between={"value": [200.0, 300.0]})
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.max("row_id").alias("last_row"))
+
+
+@query
+def interval_rows(spark, sf_dir):
+    """For each outlying event the rows that follow it, the more the larger its value; stretches overlap."""
+    flows = event_flows(spark, sf_dir)
+    stretches = flows.where("not inlier").select("file_id", F.col("row_id").alias("first_row"), (F.col("row_id") + 1 + F.floor(F.col("value") / 5).cast("long")).alias("stop_row"))
+    held = interval_join(flows.select("file_id", "row_id", "value"), stretches, ["file_id"], "row_id", "first_row", "stop_row")
+    return held.groupBy("file_id", "first_row", "stop_row").agg(F.count("*").alias("n_rows"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 # Samples
 
 
@@ -193,21 +246,26 @@ def _fitted(spark, sf_dir):
     return preprocess.fit(_features(spark, sf_dir), FEATURES, ["file_id", "row_id"], "label", "inlier")
 
 
+def _decisions(spark, sf_dir):
+    train = preprocess.coerced(_features(spark, sf_dir).where("split = 'train'"), FEATURES)
+    return preprocess.choose_features(train, FEATURES, ["file_id", "row_id"])
+
+
 @query
 def feature_decisions(spark, sf_dir):
-    made = _fitted(spark, sf_dir).decisions
+    made = _decisions(spark, sf_dir)
     return spark.createDataFrame(list(made.items()), "column_name string, decision string")
 
 
 @query
 def duplicate_columns(spark, sf_dir):
-    made = [(c, d.removeprefix("duplicate of ")) for c, d in _fitted(spark, sf_dir).decisions.items() if d.startswith("duplicate")]
+    made = [(c, d.removeprefix("duplicate of ")) for c, d in _decisions(spark, sf_dir).items() if d.startswith("duplicate")]
     return spark.createDataFrame(made, "column_name string, same_as string")
 
 
 @query
 def constant_columns(spark, sf_dir):
-    made = [(c,) for c, d in _fitted(spark, sf_dir).decisions.items() if d == "constant"]
+    made = [(c,) for c, d in _decisions(spark, sf_dir).items() if d == "constant"]
     return spark.createDataFrame(made, "column_name string")
 
 
@@ -365,6 +423,14 @@ def csr_pointers(spark, sf_dir):
     return windows.pointers(_graphs(spark, sf_dir))
 
 
+@query
+def edges_by_pointer(spark, sf_dir):
+    """The flat edge list of all windows, cut into windows again by their pointers."""
+    graphs = _graphs(spark, sf_dir)
+    placed = staged(windows.pointers(graphs), "pointers")
+    return windows.edges_of_windows(staged(windows.flat_edges(graphs, placed), "flat"), placed)
+
+
 @query
 def pointer_integrity(spark, sf_dir):
     return windows.pointer_integrity(windows.pointers(_graphs(spark, sf_dir)))

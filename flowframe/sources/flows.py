@@ -76,11 +76,13 @@ def read_flows(spark: SparkSession, path: str, expected_files: int | None = None
         found = out.select("__file_path").distinct().count()
         if found != expected_files:
             raise ContractError(f"expected {expected_files} files, found {found}")
-    derived = {
-        "__source_file_id": F.col("__file_path"), "__source_row_id": F.col("__row_index"),
-        "__capture_day": F.element_at(F.split("__file_path", "/"), -2),
-    }
-    return out.withColumns({c: derived[c] for c in PROVENANCE if c not in out.columns})
+    return with_provenance(out, "__file_path", "__row_index")
+
+
+def with_provenance(rows: DataFrame, file: str, row: str) -> DataFrame:
+    """``rows`` with those provenance columns that they lack, from the columns that hold a row's file and place in it."""
+    derived = {"__source_file_id": F.col(file), "__source_row_id": F.col(row), "__capture_day": F.element_at(F.split(file, "/"), -2)}
+    return rows.withColumns({c: derived[c] for c in PROVENANCE if c not in rows.columns})
 
 
 def validate_manifests(spark: SparkSession, folder: str, expected: Mapping[str, Any], labels: Iterable[str], timestamps: Iterable[str]) -> dict[str, Any]:

@@ -1,66 +1,30 @@
-"""Loaders: row groups as Parquet footers tell them, and contract-checked samples of a folder of files."""
+"""Loaders: contract-checked samples of a folder of files, of which only the row groups asked for are read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.functions.hashing import sample_id
 from flowframe.operators import sampling
-from flowframe.sources.flows import ContractError, read_flows
-
-_FOOTER = "path string, row_group long, n_rows long, columns string"
+from flowframe.sources.flows import ContractError, with_provenance
+from flowframe.sources.row_groups import file_row_groups, read_slices
 
 
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, row_group, n_rows, columns`` of every row group below ``path``: tasks read the footers, no data.
+def placed_rows(spark: SparkSession, path: str, table: DataFrame, rows_read: Accumulator | None = None) -> DataFrame:
+    """The rows of the row groups in ``table`` with provenance, ``file_id``, ``row_id``, ``row_group`` and their ``inside`` place in it.
 
-    Files have to be in a file system that pyarrow opens by URI.
+    ``table`` is that of ``file_row_groups``, or slices of it (``first``, ``take``). Places come with the files.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        for batch in batches:
-            rows = []
-            for name in batch.column(0).to_pylist():
-                system, inner = fs.FileSystem.from_uri(name)
-                with system.open_input_file(inner) as file:
-                    found = pq.ParquetFile(file)
-                    shape = ", ".join(f"{f.name.strip()} {f.type}" for f in found.schema_arrow)
-                    rows += [(name, g, found.metadata.row_group(g).num_rows, shape) for g in range(found.metadata.num_row_groups)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "row_group", "n_rows", "columns"])
-
-    files = spark.read.option("recursiveFileLookup", "true").parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return files.mapInArrow(run, _FOOTER)
-
+    return with_provenance(read_slices(spark, path, table, rows_read=rows_read), "path", "row_id").drop("path")
 
-def file_row_groups(spark: SparkSession, path: str) -> DataFrame:
-    """``file_id, row_group, n_rows`` for a group manifest; files with different columns are an error."""
-    found = footers(spark, path)
-    if found.select("columns").distinct().count() > 1:
-        raise ContractError("files differ in their columns")
-    return found.select(F.col("path").alias("file_id"), "row_group", "n_rows").where("n_rows > 0")
-
-
-def placed_rows(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    """The rows of ``read_flows`` with ``file_id``, their ``row_group`` and their ``inside`` place in it.
-
-    ``table`` is that of ``file_row_groups``. Places come with the files; nothing is sorted.
-    """
-    from pyspark.sql import Window
 
-    before = F.sum("n_rows").over(Window.partitionBy("file_id").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1))
-    starts = table.withColumn("start", F.coalesce(before, F.lit(0))).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("start", "row_group"))).alias("starts"))
-    rows = read_flows(spark, path).withColumns({"file_id": F.col("__file_path"), "row_id": F.col("__row_index")}).drop("__file_path", "__row_index")
-    joined = rows.join(starts, "file_id")
-    own = F.element_at(F.filter("starts", lambda s: s["start"] <= F.col("row_id")), -1)
-    return joined.withColumn("own", own).withColumns({"row_group": F.col("own.row_group"), "inside": F.col("row_id") - F.col("own.start")}).drop("own", "starts")
+def read_groups(spark: SparkSession, path: str, manifest: DataFrame, rows_read: Accumulator | None = None) -> DataFrame:
+    """The rows of the groups in ``manifest`` with ``group_id`` and ``split``; row groups without a group are not opened."""
+    table = file_row_groups(spark, path).select("file_id", "row_group", "start", "path")
+    named = manifest.select("file_id", "row_group", F.col("offset").alias("first"), F.col("n_rows").alias("take"), "group_id", "split")
+    return placed_rows(spark, path, named.join(table, ["file_id", "row_group"]), rows_read)
 
 
 def _whole(rows: DataFrame) -> DataFrame:
@@ -72,17 +36,16 @@ def _whole(rows: DataFrame) -> DataFrame:
     return named
 
 
-def load_sample(spark: SparkSession, path: str, per_file: int, row_groups: int, seed: int) -> DataFrame:
+def load_sample(spark: SparkSession, path: str, per_file: int, row_groups: int, seed: int, rows_read: Accumulator | None = None) -> DataFrame:
     """``per_file`` seeded rows of each file, from row groups spread over it; repeated identities are an error."""
     table = file_row_groups(spark, path)
     chosen = sampling.spread_row_groups(table.groupBy("file_id").agg(F.count("*").alias("total")), row_groups)
-    rows = placed_rows(spark, path, table).join(F.broadcast(chosen), ["file_id", "row_group"])  # few row groups a file
+    rows = placed_rows(spark, path, table.drop("n_rows").join(chosen, ["file_id", "row_group"]), rows_read)
     return _whole(sampling.sample_rows(rows, per_file, seed).drop("inside"))
 
 
-def load_slices(spark: SparkSession, path: str, samples: int, seed: int, min_run: int, most: int = 4) -> DataFrame:
+def load_slices(spark: SparkSession, path: str, samples: int, seed: int, min_run: int, most: int = 4, rows_read: Accumulator | None = None) -> DataFrame:
     """Contiguous slices of each file, in runs of ``min_run`` rows or more; repeated identities are an error."""
     table = file_row_groups(spark, path)
-    plan = sampling.slice_plan(table, samples, seed, min_run, most)
-    rows = placed_rows(spark, path, table).join(F.broadcast(plan), ["file_id", "row_group"])  # ``most`` rows a file
-    return _whole(rows.where("inside >= first and inside < first + take").drop("inside", "first", "take"))
+    plan = sampling.slice_plan(table, samples, seed, min_run, most).join(table.select("file_id", "row_group", "start", "path"), ["file_id", "row_group"])
+    return _whole(placed_rows(spark, path, plan, rows_read).drop("inside"))
