@@ -29,6 +29,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowframe/{uuid.uuid4().hex}/{name}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder in any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Spark's setting for the rows of an Arrow batch; long rows need fewer to keep workers small.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
