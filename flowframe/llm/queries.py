@@ -51,7 +51,7 @@ def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     with DigestIndex(spark, expected=docs.count()) as index:
-        return index.add(docs)
+        return index.add_parts(docs)
 
 
 OP5_SQL = r"""

@@ -56,6 +56,47 @@ def test_a_batch_added_again_gets_the_same_answers(spark, table):
     index.drop(), half.drop()
 
 
+def test_parts_meet_in_the_index(spark, table, monkeypatch):
+    """The anti-join drops the digests of later parts that are no better, and what it appends decides who stays."""
+    draw = random.Random(8)
+    texts = [" " * draw.randrange(4) + draw.choice(["a", "b", "c c", "d", "ee"]) + " " * draw.randrange(3) for _ in range(200)] + [None, "", "single"]
+    df = table([*rows(texts), *[(None, "a", *[None] * 9)] * 3])
+    met = []
+    better = DigestIndex._better
+
+    def counted(self, found):
+        fresh = better(self, found)
+        met.append((found.count(), fresh.count()))
+        return fresh
+
+    monkeypatch.setattr(DigestIndex, "_better", counted)
+    with DigestIndex(spark, buckets=4) as index:
+        got = sorted(index.add_parts(df, parts=4).collect(), key=str)
+        held = index.rows().count()
+        with pytest.raises(ValueError):
+            index.add_parts(df)
+    with DigestIndex(spark, buckets=4) as index:
+        assert got == sorted(index.add(df).collect(), key=str)
+    assert met[0][0] == met[0][1] and sum(a - b for a, b in met) > 5 and held == sum(b for _, b in met)
+    assert sum(r["kept"] for r in got) == len({r["text_sha256"] for r in got}) == 7
+
+
+def test_the_index_lies_in_the_shared_folder(spark, table):
+    from pathlib import Path
+
+    from flowframe.sources.staging import shared_dir
+
+    warehouse = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    before = set(warehouse.rglob("*")) if warehouse.exists() else set()
+    index = DigestIndex(spark)
+    index.add_parts(table(rows(["a", "b", "a "]))).collect()
+    files = [f for f in index.rows().inputFiles()]
+    assert files and all(f.removeprefix("file:").lstrip("/").startswith(shared_dir(spark).removeprefix("file:").lstrip("/")) for f in files)
+    assert (set(warehouse.rglob("*")) if warehouse.exists() else set()) == before
+    index.drop()
+    assert not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
 def test_tables_of_single_runs_are_dropped(spark, table):
     with DigestIndex(spark) as index:
         found = index.add(table(rows(["a", "a"])))
