@@ -37,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = fresh_name(docs, "row")
     rows = with_rows(docs, True, row)
     with DigestIndex(spark, expected=docs.count()) as index:
-        dropped = index.add(rows, carry=row).where("not kept").select(row)
+        dropped = index.add_parts(rows, carry=row).where("not kept").select(row)
     return rows.join(staged(dropped, "dropped"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
