@@ -70,28 +70,30 @@ _FEATURES = _SPLIT + """, clean AS (
   FROM filled, bounds
 )"""
 
-_SEARCH = _FLOWS + """, sizes AS (SELECT group_id, count(*) AS n FROM grouped GROUP BY 1), total AS (SELECT sum(n)::BIGINT AS t FROM sizes),
+def _taken(order: str, target: str) -> str:
+    """Tables that walk through an order of (attempt, k, n) one group at a time, for all attempts at once."""
+    return f"""{order}_walk AS (
+  SELECT attempt, 0::BIGINT AS k, 0::BIGINT AS acc, false AS took FROM attempts
+  UNION ALL
+  SELECT w.attempt, o.k, CASE WHEN t.yes THEN w.acc + o.n ELSE w.acc END, t.yes
+  FROM {order}_walk w JOIN {order}_order o ON o.attempt = w.attempt AND o.k = w.k + 1, total,
+       LATERAL (SELECT w.acc = 0 OR abs(w.acc - {target}) > abs(w.acc + o.n - {target}) AS yes) t
+), {order}_took AS MATERIALIZED (
+  SELECT o.attempt, o.group_id FROM {order}_walk w JOIN {order}_order o USING (attempt, k)
+  WHERE took AND NOT (o.k = o.groups AND o.groups > 1 AND (SELECT count(*) FROM {order}_walk x WHERE x.attempt = o.attempt AND x.took) = o.groups)
+)"""
+
+
+_SEARCH = _FLOWS.replace("flows AS (", "RECURSIVE flows AS (", 1) + f""", sizes AS MATERIALIZED (SELECT group_id, count(*)::BIGINT AS n FROM grouped GROUP BY 1), total AS MATERIALIZED (SELECT sum(n)::BIGINT AS t FROM sizes),
 attempts AS (SELECT unnest(range(128)) AS attempt),
 test_order AS MATERIALIZED (
-  SELECT attempt, list({'h': h, 'g': group_id, 'n': n} ORDER BY h) AS l
-  FROM (SELECT attempt, group_id, n::BIGINT AS n, sha256((42 + attempt * 104729) || ':' || group_id) AS h FROM attempts, sizes) GROUP BY 1
-), test_fold AS MATERIALIZED (
-  SELECT attempt, l, list_reduce(l, lambda a, x: CASE WHEN len(a.ch) > 0 AND abs(a.n - t * (1.0::DOUBLE - 0.7::DOUBLE)) <= abs(a.n + x.n - t * (1.0::DOUBLE - 0.7::DOUBLE)) THEN a
-         ELSE {'h': '', 'g': '', 'n': a.n + x.n, 'ch': list_append(a.ch, x.g)} END, {'h': '', 'g': '', 'n': 0::BIGINT, 'ch': []::VARCHAR[]}).ch AS ch
-  FROM test_order, total
-), test_taken AS MATERIALIZED (SELECT attempt, CASE WHEN len(ch) = len(l) AND len(l) > 1 THEN ch[:len(ch) - 1] ELSE ch END AS test FROM test_fold),
-val_order AS MATERIALIZED (
-  SELECT attempt, list({'h': h, 'g': group_id, 'n': n} ORDER BY h) AS l
-  FROM (SELECT a.attempt, s.group_id, s.n::BIGINT AS n, sha256((42 + a.attempt * 104729 + 1) || ':' || s.group_id) AS h
-        FROM test_taken a, sizes s WHERE NOT list_contains(a.test, s.group_id)) GROUP BY 1
-), val_fold AS MATERIALIZED (
-  SELECT attempt, l, list_reduce(l, lambda a, x: CASE WHEN len(a.ch) > 0 AND abs(a.n - t * (0.7::DOUBLE * 0.1::DOUBLE)) <= abs(a.n + x.n - t * (0.7::DOUBLE * 0.1::DOUBLE)) THEN a
-         ELSE {'h': '', 'g': '', 'n': a.n + x.n, 'ch': list_append(a.ch, x.g)} END, {'h': '', 'g': '', 'n': 0::BIGINT, 'ch': []::VARCHAR[]}).ch AS ch
-  FROM val_order, total
-), val_taken AS MATERIALIZED (SELECT attempt, CASE WHEN len(ch) = len(l) AND len(l) > 1 THEN ch[:len(ch) - 1] ELSE ch END AS validation FROM val_fold),
-taken AS MATERIALIZED (SELECT * FROM test_taken JOIN val_taken USING (attempt)),
-assigned AS MATERIALIZED (
-  SELECT attempt, group_id, CASE WHEN list_contains(test, group_id) THEN 'test' WHEN list_contains(validation, group_id) THEN 'validation' ELSE 'train' END AS split FROM taken, sizes
+  SELECT attempt, group_id, n, row_number() OVER (PARTITION BY attempt ORDER BY sha256((42 + attempt * 104729) || ':' || group_id)) AS k, count(*) OVER (PARTITION BY attempt) AS groups FROM attempts, sizes
+), {_taken("test", "t * (1.0::DOUBLE - 0.7::DOUBLE)")}, validation_order AS MATERIALIZED (
+  SELECT attempt, group_id, n, row_number() OVER (PARTITION BY attempt ORDER BY sha256((42 + attempt * 104729 + 1) || ':' || group_id)) AS k, count(*) OVER (PARTITION BY attempt) AS groups
+  FROM test_order ANTI JOIN test_took USING (attempt, group_id)
+), {_taken("validation", "t * (0.7::DOUBLE * 0.1::DOUBLE)")}, assigned AS MATERIALIZED (
+  SELECT o.attempt, o.group_id, CASE WHEN x.attempt IS NOT NULL THEN 'test' WHEN v.attempt IS NOT NULL THEN 'validation' ELSE 'train' END AS split
+  FROM test_order o LEFT JOIN test_took x USING (attempt, group_id) LEFT JOIN validation_took v ON v.attempt = o.attempt AND v.group_id = o.group_id
 )"""
 
 _SCORES = _SEARCH + """, cells AS (SELECT group_id, CASE WHEN value > 400 THEN 'burst' ELSE label END AS label, count(*) AS n FROM grouped GROUP BY 1, 2),

@@ -322,34 +322,30 @@ def seeded_group_order(spark, sf_dir):
 
 
 def _attempts(spark, sf_dir):
-    grouped = _grouped(spark, sf_dir)
-    sizes = groups.group_sizes(grouped)
-    return grouped, sizes, splits.attempts_table(sizes, ATTEMPTS, SEED, OUTER)
+    """The table's rows, and for every attempt its groups with their splits and labels."""
+    grouped = _burst(_grouped(spark, sf_dir))
+    return grouped, splits.assigned_groups(splits.group_table(grouped), ATTEMPTS, SEED, OUTER)
 
 
 @query
 def greedy_test_groups(spark, sf_dir):
     """What each attempt takes: groups, rows, and an order-free digest of the groups' ids."""
-    _, _, chosen = _attempts(spark, sf_dir)
     number = F.conv(F.substring(F.sha2("group_id", 256), 1, 8), 16, 10).cast("long")
+    chosen = _attempts(spark, sf_dir)[1].where("split <> 'train'")
     return chosen.groupBy("attempt", "split").agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows"), F.sum(number).alias("digest"))
 
 
-def _scored(spark, sf_dir):
-    grouped, sizes, chosen = _attempts(spark, sf_dir)
-    assigned = splits.attempt_groups(chosen, sizes, ATTEMPTS)
-    return grouped, assigned, splits.scores(_burst(grouped), assigned, OUTER)
-
-
 @query
 def split_score_search(spark, sf_dir):
-    return _scored(spark, sf_dir)[2]
+    grouped, assigned = _attempts(spark, sf_dir)
+    return splits.scores(grouped, assigned, OUTER)
 
 
 @query
 def assigned_splits(spark, sf_dir):
-    grouped, assigned, scored = _scored(spark, sf_dir)
-    rows = splits.assign(grouped, assigned, splits.best_attempt(scored))
+    grouped, assigned = _attempts(spark, sf_dir)
+    best = splits.best_attempt(splits.scores(grouped, assigned, OUTER))
+    rows = splits.assign(grouped, assigned.select("attempt", "group_id", "split"), best)
     return rows.groupBy("group_id", "split").agg(F.count("*").alias("n_rows"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowframe.functions.hashing import stream_split, unit_interval
 from flowframe.operators import audit, groups, metrics, sampling, splits
 from flowframe.operators.outlier import IsolationForest
-from flowframe.sources.staging import new_folder
+from flowframe.sources.staging import new_folder, staged
 from flowframe.streaming.ingest import conserved, guard_contract, ingest, stream_flows
 
 SF = "/root/testdata/sf0.001"
@@ -27,10 +27,11 @@ def greedy(order, target):
     return taken[:-1] if len(taken) == len(order) > 1 and taken[-1] == order[-1][0] else taken
 
 
-def test_search_equals_a_python_model(spark):
+@pytest.mark.parametrize("digits", [None, 1, 3])
+def test_search_equals_a_python_model(spark, digits):
     grouped = groups.with_groups(files(spark), 10)
     sizes = groups.group_sizes(grouped)
-    found = sorted(splits.attempts_table(sizes, 8, 42, 0.7).collect(), key=lambda r: r["h"])
+    found = sorted(splits.attempts_table(sizes, 8, 42, 0.7, digits=digits).collect(), key=lambda r: r["h"])
     chosen = {a: {s: [r["group_id"] for r in found if (r["attempt"], r["split"]) == (a, s)] for s in ("test", "validation")} for a in range(8)}
     n = {r["group_id"]: r["n_rows"] for r in sizes.collect()}
     for a in range(8):
@@ -42,19 +43,58 @@ def test_search_equals_a_python_model(spark):
         assert chosen[a] == {"test": test, "validation": validation}
 
 
-def test_greedy_choice_of_groups_of_all_sizes(spark):
+@pytest.mark.parametrize("digits", [0, 1, 2])
+@pytest.mark.parametrize("target", [300.0, 40.5, 2500.0, 1e9])
+def test_greedy_choice_of_groups_of_all_sizes(spark, target, digits):
     import random
 
-    rng, target = random.Random(4), 300.0
-    pools = {a: [(f"g{i}", rng.choice([1, 2, 5, 40, 90, 700])) for i in range(n)] for a, n in enumerate([60, 60, 60, 1, 2, 5, 30])}
+    rng = random.Random(4)
+    pools = {a: [(f"g{i}", rng.choice([1, 2, 5, 40, 90, 700])) for i in range(n)] for a, n in enumerate([60, 60, 60, 1, 2, 5, 30, 200, 200])}
+    pools[9] = [(f"g{i}", 6 if i % 17 else 1) for i in range(150)]
     hashed = [(a, g, n, hashlib.sha256(f"{a}:{g}".encode()).hexdigest()) for a, pool in pools.items() for g, n in pool]
-    got = splits.greedy(spark.createDataFrame(hashed, "attempt int, group_id string, n_rows long, h string"), target).collect()
+    got = splits.greedy(spark.createDataFrame(hashed, "attempt int, group_id string, n_rows long, h string"), target, digits).collect()
     for a in pools:
         order = sorted(((h, g, n) for b, g, n, h in hashed if a == b))
         assert sorted((r["h"], r["group_id"]) for r in got if r["attempt"] == a) == [(h, g) for h, g, _ in order if g in set(greedy([(g, n) for _, g, n in order], target))]
     assert splits.greedy(spark.createDataFrame([], "attempt int, group_id string, n_rows long, h string"), target).count() == 0
 
 
+def test_few_groups_are_opened_and_none_is_stored(spark, monkeypatch):
+    """With ranges of few groups, what is walked one by one is a small part of groups times attempts."""
+    table = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("group_id"), (F.col("id") % 50 + 1).alias("n_rows"))
+    walked = spark.sparkContext.accumulator(0)
+    inner = splits._walked
+
+    def counted(target):
+        run = inner(target)
+
+        def walk(groups):
+            walked.add(len(groups))
+            return run(groups)
+
+        return walk
+
+    monkeypatch.setattr(splits, "_walked", counted)
+    written = []
+    monkeypatch.setattr(splits, "staged", lambda df, name: written.append(name) or staged(df, name))
+    narrow = splits.assigned_groups(table, 16, 42, 0.7, digits=2)
+    shares = {(r["attempt"], r["split"]): r["n"] for r in narrow.groupBy("attempt", "split").agg(F.sum("n_rows").alias("n")).collect()}
+    total = sum(i % 50 + 1 for i in range(3000))
+    assert all(abs(shares[a, "test"] - total * (1.0 - 0.7)) <= 25 and abs(shares[a, "validation"] - total * (0.7 * 0.1)) <= 25 for a in range(16))
+    assert walked.value < 3000 * 16 / 4 and written == ["groups"]
+    assert "Exchange" not in narrow._jdf.queryExecution().sparkPlan().toString()
+    wide = splits.assigned_groups(table, 16, 42, 0.7, digits=0)
+    assert wide.exceptAll(narrow).count() == 0 == narrow.exceptAll(wide).count()
+
+
+def test_labels_are_summed_as_after_a_join(spark):
+    grouped = groups.with_groups(files(spark), 10).withColumn("label", F.when(F.col("row_id") % 13 > 0, F.col("label")))
+    every = splits.assigned_groups(splits.group_table(grouped), 5, 42, 0.7)
+    one = {r["attempt"]: r["score"] for r in splits.scores(grouped, every, 0.7).collect()}
+    two = {r["attempt"]: r["score"] for r in splits.scores(grouped, every.drop("cells"), 0.7).collect()}
+    assert one == pytest.approx(two) and len(one) == 5
+
+
 def test_best_split_has_the_fractions_and_leaks_nothing(spark):
     grouped = groups.with_groups(files(spark), 10)
     sizes = groups.group_sizes(grouped)
