@@ -44,18 +44,42 @@ def overall(classes: DataFrame) -> DataFrame:
 RANGES = 64
 
 
+def _dealt(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` with ``range``: between which approximate quantiles of the key the row's ``order`` value lies."""
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter("cuts", lambda c: c < F.col(f"d.{order}"))).alias("range"))
+
+
+def with_next_lower(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """``df`` with ``next_<column>`` of the key's row with the next lower ``order`` value, which is distinct in a key.
+
+    Neighbours are found within ranges; a range's lowest row takes the highest of the range below.
+    """
+    dealt = _dealt(df, keys, order)
+    values = F.struct(*columns)
+    inside = Window.partitionBy(*keys, "range").orderBy(F.desc(order))
+    highest = dealt.groupBy(*keys, "range").agg(F.max_by(values, order).alias("values"))
+    below = F.lag("values").over(Window.partitionBy(*keys).orderBy("range"))  # RANGES rows a key
+    heads = highest.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("range").alias("k_range"), below.alias("below"))
+    placed = dealt.withColumn("after", F.lead(values).over(inside))
+    on = placed["range"] == heads["k_range"]
+    for k in keys:
+        on = on & placed[k].eqNullSafe(heads[f"k_{k}"])
+    found = placed.join(heads, on).withColumn("after", F.coalesce("after", "below"))
+    return found.select(*df.columns, *[F.col(f"after.{c}").alias(f"next_{c}") for c in columns])
+
+
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
     """``df`` with the sums (new name: column) of all rows of the key up to and with the row's ``order`` value, which is distinct in a key.
 
     Rows are dealt into ranges between approximate quantiles of the key; sums run within a range and over the ranges'
     totals, so no task orders all rows of a key.
     """
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    dealt = df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter("cuts", lambda c: c < F.col(f"d.{order}"))).alias("range"))
+    dealt = _dealt(df, keys, order)
     inside = Window.partitionBy(*keys, "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
     totals = dealt.groupBy(*keys, "range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
@@ -68,7 +92,8 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str
 
 
 def _by_score(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
+    """Rows by key and score, staged, since they are read for cuts, sums and totals."""
+    return staged(df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg")), "by_score")
 
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
@@ -104,6 +129,23 @@ def curves(df: DataFrame, keys: list[str], score: str, positive: Column) -> Data
     return points.select(*keys, "score", "tp", "fp", F.round(F.col("tp") / F.col("p"), 9).alias("tpr"), F.round(F.col("fp") / F.col("n"), 9).alias("fpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("precision_at"), "gain")
 
 
+def roc_corners(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
+    """``keys, score, tp, fp, tpr, fpr`` of the ROC points at which the curve may bend; the area under them is the same.
+
+    A point with an earlier and a later one goes if both steps add the same counts: the second differences are nought.
+    """
+    counts = _by_score(df, keys, score, positive)
+    first = counts.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.max("score").alias("top"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0 and n > 0")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    ranked = running_sums(counts, keys, "score", {"below_pos": "pos", "below_neg": "neg"})
+    bent = with_next_lower(ranked, keys, "score", ["pos", "neg"]).join(first, on)
+    kept = bent.where("next_pos is null or score = top or pos <> next_pos or neg <> next_neg")
+    tp, fp = F.col("p") - F.col("below_pos") + F.col("pos"), F.col("n") - F.col("below_neg") + F.col("neg")
+    return kept.select(*keys, "score", tp.alias("tp"), fp.alias("fp"), F.round(tp / F.col("p"), 9).alias("tpr"), F.round(fp / F.col("n"), 9).alias("fpr"))
+
+
 def average_precision(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.round(F.sum(F.col("gain") * F.col("precision_at")), 6).alias("average_precision"))
 
@@ -127,7 +169,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float
 
     Values are counted first.
     """
-    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = staged(df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")), "by_value")
     totals = counts.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.sum("c").alias("n"))
     on = F.lit(True)
     for k in keys:

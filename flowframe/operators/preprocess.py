@@ -15,6 +15,7 @@ from flowframe.operators.groups import rows_of_groups
 from flowframe.operators.outlier import IsolationForest
 from flowframe.operators.quantiles import exact_quantiles
 from flowframe.operators.sampling import reservoir
+from flowframe.sources.flows import ContractError
 
 
 def candidates(columns: list[str], excluded: set[str]) -> list[str]:
@@ -132,6 +133,15 @@ def unknown_label(label: Column) -> Column:
     return F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.coalesce(label.cast("string"), F.lit("null")))).cast("long")
 
 
+def require_known(df: DataFrame, label: str, known: list[str]) -> None:
+    """Raises where ``df`` has labels beside the known ones, and names the first 20 of them in order; null is none of them."""
+    unknown = df.select(F.col(label).cast("string").alias("label")).where("label is not null").distinct()
+    names = F.array(*[F.lit(x) for x in known]).cast("array<string>")
+    first = [r["label"] for r in unknown.where(~F.array_contains(names, F.col("label"))).orderBy("label").limit(20).collect()]
+    if first:
+        raise ContractError(f"label outside the vocabulary: {', '.join(first)}")
+
+
 def encoded(df: DataFrame, codes: DataFrame, label: str) -> DataFrame:
     """``df`` with ``code``; a label without one is an error."""
     joined = df.join(codes.withColumnRenamed("label", "known"), F.col(label) == F.col("known"), "left").drop("known")

@@ -342,6 +342,25 @@ ORACLES: dict[str, str] = {
                  WHEN status = 'running' AND kernel = 'unknown' AND (silent IS NULL OR silent < 7200) THEN 'not silent for long' WHEN since < 1800 THEN 'pushed lately'
                  WHEN attempts >= 8 THEN 'attempts used up' WHEN stagnant >= 3 THEN 'no progress' WHEN status = 'paused' THEN 'paused' WHEN status = 'missing' THEN 'no run' ELSE 'incomplete, kernel ' || kernel END AS reason FROM r
         ) SELECT reason IN ('forced', 'paused', 'no run') OR starts_with(reason, 'incomplete') AS push, reason, count(*) AS n FROM d GROUP BY 1, 2""",
+    "roc_corners": f"""WITH {_JUDGED}, scored AS (
+          SELECT actual = 'A' AS pos, 'A' AS label, l_discount AS score FROM judged UNION ALL SELECT actual = 'N', 'N', l_tax FROM judged UNION ALL SELECT actual = 'R', 'R', l_quantity FROM judged
+        ), steps AS (SELECT label, floor(score * 100)::BIGINT AS score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM scored GROUP BY 1, 2),
+        points AS (
+          SELECT *, sum(p) OVER down AS tp, sum(n) OVER down AS fp, sum(p) OVER whole AS all_p, sum(n) OVER whole AS all_n, lead(p) OVER down AS next_p, lead(n) OVER down AS next_n, row_number() OVER down AS k
+          FROM steps WINDOW down AS (PARTITION BY label ORDER BY score DESC), whole AS (PARTITION BY label)
+        )
+        SELECT label, score, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / all_p, 9) AS tpr, round(fp / all_n, 9) AS fpr FROM points
+        WHERE all_p > 0 AND all_n > 0 AND (k = 1 OR next_p IS NULL OR p <> next_p OR n <> next_n)""",
+    "table_digest": """WITH h AS (SELECT sha256(to_json({'l_linenumber': l_linenumber, 'l_linestatus': l_linestatus, 'l_orderkey': l_orderkey, 'l_returnflag': l_returnflag})::VARCHAR) AS d FROM lineitem)
+        SELECT count(*) AS n_rows, """ + ", ".join(f"sum(('0x' || substr(d, {1 + 15 * k}, 15))::BIGINT)::VARCHAR AS word_{k + 1}" for k in range(4)) + """ FROM h""",
+    "packed_windows": f"""WITH {_WINDOWS} SELECT group_id, first_row, labels[-1] AS target, sha256(array_to_string(nodes, ',')) AS nodes_digest,
+        array_to_string(list_transform(hs, lambda h: list_position(nodes, h) - 1), ',') AS src, array_to_string(list_transform(hd, lambda h: list_position(nodes, h) - 1), ',') AS dst FROM graphs""",
+    "epoch_windows": f"""WITH {_FOOTER_MANIFEST}, starts AS (
+          SELECT group_id, f.start + "offset" + s AS first_row FROM footer_groups g JOIN footers f USING (file_id, row_group), LATERAL (SELECT unnest(range(0, greatest(g.n_rows - 15, 0), 8)) AS s) WHERE split = 'train'
+        )
+        SELECT epoch::INTEGER AS epoch, b.event_type AS target, count(*) AS n_windows, count(DISTINCT group_id) AS n_groups, sum(first_row)::BIGINT AS first_rows,
+               sum(b.value::DECIMAL(18, 2))::DOUBLE AS last_values, sum(a.user_id)::BIGINT AS first_users
+        FROM starts s JOIN placed a ON a.row_id = first_row JOIN placed b ON b.row_id = first_row + 15, range(1, 3) e(epoch) GROUP BY 1, 2""",
     "cosine_rates": "SELECT e AS epoch, round(1e-6 + (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * e / 100)) / 2, 12) AS rate FROM range(100) t(e)",
     "stream_split_counts": f"WITH {_SPLIT} SELECT split, label, count(*) AS n FROM split_rows GROUP BY 1, 2",
 }

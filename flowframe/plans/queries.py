@@ -11,10 +11,12 @@ from flowframe.functions import cleaning, decisions, hashing, scores
 from flowframe.operators import audit, groups, metrics, preprocess, profile, sampling, splits, windows
 from flowframe.operators.outlier import IsolationForest
 from flowframe.operators.intervals import interval_join
-from flowframe.sources.flows import event_flows
+from flowframe.sources.flows import digest_words, event_flows
 from flowframe.sources.loaders import load_slices, read_groups
+from flowframe.sources.packed import read_packed, write_packed
 from flowframe.sources.row_groups import file_row_groups, read_row_groups
-from flowframe.sources.staging import staged
+from flowframe.sources.staging import new_folder, staged
+from flowframe.streaming import epochs
 from flowframe.streaming.ingest import stream_split_counts as run_stream
 
 SEED, OUTER = 42, 0.7
@@ -507,6 +509,13 @@ def roc_points(spark, sf_dir):
     return metrics.curves(_by_class(spark, sf_dir), ["label"], "score", F.col("actual") == F.col("label")).select("label", "score", "tpr", "fpr")
 
 
+@query
+def roc_corners(spark, sf_dir):
+    """The ROC points at which the curve may bend; scores are coarse, so that some lie on straight lines."""
+    scored = _by_class(spark, sf_dir).withColumn("score", F.floor(F.col("score") * 100))
+    return metrics.roc_corners(scored, ["label"], "score", F.col("actual") == F.col("label"))
+
+
 @query
 def pr_points(spark, sf_dir):
     return metrics.curves(_by_class(spark, sf_dir), ["label"], "score", F.col("actual") == F.col("label")).select("label", "score", "tpr", "precision_at")
@@ -620,6 +629,37 @@ def cosine_rates(spark, sf_dir):
 # Streams and models
 
 
+@query
+def table_digest(spark, sf_dir):
+    """An order-free digest of a table's rows."""
+    return digest_words(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+
+
+@query
+def packed_windows(spark, sf_dir):
+    """Graphs of windows written as packed arrays with pointers, and read again."""
+    graphs = _graphs(spark, sf_dir)
+    flat = graphs.select("group_id", "first_row", "target", "nodes", F.col("edges.src").alias("src"), F.col("edges.dst").alias("dst"))
+    path = new_folder(spark, "packed")
+    write_packed(flat, path)
+    again = read_packed(spark, path)
+    return again.select("group_id", "first_row", "target", F.sha2(F.array_join("nodes", ","), 256).alias("nodes_digest"), F.array_join(F.col("src").cast("array<string>"), ",").alias("src"), F.array_join(F.col("dst").cast("array<string>"), ",").alias("dst"))
+
+
+@query
+def epoch_windows(spark, sf_dir):
+    """Two epochs of the training groups, streamed by their row groups through the shuffle buffer."""
+    path, folder = f"{sf_dir}/events.parquet", new_folder(spark, "epochs")
+    schedule = epochs.write_schedule(spark, path, _footer_manifest(spark, sf_dir), 2, SEED)
+    rows = epochs.read_epochs(spark, path, schedule, ["event_type", "value", "user_id"], 4096)
+    made = epochs.buffered(epochs.cut_windows(rows, "event_type", ["value", "user_id"], windows.LENGTH, windows.STRIDE), SEED)
+    epochs.run_epochs(made, schedule, f"{folder}/windows", f"{folder}/progress")
+    return spark.read.parquet(f"{folder}/windows").groupBy("epoch", "target").agg(
+        F.count("*").alias("n_windows"), F.countDistinct("group_id").alias("n_groups"), F.sum("first_row").alias("first_rows"),
+        F.sum(F.element_at("features", -2).cast("decimal(18,2)")).cast("double").alias("last_values"), F.sum(F.element_at("features", 2)).cast("long").alias("first_users"),
+    )
+
+
 @query
 def stream_split_counts(spark, sf_dir):
     return run_stream(spark, sf_dir, SEED, OUTER)

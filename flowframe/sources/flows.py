@@ -46,6 +46,27 @@ def schema_hash(df: DataFrame) -> str:
     return hashlib.sha256(json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields]).encode()).hexdigest()
 
 
+#: Hex digits of a word of a table's digest, exact in a long, and words.
+WORD, WORDS = 15, 4
+
+
+def digest_words(df: DataFrame) -> DataFrame:
+    """``n_rows, word_1 .. word_4``: sums over the rows of parts of each row's SHA-256, as text.
+
+    The same for the same rows in any order and partitioning, repeated rows counted; columns count by name.
+    """
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])), 256)
+    word = lambda k: F.conv(F.substring("row", 1 + k * WORD, WORD), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(word(k)), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"word_{k + 1}") for k in range(WORDS)]
+    return df.select(row.alias("row")).agg(F.count("*").alias("n_rows"), *sums)
+
+
+def table_digest(df: DataFrame) -> str:
+    """A digest of a table's columns, their types and its rows, whatever their order."""
+    columns = sorted((f.name, f.dataType.simpleString()) for f in df.schema.fields)
+    return hashlib.sha256(json.dumps([columns, list(digest_words(df).first())]).encode()).hexdigest()
+
+
 def config_hash(config: Mapping[str, Any]) -> str:
     """The same for the same settings, whatever their order."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()

@@ -35,6 +35,23 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file with a text in any file system that Spark knows, unless it exists. True if it was made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place):
+        return False
+    try:
+        out = system.create(place, False)
+    except Exception:
+        if system.exists(place):  # another run was first
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 #: Spark's setting for the rows of an Arrow batch; long rows need fewer to keep workers small.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

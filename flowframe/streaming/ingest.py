@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowframe.functions.hashing import stream_split
 from flowframe.operators.groups import with_groups
-from flowframe.operators.preprocess import Fitted, transform, unknown_label
+from flowframe.operators.preprocess import Fitted, require_known, transform, unknown_label
 from flowframe.operators.windows import windows, with_runs
-from flowframe.sources.flows import config_hash
-from flowframe.sources.staging import new_folder
+from flowframe.sources.flows import ContractError, config_hash, read_json, table_digest
+from flowframe.sources.staging import create, new_folder, remove
 
 
 def finished(query: StreamingQuery, seconds: float | None) -> bool:
@@ -25,26 +26,59 @@ def finished(query: StreamingQuery, seconds: float | None) -> bool:
     return bool(done)
 
 
+def write_observed(batch: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame] = lambda rows: rows, by: Sequence[str] = ()) -> int:
+    """Writes what ``make`` does with a batch to ``folder``, replacing it; rows that got lost or came up on the way are an error.
+
+    Both ends are counted while the rows pass, so the batch is read once. Returns the number of rows.
+    """
+    came, went = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("n")
+    out = make(batch.observe(came, count)).observe(went, count)
+    out.write.mode("overwrite").partitionBy(*by).parquet(folder)
+    before, after = came.get.get("n", 0), went.get.get("n", 0)
+    if before != after:
+        remove(batch.sparkSession, folder)
+        raise ContractError(f"{before} rows came and {after} went to {folder}")
+    return after
+
+
 def ingest(flows: DataFrame, target: str, checkpoint: str, seed: int, outer: float, seconds: float | None = None) -> bool:
-    """Reads what is new, gives every row its group and split, and appends it by split; then stops. True if all is read.
+    """Reads what is new, gives every row its group and split, and writes it by batch and split; then stops. True if all is read.
 
-    Started again with the same checkpoint it goes on where it stopped, at the latest after ``seconds``. Groups lie
-    inside a file and files are never cut, so no state passes between batches.
+    Started again with the same checkpoint it goes on where it stopped, at the latest after ``seconds``. A group's split
+    is drawn from its id, so no state passes between batches. A batch that loses a row fails and is not committed; one
+    that is tried again replaces its folder.
     """
-    rows = with_groups(flows).withColumn("split", stream_split(F.col("group_id"), outer, seed))
-    query = rows.writeStream.format("parquet").partitionBy("split").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def make(rows: DataFrame) -> DataFrame:
+        return with_groups(rows).withColumn("split", stream_split(F.col("group_id"), outer, seed))
+
+    query = flows.writeStream.foreachBatch(lambda batch, n: write_observed(batch, f"{target}/batch={n}", make, ["split"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return finished(query, seconds)
 
 
+def whole_files(batch: DataFrame, number: int, folder: str) -> None:
+    """Fails where a file of this batch has rows in another one, since its groups would be torn. ``folder`` has a row a file."""
+    spark = batch.sparkSession
+    batch.select("file_id").distinct().write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    seen = spark.read.parquet(folder)
+    own = seen.where(F.col("batch") == number).select("file_id")
+    torn = seen.where(F.col("batch") != number).join(own, "file_id").select("file_id").first()
+    if torn:
+        raise ContractError(f"file {torn['file_id']} lies in more than one batch, so groups would be torn")
+
+
 def ingest_windows(flows: DataFrame, fitted: Fitted, target: str, checkpoint: str, seed: int, outer: float, length: int, stride: int, seconds: float | None = None) -> bool:
     """The stream as scaled, encoded windows by split: every batch is transformed with what the fit learned, nothing else.
 
     Training rows that the fitted forest calls outliers are left out before windows are cut. Flows need group_id's parts, label, and the fitted features. A label outside the fitted vocabulary stops the run.
-    Batches hold whole files, so windows need no state. A batch that is tried again replaces its own folder.
+    Batches must hold whole files, so that windows need no state: a file in two batches stops the run. A batch that is
+    tried again replaces its own folder.
     """
     names = F.array(*[F.lit(x) for x in fitted.labels])
 
     def write(batch: DataFrame, number: int) -> None:
+        whole_files(batch, number, f"{checkpoint.rstrip('/')}-files")
+        require_known(batch, "label", fitted.labels)
         rows = with_groups(batch).withColumn("split", stream_split(F.col("group_id"), outer, seed))
         code = F.array_position(names, F.col("label")) - 1
         coded = transform(rows, fitted).withColumn("code", F.when(code >= 0, code).otherwise(unknown_label(F.col("label"))))
@@ -55,18 +89,18 @@ def ingest_windows(flows: DataFrame, fitted: Fitted, target: str, checkpoint: st
     return finished(flows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), seconds)
 
 
-def guard_contract(spark: SparkSession, folder: str, contract: dict) -> None:
-    """Refuses to go on with a run whose settings differ from those it began with."""
-    now = config_hash(contract)
-    try:
-        before = [r["value"] for r in spark.read.text(f"{folder}/contract").collect()]
-    except Exception as error:  # noqa: BLE001  no contract yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        spark.createDataFrame([(json.dumps({"hash": now}),)], "value string").coalesce(1).write.text(f"{folder}/contract")
+def guard_contract(spark: SparkSession, folder: str, contract: dict, table: DataFrame | None = None) -> None:
+    """Refuses to go on with a run whose settings, or whose ``table`` by its digest, differ from those it began with.
+
+    The first run makes the contract, and of several first runs one.
+    """
+    if table is not None:
+        contract = contract | {"table": table_digest(table)}
+    place, now = f"{folder}/contract.json", config_hash(contract)
+    if create(spark, place, json.dumps({"hash": now})):
         return
-    if json.loads(before[0])["hash"] != now:
-        raise ValueError("the run was begun with other settings")
+    if read_json(spark, place)["hash"] != now:
+        raise ValueError("the run was begun with other settings or on other rows")
 
 
 def conserved(source: DataFrame, target: DataFrame) -> DataFrame:
