@@ -9,6 +9,7 @@ blocks do not each leave a partly filled bin.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -294,11 +295,12 @@ def completions(sizes: np.ndarray, counts: np.ndarray, capacity: int, top: int,
             return
 
 
-def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def complete_bins(lengths: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
     """Bins of positions in ``lengths``, as few as the search finds; never more than best fit needs.
 
     The bins that look best are searched first, then, where that leaves nodes, all. The result is the least possible
-    if the search ends, or meets the lower bound, before its nodes are used up.
+    if the search ends, or meets the lower bound, before its ``nodes`` are used up; None bounds nothing, so that the
+    result is always the least possible, whatever time it takes.
     """
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     incumbent = [[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)]
@@ -307,6 +309,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
     if len(incumbent) <= least:
         return incumbent
     sizes, all_counts = np.unique(np.array(lengths, np.int64), return_counts=True)
+    most = math.inf if nodes is None else nodes + len(lengths)
     best: list[tuple[int, ...]] | None = None
     limit, spare, spent = len(incumbent), (len(incumbent) - 1) * capacity - total, 0
     for every in (False, True):
@@ -315,7 +318,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
         wasted = 0
         stack: list[Iterator[tuple[int, ...] | None]] = []
         forward = True
-        while limit > least and spent < nodes + len(lengths):
+        while limit > least and spent < most:
             if forward:
                 left = np.flatnonzero(counts)
                 if not len(left):
@@ -335,7 +338,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
             for option in stack[-1]:
                 if option is None:
                     spent += 1
-                    if spent >= nodes + len(lengths):
+                    if spent >= most:
                         break
                     continue
                 waste = capacity - int(sizes[list(option)].sum())
@@ -355,7 +358,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
     return [[places[int(sizes[k])].pop() for k in option] for option in best]
 
 
-def _packed(pieces: DataFrame, blocks: int, capacity: int, first: int) -> DataFrame:
+def _packed(pieces: DataFrame, blocks: int, capacity: int, first: int, nodes: int | None) -> DataFrame:
     schema = T.StructType([*[f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "filled")],
                            T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("filled", T.LongType())])
     names = [f.name for f in schema.fields if f.name not in ("sequence_id", "offset", "filled")]
@@ -364,7 +367,7 @@ def _packed(pieces: DataFrame, blocks: int, capacity: int, first: int) -> DataFr
         rows = rows[names].sort_values("row", kind="stable").reset_index(drop=True)
         lengths = rows["length"].tolist()
         sequence, offset, filled = [0] * len(rows), [0] * len(rows), [0] * len(rows)
-        for b, members in enumerate(complete_bins(lengths, capacity)):
+        for b, members in enumerate(complete_bins(lengths, capacity, nodes)):
             at, total = 0, sum(lengths[i] for i in members)
             for i in members:
                 sequence[i], offset[i], filled[i] = ((first + key[0]) << 32) + b, at, total
@@ -375,20 +378,24 @@ def _packed(pieces: DataFrame, blocks: int, capacity: int, first: int) -> DataFr
     return pieces.groupBy(block.alias("block")).applyInPandas(pack, schema)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, block_pieces: int = BLOCK_PIECES, nodes: int | None = NODES) -> DataFrame:
     """``pieces`` (with ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``, gapless from 0.
 
-    Every row is placed once, repeated rows too. An empty table gives an empty result.
+    ``nodes`` bounds the search in a block (None: each block has as few sequences as can be). Every row is placed once, repeated rows too. An empty table gives an empty result.
     """
     rows = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", TEXT_ROWS)
     blocks = max(1, -(-rows.count() // block_pieces))
-    once = staged(_packed(rows, blocks, capacity, 0), "packed")
+    once = staged(_packed(rows, blocks, capacity, 0, nodes), "packed")
     poor = F.col("filled") < capacity - capacity // 64
     again = max(1, -(-once.where(poor).count() // block_pieces))
-    repacked = _packed(once.where(poor), again, capacity, blocks)
+    repacked = _packed(once.where(poor), again, capacity, blocks, nodes)
     return once.where(~poor).unionByName(repacked).drop("row", "filled")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document."""
-    return pack_pieces(cut_documents(docs, tokenizer_path, capacity, END_ID, id_col, text_col), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text", nodes: int | None = NODES) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document.
+
+    Null and empty texts are one piece of the end id; repeated rows are packed one by one. An empty table gives an empty
+    result; other columns are ignored. ``nodes``: see ``pack_pieces``.
+    """
+    return pack_pieces(cut_documents(docs, tokenizer_path, capacity, END_ID, id_col, text_col), capacity, nodes=nodes)

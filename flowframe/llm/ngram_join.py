@@ -79,7 +79,7 @@ class Signer:
 
 
 def signed_texts(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """``doc_id, copy, digest, ngrams, bands`` for each text; digest and bands are null without words.
+    """``doc_id, copy, digest, ngrams, bands`` for each text, and ``carried`` if ``docs`` has it; digest and bands are null without words.
 
     ``copy`` is a hash of the text, by which the row is found again.
     """
@@ -98,7 +98,7 @@ def signed_texts(docs: DataFrame, bands: int, rows: int, words: int = WORDS) ->
         return run
 
     fields = [T.StructField("digest", T.BinaryType()), T.StructField("ngrams", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return append_columns(docs, "text", fields, make).select("doc_id", F.xxhash64("text").alias("copy"), "digest", "ngrams", "bands")
+    return append_columns(docs, "text", fields, make).select("doc_id", F.xxhash64("text").alias("copy"), "digest", "ngrams", "bands", *[c for c in docs.columns if c == "carried"])
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -206,21 +206,26 @@ def verified_units(members: DataFrame) -> DataFrame:
     return groups.unionByName(shared.join(lists, "digest"))
 
 
-def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", in_files: bool = False) -> DataFrame:
     """``doc_id, class_id, n_links, copies_of, n_copies`` for every row.
 
     ``n_links`` is the number of other rows whose n-gram sets have a Jaccard similarity of ``similarity`` or more
     with the row's; ``class_id`` is the smallest doc_id that the row hangs together with over such links,
     ``copies_of`` the smallest doc_id with the very same set, ``n_copies`` the number of rows with it. Texts without
     words (null and empty ones too) have no links, and their own doc_id as class. Equal rows are copies of each
-    other. Null ids are never the smallest unless there are no others. Other columns are ignored.
+    other. Null ids are never the smallest unless there are no others. An empty table gives an empty result; other columns are ignored.
+
+    ``in_files`` (see ``with_rows``) tells rows apart that are alike in id and text, so that of such rows, however many,
+    one is read again; without it all are, and dropped when verified.
     """
-    texts = documents(docs, id_col, text_col)
+    place = fresh_name(docs, "place") if in_files else None
+    texts = documents(with_rows(docs, True, place) if place else docs, id_col, text_col, place)
+    same_row = ["carried"] if place else []
     bands, rows = bands_for(similarity, recall)
     signed = staged(signed_texts(texts, bands, rows, words), "signed", TEXT_ROWS)
     classes = staged(
         signed.where("digest is not null").groupBy("digest").agg(
-            F.count("*").alias("copies"), F.min("doc_id").alias("copies_of"), F.min(F.struct("copy", "doc_id")).alias("one"),
+            F.count("*").alias("copies"), F.min("doc_id").alias("copies_of"), F.min(F.struct("copy", "doc_id", *same_row)).alias("one"),
             F.first("ngrams").alias("ngrams"), F.first("bands").alias("bands"),
         ).withColumn("node", F.xxhash64("digest")),
         "classes",
@@ -233,10 +238,11 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     members = staged(classes.join(groups.withColumnRenamed("root", "group"), "node"), "members")
     placed = verified_units(members).withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int"))
     placed = staged(placed, "placed")
-    # One row stands for a class, whichever copy; equal rows are told apart from nothing and dropped when verified.
-    wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), "digest", "copies", "unit", "units", "parts", "part")
+    # One row stands for a class, whichever copy.
+    wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), *[F.col(f"one.{c}").alias("at") for c in same_row], "digest", "copies", "unit", "units", "parts", "part")
     hashed = texts.withColumn("hash", F.xxhash64("text"))
-    found = hashed.join(wanted, (hashed["hash"] == wanted["copy"]) & hashed["doc_id"].eqNullSafe(wanted["id"]))
+    on = (hashed["hash"] == wanted["copy"]) & hashed["doc_id"].eqNullSafe(wanted["id"])
+    found = hashed.join(wanted, on & (hashed["carried"] == wanted["at"]) if place else on)
     sets = _sets(found.select("digest", "copies", "unit", "units", "parts", "part", "text"), words)
     # Small units share a bin; a unit of several parts is dealt out in pairs of parts.
     total = placed.where("parts = 1").agg(F.sum("ngrams"), F.count("*")).first()

@@ -40,7 +40,7 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(_docs(spark, sf_dir))
+    return join_documents(_docs(spark, sf_dir), in_files=True)
 
 
 def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Counts are those of the whole text under the tokenizer's defaults, without added begin or end tokens. Null texts
     are empty and have none. Tokenizers for which the proof above does not hold (see ``margin_of``) encode texts
-    whole. Other columns are ignored.
+    whole. Repeated rows are counted one by one; an empty table gives an empty result; other columns are ignored.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()

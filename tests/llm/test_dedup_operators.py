@@ -275,3 +275,20 @@ def test_whole_table_of_real_lengths(spark):
     expected = brute_spans([r["text"] for r in rows_], 200)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in S.remove_repeats(docs).collect()}
     assert [got[r["doc_id"]] for r in rows_] == expected and sum(x[1] for x in expected) > 0
+
+
+def test_rows_alike_in_id_and_text_are_read_again_once(spark, table, monkeypatch):
+    """A hot group of null ids with one text gives one set, not one a row, and the same answers."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    df = table([(None, near, *[None] * 9)] * 40 + rows([near + " more", near, "quite another text of seven words here"]))
+    read, sets = [], N._sets
+
+    def counted(docs, words):
+        read.append(docs.count())
+        return sets(docs, words)
+
+    monkeypatch.setattr(N, "_sets", counted)
+    plain = sorted(N.join_documents(df).collect(), key=str)
+    told = sorted(N.join_documents(df, in_files=True).collect(), key=str)
+    assert told == plain and read[1] == 2 < read[0]
+    assert {r["n_links"] for r in told if r["doc_id"] is None} == {41} and {r["class_id"] for r in told if r["doc_id"] is None} == {0}

@@ -179,6 +179,29 @@ def test_packing_a_table_that_best_fit_does_not(spark):
     assert packed.sequence_id.nunique() == 3 and sorted(packed.length) == lengths and packed.groupby("sequence_id").length.sum().max() <= 200
 
 
+def test_the_query_packs_better_than_best_fit(spark, tmp_path):
+    """Documents of these lengths need four sequences by best fit; the query's search finds the three that they fill."""
+    lengths = [2332, 1140, 624, 483, 562, 3051, 1842, 93, 1182, 979]
+    assert len(B.best_fit(sorted(lengths, reverse=True), 4096)) == 4 and sum(lengths) == 3 * 4096
+    from flowframe.llm import queries as Q
+
+    spark.createDataFrame([(i, "a " * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    packed = Q.op6_bin_completion(spark, str(tmp_path)).toPandas()
+    assert packed.sort_values("doc_id").length.tolist() == lengths
+    assert packed.sequence_id.nunique() == 3 and (packed.groupby("sequence_id").length.sum() == 4096).all()
+
+
+def test_a_search_without_a_bound_ends_with_the_fewest_bins(spark):
+    rng = random.Random(12)
+    for _ in range(60):
+        sizes = [rng.randint(11, 26) for _ in range(rng.randint(1, 9))]
+        assert len(B.complete_bins(sizes, 50, nodes=None)) == fewest(sizes, 50)
+    hard = [1, 17, 19, 21, 28, 56, 66, 70, 94, 99, 129]
+    rows = spark.createDataFrame([(x,) for x in hard], "length long")
+    assert len(B.complete_bins(hard, 200, nodes=-len(hard))) == 4  # no node: best fit
+    assert B.pack_pieces(rows, 200, nodes=None).select("sequence_id").distinct().count() == 3
+
+
 def test_added_tokens_in_other_cases_through_the_query(spark, tmp_path):
     from flowframe.llm import queries as Q
 
