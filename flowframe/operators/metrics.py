@@ -211,7 +211,7 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
     return df.groupBy(*keys).agg(F.round(F.sum((F.col(value) * F.col(weight)).cast("decimal(28,4)")).cast("double") / F.greatest(F.sum(weight).cast("double"), F.lit(1.0)), 6).alias("weighted_mean"))
 
 
-def cosine_rates(spark, epochs: int, high: float, low: float) -> DataFrame:
-    """``epoch, rate``: cosine decay from ``high`` towards ``low``."""
-    steps = spark.range(epochs).select(F.col("id").alias("epoch"))
-    return steps.withColumn("rate", F.round(F.lit(low) + (F.lit(high - low)) * (1 + F.cos(F.lit(3.141592653589793) * F.col("epoch") / epochs)) / 2, 12))
+def cosine_rates(history: DataFrame, epoch: str, high: float, low: float) -> DataFrame:
+    """``history`` with ``rate``: cosine decay from ``high`` towards ``low`` over its epochs, numbered from 0 and distinct."""
+    epochs = F.count("*").over(Window.partitionBy())  # one row an epoch
+    return history.withColumn("rate", F.round(F.lit(low) + (F.lit(high - low)) * (1 + F.cos(F.lit(3.141592653589793) * F.col(epoch) / epochs)) / 2, 12))

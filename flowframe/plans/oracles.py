@@ -361,6 +361,7 @@ ORACLES: dict[str, str] = {
         SELECT epoch::INTEGER AS epoch, b.event_type AS target, count(*) AS n_windows, count(DISTINCT group_id) AS n_groups, sum(first_row)::BIGINT AS first_rows,
                sum(b.value::DECIMAL(18, 2))::DOUBLE AS last_values, sum(a.user_id)::BIGINT AS first_users
         FROM starts s JOIN placed a ON a.row_id = first_row JOIN placed b ON b.row_id = first_row + 15, range(1, 3) e(epoch) GROUP BY 1, 2""",
-    "cosine_rates": "SELECT e AS epoch, round(1e-6 + (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * e / 100)) / 2, 12) AS rate FROM range(100) t(e)",
+    "cosine_rates": f"""WITH {_FLOWS}, days AS (SELECT file_id, (row_number() OVER (ORDER BY file_id) - 1)::INTEGER AS epoch, count(*) OVER () AS n FROM (SELECT DISTINCT file_id FROM flows))
+        SELECT file_id, epoch, round(1e-6 + (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * epoch / n)) / 2, 12) AS rate FROM days""",
     "stream_split_counts": f"WITH {_SPLIT} SELECT split, label, count(*) AS n FROM split_rows GROUP BY 1, 2",
 }

@@ -623,7 +623,11 @@ def session_decision(spark, sf_dir):
 
 @query
 def cosine_rates(spark, sf_dir):
-    return metrics.cosine_rates(spark, 100, 1e-3, 1e-6)
+    """Each day of the event table as an epoch."""
+    from pyspark.sql import Window
+
+    days = _daily(spark, sf_dir).withColumn("epoch", F.row_number().over(Window.orderBy("file_id")) - 1)  # one row a day
+    return metrics.cosine_rates(days, "epoch", 1e-3, 1e-6).select("file_id", "epoch", "rate")
 
 
 # Streams and models

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import threading
 import uuid
@@ -9,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_kept: set[str] = set()
 _setting = threading.Lock()
 
 
@@ -26,7 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/flowframe/{uuid.uuid4().hex}/{name}"
+    """A path of its own for a table of this application, which is removed when the driver's process ends in order."""
+    own = f"{shared_dir(spark)}/flowframe/{spark.sparkContext.applicationId}"
+    if own not in _kept:
+        _kept.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{uuid.uuid4().hex}/{name}"
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Removes an application's tables; at the process's end the JVM may be gone, and then they stay."""
+    with contextlib.suppress(Exception):
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

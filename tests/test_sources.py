@@ -153,3 +153,23 @@ def test_staged_keeps_rows_and_schema(spark):
     again = staged(df, "t")
     assert again.schema.simpleString() == df.schema.simpleString() and again.count() == 10
     assert schema_hash(df) == schema_hash(again)
+
+
+def test_an_applications_tables_are_removed_at_its_end(tmp_path):
+    """A process of its own: its staged tables are gone when it ends, whether it stops its session or not."""
+    import subprocess
+    import sys
+
+    code = """
+from flowframe.session import get_session
+from flowframe.sources.staging import new_folder, staged
+import sys
+spark = get_session("local[1]", 1, spark__checkpoint__dir="file://" + sys.argv[1], spark__driver__memory="1g")
+print(staged(spark.range(3), "t").count(), len(list(__import__("pathlib").Path(sys.argv[1]).rglob("*.parquet"))) > 0)
+if sys.argv[2] == "stop":
+    spark.stop()
+"""
+    for end in ("stop", "leave"):
+        done = subprocess.run([sys.executable, "-c", code, str(tmp_path), end], capture_output=True, text=True, timeout=300)
+        assert done.stdout.split()[-2:] == ["3", "True"], done.stderr[-500:]
+        assert not list(tmp_path.rglob("*.parquet"))
