@@ -68,7 +68,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 4096 tokens; a row for each piece.
 
-    Null and empty texts are a piece of one token, the end id; every row is packed, repeated ones too.
+    Null and empty texts are a piece of one token, the end id; every row is packed, repeated ones too. An empty table
+    gives no piece.
     """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
