@@ -50,9 +50,14 @@ def require_splits(manifest: DataFrame) -> DataFrame:
     return manifest
 
 
-def rows_of_groups(flows: DataFrame, manifest: DataFrame, rows_per_group: int, group_rows: int) -> DataFrame:
-    """The rows of each group: the interval join turned into an equality of (file, row group, offset)."""
-    at = places(flows, "file_id", "row_id").withColumns({
+def rows_of_groups(flows: DataFrame, manifest: DataFrame, rows_per_group: int, group_rows: int, few: bool = False) -> DataFrame:
+    """The rows of each group: the interval join turned into an equality of (file, row group, offset).
+
+    ``few`` says that the manifest has a few groups of each file: then only the rows near them are numbered.
+    """
+    low = F.col("row_group") * rows_per_group + F.col("offset")
+    asked = manifest.select("file_id", low.alias("low"), (low + F.col("n_rows")).alias("high")) if few else None
+    at = places(flows, "file_id", "row_id", wanted=asked).withColumns({
         "row_group": F.expr(f"place div {rows_per_group}"), "offset": F.expr(f"(place % {rows_per_group}) div {group_rows} * {group_rows}"),
     })
     return at.drop("place").join(manifest, ["file_id", "row_group", "offset"])

@@ -33,12 +33,21 @@ def hashed_totals(df: DataFrame, key: str, digest: str, sums: dict[str, str]) ->
     return summed.select(*df.columns, *[(F.col(n) + F.col(f"start_{n}")).alias(n) for n in sums])
 
 
-def places(df: DataFrame, key: str, row: str, name: str = "place", block: int = 65_536) -> DataFrame:
-    """``df`` with each row's place among its key's rows in the order of ``row``, from 0; counted in blocks of row numbers."""
+def places(df: DataFrame, key: str, row: str, name: str = "place", block: int = 65_536, wanted: DataFrame | None = None) -> DataFrame:
+    """``df`` with each row's place among its key's rows in the order of ``row``, from 0; counted in blocks of row numbers.
+
+    ``wanted`` (key, ``low``, ``high``; a few rows a key) says which places are needed: then only rows of blocks that hold
+    places from ``low`` to before ``high`` are dealt, and come back. Rows are counted once without being dealt.
+    """
     dealt = df.withColumn("range", F.expr(f"{row} div {block}"))
     earlier = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    counts = dealt.groupBy(key, "range").agg(F.count("*").alias("n_before"))
-    starts = counts.withColumn("n_before", F.coalesce(F.sum("n_before").over(earlier), F.lit(0)))
+    counts = staged(dealt.groupBy(key, "range").agg(F.count("*").alias("n")), "block_counts")
+    starts = counts.withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    if wanted is not None:
+        asked = wanted.select(F.col(key).alias("of"), "low", "high")
+        meets = (F.col(key) == F.col("of")) & (F.col("n_before") < F.col("high")) & (F.col("n_before") + F.col("n") > F.col("low"))
+        starts = staged(starts.join(asked, meets, "left_semi"), "blocks")
+        dealt = dealt.join(starts.select(key, "range"), [key, "range"], "left_semi")
     inside = F.row_number().over(Window.partitionBy(key, "range").orderBy(row))
-    placed = dealt.withColumn(name, inside).join(starts, [key, "range"])
+    placed = dealt.withColumn(name, inside).join(starts.drop("n"), [key, "range"])
     return placed.select(*df.columns, (F.col(name) + F.col("n_before") - 1).alias(name))

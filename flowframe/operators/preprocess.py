@@ -104,7 +104,7 @@ def fit(df: DataFrame, columns: list[str], row_key: list[str], label: str, inlie
 def fit_on_reservoir(flows: DataFrame, manifest: DataFrame, groups: int, seed: int, rows_per_group: int, group_rows: int, columns: list[str], label: str, **more) -> Fitted:
     """A fit on ``groups`` whole training groups of each file, with the labels of all flows."""
     few = reservoir(manifest.where("split = 'train'"), groups, seed)
-    return fit(rows_of_groups(flows, few, rows_per_group, group_rows), columns, ["file_id", "row_id"], label, vocabulary=flows, **more)
+    return fit(rows_of_groups(flows, few, rows_per_group, group_rows, few=True), columns, ["file_id", "row_id"], label, vocabulary=flows, **more)
 
 
 def transform(df: DataFrame, fitted: Fitted, inlier: str | None = None, clip: bool = False) -> DataFrame:

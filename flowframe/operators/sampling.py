@@ -38,7 +38,9 @@ def slice_plan(row_group_table: DataFrame, samples: int, seed: int, min_run: int
 
 def slice_rows(flows: DataFrame, plan: DataFrame, rows_per_group: int) -> DataFrame:
     """The rows of the planned slices, in source order within their file."""
-    at = places(flows, "file_id", "row_id").withColumn("row_group", F.expr(f"place div {rows_per_group}"))
+    low = F.col("row_group") * rows_per_group + F.col("first")
+    asked = plan.select("file_id", low.alias("low"), (low + F.col("take")).alias("high"))
+    at = places(flows, "file_id", "row_id", wanted=asked).withColumn("row_group", F.expr(f"place div {rows_per_group}"))
     inside = F.col("place") % rows_per_group
     return at.join(plan, ["file_id", "row_group"]).where((inside >= F.col("first")) & (inside < F.col("first") + F.col("take"))).drop("place", "first", "take")
 
@@ -46,7 +48,9 @@ def slice_rows(flows: DataFrame, plan: DataFrame, rows_per_group: int) -> DataFr
 def spread_sample(flows: DataFrame, row_group_table: DataFrame, per_file: int, desired: int, seed: int, rows_per_group: int) -> DataFrame:
     """``per_file`` seeded rows of each file, from ``desired`` row groups spread over it."""
     chosen = spread_row_groups(row_group_table.groupBy("file_id").agg(F.count("*").alias("total")), desired)
-    at = places(flows, "file_id", "row_id").withColumn("row_group", F.expr(f"place div {rows_per_group}"))
+    low = F.col("row_group") * rows_per_group
+    asked = chosen.select("file_id", low.alias("low"), (low + rows_per_group).alias("high"))
+    at = places(flows, "file_id", "row_id", wanted=asked).withColumn("row_group", F.expr(f"place div {rows_per_group}"))
     return sample_rows(at.join(chosen, ["file_id", "row_group"]).drop("place"), per_file, seed)
 
 

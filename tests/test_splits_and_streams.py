@@ -195,6 +195,10 @@ def test_running_sums_and_places(spark):
         total += 1 + i % 5
         assert got[i] == (total, place + 1)
     assert {r["i"]: r["place"] for r in order.places(df, "f", "i", block=16).collect()} == {i: i // 3 for i in range(500)}
+    asked = spark.createDataFrame([("f1", 40, 60), ("f2", 0, 1)], "f string, low long, high long")
+    few = order.places(df, "f", "i", block=16, wanted=asked).collect()
+    assert all(r["place"] == r["i"] // 3 for r in few) and len(few) < 50
+    assert {("f1", p) for p in range(40, 60)} | {("f2", 0)} <= {(r["f"], r["place"]) for r in few} and {r["f"] for r in few} == {"f1", "f2"}
     assert order.running_totals(df.where("false"), ["i"], {"upto": "n"}).count() == 0
 
 
