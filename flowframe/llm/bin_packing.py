@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import LONG_CHARS, TEXT_ROWS, append_columns, documents
+from flowframe.llm.common import KEPT, LONG_CHARS, TEXT_ROWS, append_columns, documents
 from flowframe.sources.staging import staged
 
 SEQUENCE_TOKENS, END_ID = 4096, 1
@@ -163,6 +163,8 @@ def _encoder(definition: str) -> WordwiseEncoder:
     return WordwiseEncoder(definition)
 
 
+KEPT[__name__] = _encoder
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: the documents' ids and the end id, cut where longer than ``capacity``.
 

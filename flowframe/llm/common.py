@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -75,6 +78,21 @@ def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
             start = end
 
 
+#: Cached functions whose values a worker keeps from task to task, by the module that uses them.
+KEPT: dict[str, Callable] = {}
+
+
+def free_others(module: str) -> None:
+    """Frees what tasks of other operators have left in this worker process, and gives the memory back."""
+    left = [f for name, f in KEPT.items() if name != module and f.cache_info().currsize]
+    for f in left:
+        f.cache_clear()
+    if left:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], Iterable]]) -> DataFrame:
     """``df`` with columns computed from its text column, batch by batch.
 
@@ -88,6 +106,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        free_others(make.__module__)
         function, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
         for whole in batches:
             for batch in by_bytes(whole, at):

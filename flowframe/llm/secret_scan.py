@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from flowframe.llm.common import append_columns, documents
+from flowframe.llm.common import KEPT, append_columns, documents
 
 #: The kinds in their order, their patterns, the group that is measured and its least characters.
 BASE = (
@@ -56,6 +56,9 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+KEPT[__name__] = _encoding
+
+
 def known(run: str) -> bool:
     """Whether a run is a digest by its digits, or an identifier by its shape."""
     return bool(len(run) in DIGEST_DIGITS and HEX.fullmatch(run) or IDENTIFIER.fullmatch(run))

@@ -264,3 +264,13 @@ def test_queries_over_a_whole_table(spark, bpe):
     assert packed.select("doc_id").distinct().count() == len(texts)
     total, used = packed.agg(F.sum("length")).first()[0], packed.select("sequence_id").distinct().count()
     assert used <= -(-total // 4096) + 1
+
+
+def test_a_worker_keeps_only_what_its_operator_uses():
+    from flowframe.llm import common
+
+    made = B._encoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    common.free_others(B.__name__)
+    assert B._encoder.cache_info().currsize == 1 and made.encode(["a"])
+    common.free_others("another")
+    assert B._encoder.cache_info().currsize == 0
