@@ -165,6 +165,7 @@ def _encoder(definition: str) -> WordwiseEncoder:
 
 KEPT[__name__] = _encoder
 
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: the documents' ids and the end id, cut where longer than ``capacity``.
 
