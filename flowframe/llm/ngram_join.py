@@ -5,8 +5,8 @@ chosen for the target recall; band hashes are shuffled, and classes that share o
 joined into candidate groups (without listing pairs). A small group is verified as a whole on the full n-gram sets. Of
 a group beyond one block, either all pairs are verified, or, where that is less, those within its buckets (the classes
 that share one band): so a long chain of classes, each like its neighbours only, costs what its buckets cost. What is
-verified together is dealt into blocks of bounded size, and every pair of blocks verifies its pairs. Only sums and
-spanning edges leave a block, so a large group costs rows in proportion to its classes, and no link is lost.
+verified together is dealt by set size into blocks of bounded size, and those pairs of blocks verify their pairs whose
+sizes are near enough for a link. Only sums and spanning edges leave a block, and no link is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,6 +206,27 @@ def verified_units(members: DataFrame) -> DataFrame:
     return groups.unionByName(shared.join(lists, "digest"))
 
 
+def in_parts(units: DataFrame, similarity: float) -> DataFrame:
+    """``units`` with ``part``, and ``low_part`` to ``high_part``, the parts in which its classes may have links.
+
+    A unit of several parts is cut along the sizes of its sets, a size of many sets by hash. The smaller set of a link
+    has ``similarity`` of the larger one's n-grams at least, so a part meets the parts of near sizes only.
+    """
+    weight = F.greatest(F.lit(1.0 / BLOCK_CLASSES), F.col("ngrams") / BLOCK_NGRAMS)
+    large = units.where("parts > 1")
+    sizes = large.groupBy("unit", "ngrams").agg(F.count("*").alias("m")).withColumn("own", F.col("m") * weight)
+    upto = Window.partitionBy("unit").orderBy("ngrams")  # one row a size
+    ranges = staged(sizes.select("unit", "ngrams", "own", (F.sum("own").over(upto) - F.col("own")).alias("before")), "ranges")
+    within = F.pmod(F.xxhash64("digest", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    cut = staged(large.join(ranges, ["unit", "ngrams"]).withColumn("part", F.floor(F.col("before") + F.col("own") * within).cast("int")).drop("own", "before"), "cut")
+    spans = cut.groupBy("unit", "part").agg(F.min("ngrams").alias("low"), F.max("ngrams").alias("high"))
+    a, b = spans.alias("a"), spans.alias("b")
+    meet = (F.col("a.unit") == F.col("b.unit")) & (F.col("a.high") >= similarity * F.col("b.low")) & (F.col("b.high") >= similarity * F.col("a.low"))
+    near = a.join(b, meet).groupBy("a.unit", "a.part").agg(F.min("b.part").alias("low_part"), F.max("b.part").alias("high_part"))
+    alone = units.where("parts = 1").withColumns({c: F.lit(0) for c in ("part", "low_part", "high_part")})
+    return alone.unionByName(cut.join(staged(near, "near_parts"), ["unit", "part"]))
+
+
 def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", in_files: bool = False) -> DataFrame:
     """``doc_id, class_id, n_links, copies_of, n_copies`` for every row.
 
@@ -236,18 +257,17 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     near = band.join(staged(shared.select("band", "first"), "shared"), "band").where("node <> first").select("node", "first").distinct()
     groups = components(staged(near, "near"), "node", "first")
     members = staged(classes.join(groups.withColumnRenamed("root", "group"), "node"), "members")
-    placed = verified_units(members).withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int"))
-    placed = staged(placed, "placed")
+    placed = staged(in_parts(staged(verified_units(members), "units"), similarity), "placed")
     # One row stands for a class, whichever copy.
-    wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), *[F.col(f"one.{c}").alias("at") for c in same_row], "digest", "copies", "unit", "units", "parts", "part")
+    wanted = placed.select(F.col("one.copy").alias("copy"), F.col("one.doc_id").alias("id"), *[F.col(f"one.{c}").alias("at") for c in same_row], "digest", "copies", "unit", "units", "parts", "part", "low_part", "high_part")
     hashed = texts.withColumn("hash", F.xxhash64("text"))
     on = (hashed["hash"] == wanted["copy"]) & hashed["doc_id"].eqNullSafe(wanted["id"])
     found = hashed.join(wanted, on & (hashed["carried"] == wanted["at"]) if place else on)
-    sets = _sets(found.select("digest", "copies", "unit", "units", "parts", "part", "text"), words)
-    # Small units share a bin; a unit of several parts is dealt out in pairs of parts.
+    sets = _sets(found.select("digest", "copies", "unit", "units", "parts", "part", "low_part", "high_part", "text"), words)
+    # Small units share a bin; a unit of several parts is dealt out in pairs of parts that may have links.
     total = placed.where("parts = 1").agg(F.sum("ngrams"), F.count("*")).first()
     bins = max(1, -(-(total[0] or 0) // BLOCK_NGRAMS), -(-total[1] // (8 * BLOCK_CLASSES)))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    other = F.explode(F.sequence("low_part", "high_part"))
     dealt = sets.withColumn("other", other).withColumns({
         "low": F.least("part", "other"), "high": F.greatest("part", "other"),
         "bin": F.when(F.col("parts") == 1, F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(bins))).otherwise(F.col("unit")),

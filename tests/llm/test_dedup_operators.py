@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from documents_of import rows
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowframe.llm import ngram_join as N
@@ -183,6 +184,26 @@ def test_chains_are_verified_by_their_buckets(table, monkeypatch):
     assert any(kinds) and not all(kinds), "the near copies are a group, the chain is buckets"
 
 
+def test_parts_meet_where_sizes_allow_links(spark, table, monkeypatch):
+    """Texts that begin alike and differ in length only: every link is found, and parts of far sizes never meet."""
+    monkeypatch.setattr(N, "BLOCK_CLASSES", 7)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:n]) for n in [*range(40, 300, 4), 5, 6, 7, *[44] * 3]] + near_texts(1, 30, 8)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.join_documents(table(rows(texts))).collect()}
+    assert got == brute_links(texts)
+    units = spark.createDataFrame([(f"{u}-{n}".encode(), n, u, 9 if u else 1) for u in (0, 1, 2) for n in ([20] * 30 + list(range(10, 90)) if u else [20, 90])], "digest binary, ngrams long, unit long, parts int")
+    units = units.withColumn("digest", F.concat("digest", F.monotonically_increasing_id().cast("string").cast("binary")))
+    placed = N.in_parts(units, 0.8).collect()
+    assert len(placed) == units.count() and {r["part"] for r in placed if r["unit"] == 0} == {0}
+    for a in placed:
+        assert a["low_part"] <= a["part"] <= a["high_part"]
+        for b in placed:
+            if a["unit"] == b["unit"] and min(a["ngrams"], b["ngrams"]) >= 0.8 * max(a["ngrams"], b["ngrams"]):
+                assert a["low_part"] <= b["part"] <= a["high_part"]
+    parts = {r["part"] for r in placed if r["unit"] == 1}
+    assert len(parts) > 9 and max(r["high_part"] - r["low_part"] for r in placed) < len(parts) / 2
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
