@@ -364,4 +364,25 @@ ORACLES: dict[str, str] = {
     "cosine_rates": f"""WITH {_FLOWS}, days AS (SELECT file_id, (row_number() OVER (ORDER BY file_id) - 1)::INTEGER AS epoch, count(*) OVER () AS n FROM (SELECT DISTINCT file_id FROM flows))
         SELECT file_id, epoch, round(1e-6 + (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * epoch / n)) / 2, 12) AS rate FROM days""",
     "stream_split_counts": f"WITH {_SPLIT} SELECT split, label, count(*) AS n FROM split_rows GROUP BY 1, 2",
+    "flow_provenance": "SELECT l_returnflag AS label, count(*) AS n_rows, min(r) AS first_row, max(r) AS last_row, sum(r)::BIGINT AS places FROM (SELECT l_returnflag, row_number() OVER () - 1 AS r FROM lineitem) GROUP BY 1",
+    "file_row_sample": f"""WITH {_FOOTER_MANIFEST}, own AS (SELECT * FROM footers WHERE file_id = 'events.parquet'), files AS (SELECT count(*) AS total, least(count(*), 8) AS k FROM own),
+        picks AS (SELECT DISTINCT round_even(i * (CASE WHEN k > 1 THEN (total - 1) / (k - 1) ELSE 0 END), 0)::BIGINT AS row_group FROM files, LATERAL (SELECT unnest(range(0, k)) AS i))
+        SELECT file_id, row_group, row_id, event_id, event_type FROM placed JOIN own ON row_id >= start AND row_id < start + n_rows JOIN picks USING (row_group)
+        QUALIFY row_number() OVER (ORDER BY sha256('42:events.parquet:' || row_id), row_id) <= 500""",
+    "split_manifest_file": f"WITH {_SPLIT} SELECT sample_id, group_id, split, file_id, row_id, label FROM split_rows",
+    "window_table": f"""WITH {_WINDOWS}, named AS (SELECT {_split(_u('group_id'), 0.7)} AS split, group_id, first_row, labels[-1] AS target, len(nodes)::BIGINT AS n_nodes, 16::BIGINT AS n_edges FROM graphs)
+        SELECT * FROM named WHERE split <> 'train'""",
+    "stored_fit": f"WITH {_FEATURES} SELECT row_id, split, " + ", ".join(f"round(least(greatest({c}_scaled, 0), 1), 9) AS {c}_clipped" for c in ("value", "hour", "user_id", "k")) + " FROM scaled",
+    "rounded_tables": f"WITH {_CLASSES} SELECT label, support, n_predicted, n_right, round(precision_score, 6) AS precision_score, round(recall_score, 6) AS recall_score, round(f1, 6) AS f1 FROM classes",
+    "ranked_roots": """WITH named AS (SELECT '/lake/' || lower(substr(o_orderpriority, 3)) || '/c' || (o_custkey % 50) AS root, o_orderkey FROM orders)
+        SELECT root, (50 + CASE WHEN contains(root, 'urgent') THEN 100 ELSE 0 END + CASE WHEN bool_or(o_orderkey % 97 = 0) THEN 20 ELSE 0 END)::INTEGER AS points FROM named GROUP BY root""",
+    "iso_epochs": """WITH s AS (SELECT event_type, CASE event_id % 4 WHEN 1 THEN epoch(date_trunc('second', ts))::BIGINT - 7200 WHEN 3 THEN NULL ELSE epoch(date_trunc('second', ts))::BIGINT END AS seconds FROM events)
+        SELECT event_type, count(*) AS n_rows, count(seconds) AS n_stamps, min(seconds) AS first_second, max(seconds) AS last_second, sum(seconds)::BIGINT AS total FROM s GROUP BY 1""",
+    "resumed_stream": "SELECT count(*) AS n_source, count(*) AS n_target, true AS conserved FROM events",
+    "streamed_windows": f"""WITH {_SPLIT}, bounds AS (SELECT min(value) AS v0, max(value) AS v1 FROM split_rows WHERE split = 'train' AND inlier),
+        codes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM split_rows)),
+        runs AS (SELECT *, row_id - row_number() OVER (PARTITION BY group_id ORDER BY row_id) AS run FROM split_rows),
+        steps AS (SELECT *, row_number() OVER (PARTITION BY group_id, run ORDER BY row_id) - 16 AS after FROM runs)
+        SELECT split, code, count(*) AS n_windows, count(DISTINCT group_id) AS n_groups, sum(row_id - 15)::BIGINT AS first_rows, sum(round((value - v0) / (v1 - v0), 6)::DECIMAL(18, 6))::DOUBLE AS last_values
+        FROM steps JOIN codes USING (label), bounds WHERE after >= 0 AND after % 8 = 0 GROUP BY 1, 2""",
 }

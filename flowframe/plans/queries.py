@@ -11,12 +11,16 @@ from flowframe.functions import cleaning, decisions, hashing, scores
 from flowframe.operators import audit, groups, metrics, preprocess, profile, sampling, splits, windows
 from flowframe.operators.outlier import IsolationForest
 from flowframe.operators.intervals import interval_join
-from flowframe.sources.flows import digest_words, event_flows
-from flowframe.sources.loaders import load_slices, read_groups
+from flowframe.plans import report
+from flowframe.sources.flows import digest_words, event_flows, read_flows, role
+from flowframe.sources.loaders import load_sample, load_slices, read_groups
 from flowframe.sources.packed import read_packed, write_packed
 from flowframe.sources.row_groups import file_row_groups, read_row_groups
+from flowframe.sources.settings import rank_roots
+from flowframe.sources.sinks import load_fitted, read_table, save_fitted, write_split_manifest, write_windows
 from flowframe.sources.staging import new_folder, staged
 from flowframe.streaming import epochs
+from flowframe.streaming.ingest import conserved, guard_contract, ingest, ingest_windows, stream_flows
 from flowframe.streaming.ingest import stream_split_counts as run_stream
 
 SEED, OUTER = 42, 0.7
@@ -630,9 +634,106 @@ def cosine_rates(spark, sf_dir):
     return metrics.cosine_rates(days, "epoch", 1e-3, 1e-6).select("file_id", "epoch", "rate")
 
 
+# Files: what is read by contract, and what is written and read again
+
+
+@query
+def flow_provenance(spark, sf_dir):
+    """A folder read by contract: as many files as have footers, rows with their place in their file."""
+    path = f"{sf_dir}/lineitem.parquet"
+    rows = read_flows(spark, path, expected_files=file_row_groups(spark, path).select("path").distinct().count())
+    label = role(rows.columns, ["l_returnflag", "label"], "label")
+    place = F.col("__source_row_id")
+    return rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n_rows"), F.min(place).alias("first_row"), F.max(place).alias("last_row"), F.sum(place).alias("places"))
+
+
+@query
+def file_row_sample(spark, sf_dir):
+    """Seeded rows from row groups spread over a file, which alone are read."""
+    return load_sample(spark, f"{sf_dir}/events.parquet", 500, 8, SEED).select("file_id", "row_group", "row_id", "event_id", "event_type")
+
+
+@query
+def split_manifest_file(spark, sf_dir):
+    """Every row's identity, group and split, through the manifest's file."""
+    path = new_folder(spark, "manifest")
+    write_split_manifest(_split(spark, sf_dir), path)
+    return read_table(spark, path, "sample_id string, group_id string, split string, file_id string, row_id long, label string")
+
+
+@query
+def window_table(spark, sf_dir):
+    """Windows with their graphs written by split, of which the evaluated splits' folders are read again."""
+    path = new_folder(spark, "windows")
+    write_windows(_graphs(spark, sf_dir).withColumn("split", hashing.stream_split(F.col("group_id"), OUTER, SEED)), path)
+    evaluated = spark.read.parquet(path).where("split <> 'train'")
+    return evaluated.select("split", "group_id", "first_row", "target", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"))
+
+
+@query
+def stored_fit(spark, sf_dir):
+    """A fit through its document, which the hash of its feature order guards, and then applied."""
+    path = new_folder(spark, "fitted")
+    fitted = load_fitted(spark, path, save_fitted(spark, _fitted(spark, sf_dir), path))
+    scaled = preprocess.transform(_features(spark, sf_dir), fitted, "inlier", clip=True)
+    return scaled.select("row_id", "split", *[F.round(c, 9).alias(f"{c}_clipped") for c in fitted.features])
+
+
+@query
+def rounded_tables(spark, sf_dir):
+    """A report's table by class as its file holds it, with doubles of six digits."""
+    folder, judged = new_folder(spark, "report"), _judged(spark, sf_dir)
+    report.generate({"predictions": judged}, folder)
+    return read_table(spark, f"{folder}/per_class", metrics.per_class(judged, "actual", "predicted").schema)
+
+
+@query
+def ranked_roots(spark, sf_dir):
+    """Where a dataset may lie, by a listing of files that the orders name."""
+    root = F.concat(F.lit("/lake/"), F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("/c"), (F.col("o_custkey") % 50).cast("string"))
+    data = F.concat(root, F.lit("/data/"), F.col("o_orderkey").cast("string"), F.lit(".parquet"))
+    found = F.when(F.col("o_orderkey") % 97 == 0, F.concat(root, F.lit("/manifests/validation_report.json")))
+    files = _table(spark, sf_dir, "orders").select(F.explode(F.array(data, found)).alias("path")).where("path is not null")
+    return rank_roots(files, "urgent")
+
+
+@query
+def iso_epochs(spark, sf_dir):
+    """ISO stamps of several spellings in seconds; broken ones are null."""
+    text = F.expr("""CASE event_id % 4 WHEN 0 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") WHEN 1 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+        WHEN 2 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'") ELSE date_format(ts, "'at' HH:mm") END""")
+    seconds = _table(spark, sf_dir, "events").select("event_type", scores.epoch_seconds(text).alias("seconds"))
+    return seconds.groupBy("event_type").agg(
+        F.count("*").alias("n_rows"), F.count("seconds").alias("n_stamps"), F.min("seconds").alias("first_second"), F.max("seconds").alias("last_second"), F.sum("seconds").alias("total"))
+
+
 # Streams and models
 
 
+@query
+def resumed_stream(spark, sf_dir):
+    """A stream that is run again under the same contract and on the same rows: none is lost, none comes twice."""
+    folder = new_folder(spark, "resumed")
+    events = _table(spark, sf_dir, "events")
+    for _ in range(2):
+        guard_contract(spark, folder, {"seed": SEED, "outer": OUTER}, events.select("event_id", "event_type"))
+        ingest(stream_flows(spark, sf_dir), f"{folder}/rows", f"{folder}/progress", SEED, OUTER)
+    return conserved(events, spark.read.parquet(f"{folder}/rows"))
+
+
+@query
+def streamed_windows(spark, sf_dir):
+    """The stream as scaled, encoded windows, by what a fit on the training rows learned."""
+    folder = new_folder(spark, "streamed")
+    fitted = preprocess.fit(_split(spark, sf_dir), ["value", "user_id"], ["file_id", "row_id"], "label", "inlier")
+    ingest_windows(stream_flows(spark, sf_dir, files=1000), fitted, f"{folder}/windows", f"{folder}/progress", SEED, OUTER, windows.LENGTH, windows.STRIDE)
+    last = F.element_at("steps", -1)
+    made = spark.read.parquet(f"{folder}/windows").select("split", last["code"].alias("code"), "group_id", "first_row", last["value"].alias("value"))
+    return made.groupBy("split", "code").agg(
+        F.count("*").alias("n_windows"), F.countDistinct("group_id").alias("n_groups"), F.sum("first_row").alias("first_rows"),
+        F.sum(F.round("value", 6).cast("decimal(18,6)")).cast("double").alias("last_values"))
+
+
 @query
 def table_digest(spark, sf_dir):
     """An order-free digest of a table's rows."""

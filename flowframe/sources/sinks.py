@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowframe.operators.outlier import IsolationForest
 from flowframe.operators.preprocess import Fitted
@@ -42,7 +43,7 @@ def write_table(df: DataFrame, path: str, digits: int = 6) -> None:
     df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns]).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
