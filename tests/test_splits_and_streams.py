@@ -243,3 +243,10 @@ def test_forest_finds_the_far_point(spark):
     assert max(scored, key=lambda r: r["score"])["id"] == 400
     again = IsolationForest.fit(df.repartition(3), ["a", "b"], ["id"], trees=40, tree_rows=64).score(df).collect()
     assert {r["id"]: r["score"] for r in again} == {r["id"]: r["score"] for r in scored}
+
+
+def test_groups_are_dealt_over_all_tasks(spark):
+    """Every pass makes attempts times as many rows as there are groups, so the small table must not lie in one file."""
+    table = spark.range(0, 200, 1, 1).groupBy(F.concat(F.lit("g"), "id").alias("group_id")).agg(F.count("*").alias("n_rows"))
+    assigned = splits.assigned_groups(table, 3, 1, 0.7)
+    assert len(assigned.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions")) and assigned.count() == 600
