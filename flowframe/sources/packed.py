@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from flowframe.sources.flows import ContractError
 
 MANIFEST = "manifest.json"
-#: Rows of a shard at most; a task begins another one then.
-SHARD_ROWS = 100_000
+#: Rows of a shard at most, and bytes that its rows take before they are packed, about; a task begins another one then.
+SHARD_ROWS, SHARD_BYTES = 100_000, 16 << 20
 
 _NUMBERS = {"tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8", "float": "f4", "double": "f8", "boolean": "?"}
 
@@ -50,8 +50,12 @@ def _kind(field: T.StructField) -> tuple[str, str | None]:
 
 
 def _flat_strings(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data = [v.encode() for v in values.to_pylist()]
-    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)], dtype=np.int64)
+    """The bytes of all strings and where each begins, and the end; no string is made on the way."""
+    values = values.cast(pa.large_string())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return whole[at[0] : at[-1]].copy(), at - at[0]
 
 
 def pack(table: pa.Table, schema: T.StructType) -> dict[str, np.ndarray]:
@@ -76,9 +80,10 @@ def pack(table: pa.Table, schema: T.StructType) -> dict[str, np.ndarray]:
     return out
 
 
-def _strings(data: np.ndarray, pointers: np.ndarray) -> list[str]:
-    whole = data.tobytes()
-    return [whole[a:b].decode() for a, b in zip(pointers[:-1].tolist(), pointers[1:].tolist(), strict=True)]
+def _strings(data: np.ndarray, pointers: np.ndarray) -> pa.Array:
+    low, high = int(pointers[0]), int(pointers[-1])
+    offsets = np.ascontiguousarray(pointers - low, np.int64)
+    return pa.LargeStringArray.from_buffers(len(pointers) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[low:high])))
 
 
 def unpack(arrays: dict[str, np.ndarray], schema: T.StructType, start: int = 0, stop: int | None = None) -> pa.Table:
@@ -93,11 +98,11 @@ def unpack(arrays: dict[str, np.ndarray], schema: T.StructType, start: int = 0,
             continue
         pointers = arrays[f"{field.name}.ptr"][start : None if stop is None else stop + 1]
         if kind == "string":
-            columns.append(pa.array(_strings(arrays[field.name], pointers), arrow.type))
+            columns.append(_strings(arrays[field.name], pointers).cast(arrow.type))
             continue
         low, high = int(pointers[0]), int(pointers[-1])
-        flat = arrays[field.name][low:high] if kind == "list" else _strings(arrays[field.name], arrays[f"{field.name}.text_ptr"][low : high + 1])
-        columns.append(pa.ListArray.from_arrays(pa.array(pointers - low, pa.int32()), pa.array(flat, arrow.type.value_type)).cast(arrow.type))
+        flat = pa.array(arrays[field.name][low:high], arrow.type.value_type) if kind == "list" else _strings(arrays[field.name], arrays[f"{field.name}.text_ptr"][low : high + 1]).cast(arrow.type.value_type)
+        columns.append(pa.ListArray.from_arrays(pa.array(pointers - low, pa.int32()), flat).cast(arrow.type))
     return pa.Table.from_arrays(columns, schema=kinds)
 
 
@@ -136,9 +141,10 @@ class _Writer(D.DataSourceArrowWriter):
 
         try:
             for batch in iterator:
-                for start in range(0, batch.num_rows, self.rows):
-                    part = batch.slice(start, self.rows)
-                    if held and sum(b.num_rows for b in held) + part.num_rows > self.rows:
+                step = max(1, min(self.rows, batch.num_rows * SHARD_BYTES // max(1, batch.nbytes)))
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    if held and (sum(b.num_rows for b in held) + part.num_rows > self.rows or sum(b.nbytes for b in held) + part.nbytes > SHARD_BYTES):
                         shard()
                     held.append(part)
             if held:

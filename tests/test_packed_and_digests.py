@@ -80,6 +80,17 @@ def test_an_empty_table_is_a_table(spark):
     assert again.count() == 0 and again.columns[1:] == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_a_shard_holds_so_many_bytes_at_most(spark):
+    path, text = new_folder(spark, "packed"), "é" * 50_000
+    df = spark.range(0, 1000, 1, 1).select("id", F.lit(text).alias("text"), F.array(F.lit("a"), F.lit("")).alias("words"))
+    packed.write_packed(df, path)
+    shards = packed._manifest(path)["shards"]
+    assert len(shards) >= 6 and sum(s["rows"] for s in shards) == 1000
+    assert all(len(packed._arrays(path, s)["text"]) <= packed.SHARD_BYTES for s in shards)
+    got = packed.read_packed(spark, path).where(F.col("text") == text).where("words[0] = 'a' and words[1] = '' and size(words) = 2 and id = row")
+    assert got.count() == 1000
+
+
 def test_digest_knows_rows_and_columns_not_their_order(spark):
     data = [(1, "a", None), (1, "a", None), (2, None, 0.5), (None, "", -1.0)]
     df = spark.createDataFrame(data, "i long, s string, d double")
