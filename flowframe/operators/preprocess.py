@@ -16,6 +16,7 @@ from flowframe.operators.outlier import IsolationForest
 from flowframe.operators.quantiles import exact_quantiles
 from flowframe.operators.sampling import reservoir
 from flowframe.sources.flows import ContractError
+from flowframe.sources.staging import staged
 
 
 def candidates(columns: list[str], excluded: set[str]) -> list[str]:
@@ -82,14 +83,17 @@ def fit(df: DataFrame, columns: list[str], row_key: list[str], label: str, inlie
     """Learns from ``split = 'train'``; bounds come from the training rows that are no outliers.
 
     Outliers are the rows that ``inlier`` does not mark and, if ``forest`` gives its settings, those that an isolation
-    forest finds among the imputed training rows. Labels are those of ``vocabulary``, by default of ``df``.
+    forest finds among the imputed training rows. Labels are those of ``vocabulary``, by default of ``df``. The training
+    rows are made once and staged, with what the passes over them need.
     """
     train = coerced(df.where("split = 'train'"), columns)
+    marked = F.coalesce(F.expr(inlier), F.lit(False)) if inlier else F.lit(True)
+    train = staged(train.select(*dict.fromkeys([*row_key, *columns]), marked.alias("__inside")), "training")
     decisions = choose_features(train, columns, row_key)
     kept = [c for c in columns if decisions[c] == "kept"]
     found = {r["column_name"]: r["median"] for r in medians(train, kept).collect()} if kept else {}
     middle = {c: found[c] for c in kept}
-    inside = train.where(inlier) if inlier else train
+    inside = train.where("__inside")
     filled = inside.withColumns({c: F.coalesce(c, F.lit(middle[c])) for c in kept})
     grown = IsolationForest.fit(filled, kept, row_key, **forest) if forest is not None and kept else None
     if grown:
