@@ -14,6 +14,7 @@ from flowframe.functions.hashing import endpoint_hash
 from flowframe.operators.intervals import interval_join
 from flowframe.operators.order import running_totals
 from flowframe.sources.flows import require
+from flowframe.sources.staging import staged
 
 LENGTH, STRIDE, NAMESPACE = 16, 8, "flowframe"
 
@@ -75,9 +76,11 @@ def edge_rows(graphs: DataFrame) -> DataFrame:
 def pointers(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``group_id, first_row, node_start, node_stop, edge_start, edge_stop``: places in the flat node and edge lists.
 
-    Windows follow each other by group and first row; sums run inside ranges of that order and over the ranges.
+    Windows follow each other by group and first row; sums run inside ranges of that order and over the ranges. The sizes
+    are staged, since dealing into ranges reads them twice; ``graphs`` may have them as ``n_nodes`` in place of ``nodes``.
     """
-    sized = graphs.select("group_id", "first_row", F.size("nodes").cast("long").alias("n"), F.lit(1).cast("long").alias("one"))
+    size = F.col("n_nodes") if "n_nodes" in graphs.columns else F.size("nodes")
+    sized = staged(graphs.select("group_id", "first_row", size.cast("long").alias("n"), F.lit(1).cast("long").alias("one")), "sizes")
     placed = running_totals(sized, ["group_id", "first_row"], {"stop": "n", "nth": "one"})
     stop, nth = F.col("stop"), F.col("nth")
     return placed.select("group_id", "first_row", (stop - F.col("n")).alias("node_start"), stop.alias("node_stop"), ((nth - 1) * length).alias("edge_start"), (nth * length).alias("edge_stop"))
@@ -85,7 +88,8 @@ def pointers(graphs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def flat_edges(graphs: DataFrame, placed: DataFrame) -> DataFrame:
     """``place, src, dst``: the edges of all windows in one list, their ends numbered in one list of all nodes."""
-    edges = edge_rows(graphs).join(placed, ["group_id", "first_row"])
+    met = graphs.select("group_id", "first_row", "edges").join(placed, ["group_id", "first_row"])  # windows meet, not their edges
+    edges = met.select("edge_start", "node_start", F.inline_outer("edges"))
     return edges.select((F.col("edge_start") + F.col("time")).alias("place"), (F.col("node_start") + F.col("src")).alias("src"), (F.col("node_start") + F.col("dst")).alias("dst"))
 
 

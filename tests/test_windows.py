@@ -64,3 +64,19 @@ def test_partitioning_does_not_matter(spark):
 
 def test_empty_and_short(spark):
     assert made(spark, [], 3, 1).count() == 0 and made(spark, [1, 2], 3, 1).count() == 0
+
+
+def test_pointers_make_their_windows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    graphs = spark.range(0, 500, 1, 4).selectExpr("concat('g', lpad(id, 4, '0')) as group_id", "id as first_row", "int(id % 5 + 1) as n_nodes", "array(named_struct('time', 0, 'src', 0L, 'dst', id % 5)) as edges")
+    placed = W.pointers(graphs.mapInArrow(count, graphs.schema), 1)
+    ends = [r["node_stop"] for r in placed.orderBy("group_id").collect()]
+    assert made.value == 500 and ends == [sum(i % 5 + 1 for i in range(k + 1)) for k in range(500)]
+    edges = W.edges_of_windows(W.flat_edges(graphs, placed), placed).collect()
+    assert sorted((r["first_row"], r["time"], r["src"], r["dst"]) for r in edges) == [(i, 0, 0, i % 5) for i in range(500)]
